@@ -41,16 +41,18 @@ def histogram(df: DataFrame, column: str, bins: int = K.HISTOGRAM_BINS) -> DataF
     puts them.
     """
     counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    bounds = counts.agg(F.min(column).alias("lo"), F.max(column).alias("hi"))
-    lo_raw = bounds.select(F.col("lo").cast("double")).scalar()
-    hi_raw = bounds.select(F.col("hi").cast("double")).scalar()
+    # one scalar subquery for both bounds
+    bounds = counts.agg(
+        F.struct(F.min(column).cast("double").alias("lo"), F.max(column).cast("double").alias("hi"))
+    ).scalar()
 
     def with_range(frame: DataFrame) -> DataFrame:
         # Each step is its own projection, so every later expression reads
         # plain columns instead of re-inlining the subqueries.
         lo0, hi0 = F.col("_lo0"), F.col("_hi0")
         return (
-            frame.withColumns({"_lo0": lo_raw, "_hi0": hi_raw})
+            frame.withColumn("_bounds", bounds)
+            .withColumns({"_lo0": F.col("_bounds.lo"), "_hi0": F.col("_bounds.hi")})
             .withColumns(
                 {
                     "_lo": F.when(lo0 == hi0, lo0 - F.lit(0.5)).otherwise(lo0),
