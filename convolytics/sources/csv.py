@@ -79,18 +79,22 @@ def read_csv(spark: SparkSession, path: str | Sequence[str], names: Sequence[str
     """CSV file(s) with a header row to a table of nullable strings,
     columns matched by name, null tokens normalised (S4)."""
     names = list(names) if names is not None else read_csv_header(spark, path)
-    schema = StructType([StructField(n, StringType(), True) for n in names] + [StructField(CORRUPT, StringType(), True)])
-    raw = (
-        spark.read.schema(schema)
-        .options(
-            header="true",
-            enforceSchema="false",
-            mode="PERMISSIVE",
-            columnNameOfCorruptRecord=CORRUPT,
-            **CSV_OPTIONS,
-        )
-        .csv(_paths(path))
-    )
+    raw = spark.read.schema(csv_schema(names)).options(**csv_reader_options()).csv(_paths(path))
+    return normalize_null_tokens(guard_long_rows(raw, names), names)
+
+
+def csv_schema(names: Sequence[str]) -> StructType:
+    """All-string schema of the header names plus the corrupt-record column."""
+    return StructType([StructField(n, StringType(), True) for n in names] + [StructField(CORRUPT, StringType(), True)])
+
+
+def csv_reader_options() -> dict[str, str]:
+    return dict(header="true", enforceSchema="false", mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, **CSV_OPTIONS)
+
+
+def guard_long_rows(raw: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Fails the job on a row with more fields than the header; drops the
+    corrupt-record column."""
     too_long = F.col(CORRUPT).isNotNull() & (_field_count(F.col(CORRUPT)) > len(names))
     # The guard stays in every plan built on this table (a filter is never
     # pruned). It also names a data column: Spark refuses scans that read
@@ -101,8 +105,7 @@ def read_csv(spark: SparkSession, path: str | Sequence[str], names: Sequence[str
         F.lit("): "),
         F.col(CORRUPT),
     )
-    guarded = raw.filter(F.when(too_long, F.raise_error(message)).otherwise(F.lit(True))).drop(CORRUPT)
-    return normalize_null_tokens(guarded, names)
+    return raw.filter(F.when(too_long, F.raise_error(message)).otherwise(F.lit(True))).drop(CORRUPT)
 
 
 def read_parquet(spark: SparkSession, path: str | Sequence[str], cols: Columns = DEFAULT_COLUMNS) -> DataFrame:
