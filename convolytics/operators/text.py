@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from convolytics import constants as K
 from convolytics.functions.text import keyword_tokens
+from convolytics.operators.partitioning import spread
 from convolytics.schema import Columns, DEFAULT_COLUMNS
 
 
@@ -119,7 +120,7 @@ def top_keywords(
     """
     column = column or cols.query
     stop = tuple(stop_words) + tuple(extra_stop_words)
-    words = df.select(F.explode(keyword_tokens(column, stop)).alias("keyword"))
+    words = spread(df.select(column)).select(F.explode(keyword_tokens(column, stop)).alias("keyword"))
     return (
         words.groupBy("keyword")
         .agg(F.count(F.lit(1)).alias("n"))

@@ -25,6 +25,7 @@ from convolytics.operators import kpis
 from convolytics.operators import profile as pf
 from convolytics.operators import text as tx
 from convolytics.operators.features import add_text_features
+from convolytics.operators.partitioning import spread
 from convolytics.schema import Columns, DEFAULT_COLUMNS, DEFAULT_LABELS, Labels, has_quality_columns, validate
 from convolytics.session import checkpoint_dir
 from convolytics.sources.csv import load_sessions
@@ -118,7 +119,7 @@ def dashboard(
 ) -> dict[str, DataFrame]:
     """Validates, featurises and materialises ``sessions`` once, then plans
     every analysis on it (P10: quality analyses only with both columns)."""
-    featured = materialize(add_text_features(validate(sessions, cols), cols), materialize_how)
+    featured = materialize(add_text_features(spread(validate(sessions, cols)), cols), materialize_how)
     plans = analyses(cols, labels, quality=has_quality_columns(featured, cols))
     return {name: fn(featured) for name, fn in plans.items() if only is None or name in only}
 

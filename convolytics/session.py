@@ -18,6 +18,7 @@ def local_session(cpus: int | str = "*", app: str = "convolytics", shuffle_parti
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("CONVOLYTICS_DRIVER_MEMORY", "8g"))
         .config("spark.sql.shuffle.partitions", str(parts))
         .config("spark.sql.adaptive.enabled", "true")

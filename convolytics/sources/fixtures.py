@@ -7,7 +7,8 @@ put one whole conversation into one task, so a single huge conversation would
 serialise. Instead:
 
 * the next turn comes from an equi-join on ``(conv_id, turn)``: the shuffle is
-  spread over both keys, so no single conversation lands in one task;
+  spread over both keys, so no single conversation lands in one task, and
+  only assistant text (plus the length of other turns) is shuffled;
 * the last turn of each conversation is a ``max`` aggregate (map-side
   combined, so a hot ``conv_id`` collapses before the shuffle);
 * ``documents`` and ``labels`` are joined to that one-row-per-conversation
@@ -29,11 +30,14 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The session table (nine required columns, the two quality columns and
     ``suggestion``), all strings."""
     conv = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    # Only assistant text is kept as a resolution; of other turns only the
+    # length is used, so their text never enters the shuffle.
     nxt = conv.select(
         "conv_id",
         (F.col("turn") - 1).alias("turn"),
         F.col("role").alias("nr"),
-        F.col("text").alias("nt"),
+        F.when(F.col("role") == "assistant", F.col("text")).alias("nt"),
+        F.length("text").alias("nt_len"),
     )
     last_turn = conv.groupBy("conv_id").agg(F.max("turn").alias("mt"))
     docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("conv_id"), "lang", "source")
@@ -52,7 +56,7 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(cid % 29 == 11, F.lit(None).cast("string"))
         .when(F.col("nr").isNull(), F.lit("user_drop_off"))
         .when(turn + 1 == F.col("mt"), F.lit("resolved"))
-        .when(F.length("nt") < 700, F.lit("partially_resolved"))
+        .when(F.col("nt_len") < 700, F.lit("partially_resolved"))
         .otherwise(F.lit("unresolved"))
     )
     sentiment = (
