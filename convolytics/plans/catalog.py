@@ -5,6 +5,7 @@ the driver's tables (see ``sources.fixtures``). Each entry takes
 
 from __future__ import annotations
 
+import weakref
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,9 +23,25 @@ from convolytics.sources import fixtures
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+# Lazy plans of the featurised session table, per session and directory.
+# Only the DataFrame definition is shared (building it costs a few thousand
+# driver round trips and three Parquet footer reads); nothing is cached or
+# persisted, so every query still scans and joins the whole tables.
+_PLANS: "weakref.WeakKeyDictionary[SparkSession, dict[str, DataFrame]]" = weakref.WeakKeyDictionary()
+
+
 def featured_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The session table with its four text features."""
-    return add_text_features(fixtures.sessions(spark, sf_dir))
+    plans = _PLANS.setdefault(spark, {})
+    key = sf_dir.rstrip("/")
+    if key not in plans:
+        plans[key] = add_text_features(fixtures.sessions(spark, key))
+    return plans[key]
+
+
+def clear_plans() -> None:
+    """Forget the shared plans (for instance after the input files change)."""
+    _PLANS.clear()
 
 
 def _on_sessions(op: Callable[[DataFrame], DataFrame]) -> Query:
