@@ -5,24 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
-def _is_adaptive(df: DataFrame) -> bool:
-    # A plan with a shuffle is wrapped by adaptive execution, which already
-    # sizes its output partitions; asking it for its partition count would
-    # run its shuffle stages.
-    return df._jdf.queryExecution().executedPlan().nodeName() == "AdaptiveSparkPlan"
+def spread(source: DataFrame) -> DataFrame:
+    """Round-robin a freshly read table over the cluster when it arrives in
+    fewer splits than there are task slots (one unsplittable multi-line CSV,
+    a single Parquet row group); otherwise return it unchanged.
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin ``df`` over the cluster when it comes straight from a scan
-    with fewer splits than task slots (one unsplittable file, a single Parquet
-    row group); otherwise return it unchanged.
-
-    For per-row CPU work such as tokenising whole texts. A large input already
-    has far more splits than slots, so no shuffle is added; the check plans
-    the scan but runs no job."""
-    if _is_adaptive(df):
-        return df
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < slots:
-        return df.repartition(slots)
-    return df
+    Meant for the output of a source, before per-row CPU work such as
+    tokenising whole texts. A large input already has far more splits than
+    slots, so no shuffle is added. On a source the partition count comes from
+    planning the scan; call it on shuffled plans and it would run them.
+    """
+    slots = source.sparkSession.sparkContext.defaultParallelism
+    if source.rdd.getNumPartitions() < slots:
+        return source.repartition(slots)
+    return source

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from convolytics import constants as K
 from convolytics.functions.text import keyword_tokens
-from convolytics.operators.partitioning import spread
 from convolytics.schema import Columns, DEFAULT_COLUMNS
 
 
@@ -116,11 +115,12 @@ def top_keywords(
     joining every query into one string is not reproduced because a space
     never joins two tokens. Counting is a partial aggregate per keyword before
     the shuffle, so a very common keyword costs one row per partition, and the
-    top-n is taken per partition before the final merge.
+    top-n is taken per partition before the final merge. Pass a source read
+    through ``partitioning.spread`` when it arrives in very few splits.
     """
     column = column or cols.query
     stop = tuple(stop_words) + tuple(extra_stop_words)
-    words = spread(df.select(column)).select(F.explode(keyword_tokens(column, stop)).alias("keyword"))
+    words = df.select(F.explode(keyword_tokens(column, stop)).alias("keyword"))
     return (
         words.groupBy("keyword")
         .agg(F.count(F.lit(1)).alias("n"))

@@ -17,6 +17,7 @@ from convolytics.operators import kpis
 from convolytics.operators import profile as pf
 from convolytics.operators import text as tx
 from convolytics.operators.features import add_text_features
+from convolytics.operators.partitioning import spread
 from convolytics.schema import DEFAULT_COLUMNS as C
 from convolytics.sources import fixtures
 
@@ -95,7 +96,9 @@ QUERIES: dict[str, Query] = {
     "hist_resolution_words": _on_sessions(tx.hist_resolution_words),
     # keywords
     "top_keywords": _on_sessions(lambda df: tx.top_keywords(df, top_n=30)),
-    "top_keywords_documents": lambda spark, d: tx.top_keywords(fixtures.documents(spark, d), "text", top_n=30),
+    "top_keywords_documents": lambda spark, d: tx.top_keywords(
+        spread(fixtures.documents(spark, d).select("text")), "text", top_n=30
+    ),
     # data-quality profile
     "profile_shape": _on_sessions(pf.profile_shape),
     "profile_shape_documents": lambda spark, d: pf.profile_shape(fixtures.documents(spark, d).select("text", "lang")),

@@ -119,7 +119,7 @@ def dashboard(
 ) -> dict[str, DataFrame]:
     """Validates, featurises and materialises ``sessions`` once, then plans
     every analysis on it (P10: quality analyses only with both columns)."""
-    featured = materialize(add_text_features(spread(validate(sessions, cols)), cols), materialize_how)
+    featured = materialize(add_text_features(validate(sessions, cols), cols), materialize_how)
     plans = analyses(cols, labels, quality=has_quality_columns(featured, cols))
     return {name: fn(featured) for name, fn in plans.items() if only is None or name in only}
 
@@ -132,4 +132,4 @@ def run_dashboard(
     labels: Labels = DEFAULT_LABELS,
     materialize_how: str = "checkpoint",
 ) -> dict[str, DataFrame]:
-    return dashboard(load_sessions(spark, path, fmt, cols), cols, labels, materialize_how)
+    return dashboard(spread(load_sessions(spark, path, fmt, cols)), cols, labels, materialize_how)
