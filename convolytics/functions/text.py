@@ -12,7 +12,7 @@ from convolytics import constants as K
 # A word is a maximal run of characters that are not Unicode whitespace in
 # Python's sense (str.split() with no argument).
 WORD_PATTERN = f"[^{K.WHITESPACE_CLASS}]+"
-WORD_COUNT_PATTERN = f"[{K.WHITESPACE_CLASS}]+|([^{K.WHITESPACE_CLASS}])[^{K.WHITESPACE_CLASS}]*"
+WHITESPACE_RUN = f"[{K.WHITESPACE_CLASS}]+"
 
 # A word character is a letter, a number or '_' (Python's Unicode ``\w``).
 WORD_CHAR = r"[\p{L}\p{N}_]"
@@ -42,11 +42,13 @@ def char_length(c: Column | str) -> Column:
 def word_count(c: Column | str) -> Column:
     """number of whitespace-separated words; '' and null give 0.
 
-    One regex pass that keeps the first character of every word and drops
-    whitespace runs; the code-point length of what is left is the word count.
-    No array of words is built, and the result is never null.
+    The non-empty pieces left after splitting on runs of whitespace, which is
+    Python's ``str.split()``. Only the positive whitespace class is matched:
+    in Java's regex engine a negated class over these ranges is about ten
+    times slower per character. Never null.
     """
-    return F.length(F.regexp_replace(text_or_empty(c), F.lit(WORD_COUNT_PATTERN), F.lit("$1"))).cast("bigint")
+    pieces = F.split(text_or_empty(c), WHITESPACE_RUN)
+    return F.size(F.filter(pieces, lambda w: w != F.lit(""))).cast("bigint")
 
 
 def word_runs(c: Column | str) -> Column:
