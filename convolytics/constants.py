@@ -97,8 +97,13 @@ TOPIC_SUMMARY_HEADERS = (
 )
 
 # --- fixed values: Unicode whitespace that separates words ------------------
-# (Python's str.split() set: \t \n \v \f \r, U+001C..U+001F, space, U+0085,
-# U+00A0, U+1680, U+2000..U+200A, U+2028, U+2029, U+202F, U+205F, U+3000)
+# (the characters Python's str.split() splits on, as code points)
+WHITESPACE_CODE_POINTS = (
+    0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F, 0x20, 0x85, 0xA0,
+    0x1680, 0x2000, 0x2001, 0x2002, 0x2003, 0x2004, 0x2005, 0x2006, 0x2007,
+    0x2008, 0x2009, 0x200A, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
+)
+# the same set as a regex character class
 WHITESPACE_CLASS = (
     r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"

@@ -12,7 +12,7 @@ from convolytics import constants as K
 # A word is a maximal run of characters that are not Unicode whitespace in
 # Python's sense (str.split() with no argument).
 WORD_PATTERN = f"[^{K.WHITESPACE_CLASS}]+"
-WHITESPACE_RUN = f"[{K.WHITESPACE_CLASS}]+"
+WHITESPACE_CHARS = "".join(chr(cp) for cp in K.WHITESPACE_CODE_POINTS)
 
 # A word character is a letter, a number or '_' (Python's Unicode ``\w``).
 WORD_CHAR = r"[\p{L}\p{N}_]"
@@ -42,13 +42,14 @@ def char_length(c: Column | str) -> Column:
 def word_count(c: Column | str) -> Column:
     """number of whitespace-separated words; '' and null give 0.
 
-    The non-empty pieces left after splitting on runs of whitespace, which is
-    Python's ``str.split()``. Only the positive whitespace class is matched:
-    in Java's regex engine a negated class over these ranges is about ten
-    times slower per character. Never null.
+    Every whitespace character becomes a plain space (``translate``, a
+    per-character map), the text is split on that single space, and the
+    non-empty pieces are counted: Python's ``str.split()``. No regex engine
+    runs, which matters at scale: a character-class regex is several times
+    slower per character. Never null.
     """
-    pieces = F.split(text_or_empty(c), WHITESPACE_RUN)
-    return F.size(F.filter(pieces, lambda w: w != F.lit(""))).cast("bigint")
+    spaced = F.translate(text_or_empty(c), WHITESPACE_CHARS, " " * len(WHITESPACE_CHARS))
+    return F.size(F.filter(F.split(spaced, " "), lambda w: w != F.lit(""))).cast("bigint")
 
 
 def word_runs(c: Column | str) -> Column:
