@@ -55,10 +55,23 @@ def profile_shape(df: DataFrame, duplicates: bool = True) -> DataFrame:
 
 
 def profile_types(df: DataFrame) -> DataFrame:
-    """``position, column_name, data_type`` in column order (schema
-    metadata only; no job)."""
-    rows = [(i + 1, n, t) for i, (n, t) in enumerate(df.dtypes)]
-    return df.sparkSession.createDataFrame(rows, "position bigint, column_name string, data_type string")
+    """``position, column_name, data_type, non_null_count`` in column
+    order: the column types and, from one aggregate pass over the table, how
+    many values each column holds (NaN counts as missing)."""
+    names = df.columns
+    agg = df.agg(*[F.count(F.when(~_is_missing(df, n), F.lit(1))).alias(f"_c{i}") for i, n in enumerate(names)])
+    cells = F.array(
+        *[
+            F.struct(
+                F.lit(i + 1).cast("bigint").alias("position"),
+                F.lit(n).alias("column_name"),
+                F.lit(t).alias("data_type"),
+                F.col(f"_c{i}").alias("non_null_count"),
+            )
+            for i, (n, t) in enumerate(df.dtypes)
+        ]
+    )
+    return agg.select(F.inline(cells)).orderBy("position")
 
 
 def profile_missing(df: DataFrame) -> DataFrame:

@@ -296,9 +296,14 @@ FROM featured"""
   CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT text, lang FROM documents)) AS BIGINT) AS duplicate_rows
 FROM documents""",
     "profile_types": _with(
+        "SELECT t.position, t.column_name, t.data_type, c.non_null_count FROM ("
         "SELECT CAST(row_number() OVER () AS BIGINT) AS position, column_name, "
         "CASE column_type WHEN 'VARCHAR' THEN 'string' ELSE lower(column_type) END AS data_type "
-        "FROM (DESCRIBE (SELECT * FROM featured))"
+        "FROM (DESCRIBE (SELECT * FROM featured))) t JOIN ("
+        + " UNION ALL ".join(
+            f"SELECT '{c}' AS column_name, count({c}) AS non_null_count FROM featured" for c in FEATURED_COLUMNS
+        )
+        + ") c ON c.column_name = t.column_name"
     ),
     "profile_missing": _with(
         "SELECT position, column_name, missing_count, "

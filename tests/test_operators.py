@@ -210,6 +210,8 @@ def test_profile_types(df):
     assert rows[0].column_name == "TOPIC" and rows[0].data_type == "string"
     assert rows[-1].column_name == "resolution_word_count" and rows[-1].data_type == "bigint"
     assert [r.position for r in rows] == list(range(1, len(df.columns) + 1))
+    counts = {r.column_name: r.non_null_count for r in rows}
+    assert counts["TOPIC"] == 6 and counts["SESSION_ID"] == 6 and counts["query_word_count"] == 7
 
 
 def test_preview_drops_suggestion(spark, df):
