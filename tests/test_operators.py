@@ -234,3 +234,36 @@ def test_empty_table(spark):
     assert r.total_conversations == 0 and r.resolution_rate_pct is None
     assert fq.top_topic(df).count() == 0
     assert all(r.n == 0 for r in tx.hist_query_words(df).collect())
+
+
+@pytest.mark.parametrize("max_candidates", [None, 0, 1, 2, 1000])
+def test_profile_shape_duplicate_paths_agree(spark, max_candidates):
+    # every path (no candidates, broadcast candidates, whole-row fallback)
+    # against a brute-force count on rows with nulls, NaN, -0.0 and a hot group
+    import pandas as pd
+
+    rows = [(1, None, 0.0), (1, None, -0.0), (None, 1, 0.0), (None, None, None), (None, None, None),
+            (2, None, float("nan")), (2, None, float("nan")), (3, 4, 1.5)] + [(7, 7, 7.0)] * 40
+    df = spark.createDataFrame(rows, "a int, b int, c double")
+    r = pf.profile_shape(df, max_candidates=max_candidates).first()
+    pdf = pd.DataFrame(rows, columns=["a", "b", "c"]).replace({-0.0: 0.0})
+    assert r.row_count == len(rows)
+    assert r.missing_cells == int(pdf.isna().sum().sum())
+    assert r.duplicate_rows == int(pdf.duplicated().sum()) == 42
+
+
+def test_profile_shape_no_duplicates_and_empty(spark):
+    df = spark.createDataFrame([(i, str(i)) for i in range(50)], "a int, b string")
+    r = pf.profile_shape(df).first()
+    assert (r.row_count, r.missing_cells, r.duplicate_rows) == (50, 0, 0)
+    empty = pf.profile_shape(df.filter("a < 0")).first()
+    assert (empty.row_count, empty.missing_cells, empty.duplicate_rows) == (0, 0, 0)
+
+
+def test_profile_shape_broadcasts_only_candidates(spark):
+    df = spark.createDataFrame([(i % 5, "x" * (i % 3)) for i in range(60)], "a int, b string")
+    out = pf.profile_shape(df)
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "LeftOuter" in plan
+    assert out.first().duplicate_rows == 60 - 15
