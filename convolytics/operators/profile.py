@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark import StorageLevel
@@ -195,14 +195,25 @@ def profile_missing(df: DataFrame) -> DataFrame:
 
 
 def preview(
-    df: DataFrame, n: int = 10, order_by: Sequence[str] | None = None, cols: Columns = DEFAULT_COLUMNS
+    df: DataFrame,
+    n: int = 10,
+    order_by: Sequence[str] | None = None,
+    cols: Columns = DEFAULT_COLUMNS,
+    derive: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """The first ``n`` rows without the ``suggestion`` column.
 
     Spark tables have no file order, so "first" needs a key: by default every
     remaining column ascending, nulls first, which is a total order up to
     identical rows. Plans as ``TakeOrderedAndProject`` (a top-n per partition).
+
+    ``derive`` adds columns after the top-n, so they are computed for ``n``
+    rows instead of the whole table. Pass it only for columns that are
+    functions of the ordered ones (the text features of the query and
+    resolution): rows tied on the ordered columns then agree on the derived
+    ones too, so the result equals ordering the derived table.
     """
     shown = df.drop(cols.suggestion)
     keys = list(order_by) if order_by else shown.columns
-    return shown.orderBy(*[F.col(f"`{k}`").asc_nulls_first() for k in keys]).limit(n)
+    top = shown.orderBy(*[F.col(f"`{k}`").asc_nulls_first() for k in keys]).limit(n)
+    return derive(top) if derive is not None else top

@@ -104,7 +104,8 @@ QUERIES: dict[str, Query] = {
     "profile_shape_documents": lambda spark, d: pf.profile_shape(fixtures.documents(spark, d).select("text", "lang")),
     "profile_types": _on_sessions(pf.profile_types),
     "profile_missing": _on_sessions(pf.profile_missing),
-    "preview": _on_sessions(pf.preview),
+    # the text features are added to the ten rows kept, not to the whole table
+    "preview": lambda spark, d: pf.preview(fixtures.sessions(spark, d), derive=add_text_features),
     # the featurised table itself
     "text_features": featured_sessions,
 }

@@ -267,3 +267,15 @@ def test_profile_shape_broadcasts_only_candidates(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "LeftOuter" in plan
     assert out.first().duplicate_rows == 60 - 15
+
+
+def test_preview_derive_after_topn_equals_ordering_the_derived_table(spark):
+    from conftest import SF001
+    from convolytics.operators.features import add_text_features
+    from convolytics.sources import fixtures
+
+    raw = fixtures.sessions(spark, SF001)
+    late = pf.preview(raw, derive=add_text_features)
+    early = pf.preview(add_text_features(raw))
+    assert late.columns == early.columns
+    assert [tuple(r) for r in late.collect()] == [tuple(r) for r in early.collect()]
