@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from convolytics import constants as K
@@ -35,12 +36,16 @@ def histogram(df: DataFrame, column: str, bins: int = K.HISTOGRAM_BINS) -> DataF
 
     The input is first reduced to one row per distinct value (partial
     aggregation, so the shuffle carries at most one row per value and
-    partition); min, max and the bin of each value are computed on that small
-    table. Bin placement follows the edge comparisons of numpy's histogram
-    (float edges ``lo + i * step``), so values on an edge land where numpy
-    puts them.
+    partition). That table is persisted, so the input (and any per-row work
+    behind the column, such as tokenising texts) is read once. Min, max and
+    the bin of each value come from the persisted table; if an executor is
+    lost, its blocks are recomputed from the lineage. Bin placement follows
+    the edge comparisons of numpy's histogram (float edges ``lo + i * step``),
+    so values on an edge land where numpy puts them.
     """
     counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.persist(StorageLevel.MEMORY_AND_DISK)
+    counts.count()
     # one scalar subquery for both bounds
     bounds = counts.agg(
         F.struct(F.min(column).cast("double").alias("lo"), F.max(column).cast("double").alias("hi"))
