@@ -96,6 +96,9 @@ def profile_shape(df: DataFrame, duplicates: bool = True, max_candidates: int |
     3. beyond the bound, one aggregate keyed by the whole row does it all.
 
     Hash collisions only add candidates, which the exact grouping resolves.
+    The input is read twice, so it should be materialised (as the dashboard
+    does); for an input that is costly to derive, ``max_candidates=0``
+    selects the single-pass whole-row plan.
     """
     n_cols = F.lit(len(df.columns)).cast("bigint").alias("column_count")
     missing = _missing_in_row(df)
