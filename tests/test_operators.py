@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from conftest import sessions_frame
@@ -279,3 +280,25 @@ def test_preview_derive_after_topn_equals_ordering_the_derived_table(spark):
     early = pf.preview(add_text_features(raw))
     assert late.columns == early.columns
     assert [tuple(r) for r in late.collect()] == [tuple(r) for r in early.collect()]
+
+
+_CELLS = (
+    st.sampled_from([None, 0, 1, 2]),
+    st.sampled_from([None, "", "x", "y z"]),
+    st.sampled_from([None, 0.0, -0.0, 1.5, float("nan")]),
+)
+
+
+@settings(max_examples=12, deadline=None)
+@given(rows=st.lists(st.tuples(*_CELLS), max_size=30), max_candidates=st.sampled_from([None, 0, 1, 3]))
+def test_profile_shape_matches_pandas_on_random_tables(spark, rows, max_candidates):
+    import pandas as pd
+
+    df = spark.createDataFrame(rows, "a int, b string, c double")
+    r = pf.profile_shape(df, max_candidates=max_candidates).first()
+    pdf = pd.DataFrame(rows, columns=["a", "b", "c"], dtype=object)
+    # pandas equality: -0.0 == 0.0, NaN equal to NaN, None equal to None
+    pdf["c"] = pdf["c"].map(lambda v: None if v is None else ("nan" if v != v else float(v) + 0.0))
+    assert r.row_count == len(rows)
+    assert r.missing_cells == sum(v is None or (isinstance(v, float) and v != v) for row in rows for v in row)
+    assert r.duplicate_rows == int(pdf.astype(str).duplicated().sum())
