@@ -26,8 +26,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import functions as F  # noqa: E402
 
 from convolytics.plans.dashboard import analyses, materialize  # noqa: E402
-from convolytics.session import checkpoint_dir  # noqa: E402
-from convolytics.session import local_session  # noqa: E402
+from convolytics.session import checkpoint_dir, local_session  # noqa: E402
 from convolytics.sources import fixtures  # noqa: E402
 from convolytics.operators.features import add_text_features  # noqa: E402
 
