@@ -5,6 +5,13 @@ ascending order; absent pairs are 0. The wide form needs the list of column
 labels at plan time. When the caller does not pass it, it is read with a
 bounded distinct (the same thing ``pivot`` does without values), and more
 than ``spark.sql.pivotMaxValues`` labels is an error, never a silent cut.
+
+The input is read once. One aggregate gives the count of every ``(row,
+col)`` pair (partial aggregation before the shuffle, so a hot key costs one
+row per partition). That table has one row per distinct pair, no larger than
+the cross-tab itself, and is persisted. The column labels, the top-k keys,
+the pivot and the totals are all computed from it. Lost executor blocks are
+recomputed from the lineage.
 """
 
 from __future__ import annotations
@@ -12,10 +19,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window, functions as F
 
 from convolytics import constants as K
-from convolytics.operators.frequency import top_values
 from convolytics.schema import Columns, DEFAULT_COLUMNS
 
 
@@ -52,11 +59,19 @@ def pivot_values(df: DataFrame, col: str, max_values: int | None = None) -> list
     return [r[0] for r in rows]
 
 
-def _pivot_counts(pairs: DataFrame, row: str, col: str, values: Sequence) -> DataFrame:
-    """``row`` + one count column per value; absent pairs 0. Spark plans the
-    pivot as an aggregate on (row, col) and a second one on row, both with
-    partial aggregation."""
-    wide = pairs.groupBy(row).pivot(col, list(values)).agg(F.count(F.lit(1)))
+def pair_counts(df: DataFrame, row: str, col: str) -> DataFrame:
+    """``row, col, n``: rows per pair with a non-null ``row`` (``col`` may be
+    null, so per-row totals over all rows can be summed from it), persisted.
+    The first action over it reads the input; later ones read the table."""
+    counts = df.filter(F.col(row).isNotNull()).groupBy(row, col).agg(F.count(F.lit(1)).alias("n"))
+    return counts.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _pivot_counts(counts: DataFrame, row: str, col: str, values: Sequence) -> DataFrame:
+    """``row`` + one count column per value from the pair counts; absent
+    pairs 0."""
+    pairs = counts.filter(F.col(col).isNotNull())
+    wide = pairs.groupBy(row).pivot(col, list(values)).agg(F.sum("n"))
     names = [str(v) for v in values]
     return wide.na.fill(0, subset=names) if names else wide
 
@@ -79,10 +94,10 @@ def crosstab(
     real key equal to ``margin_label`` would be mistaken for a total and is
     refused: at plan time for column labels, at run time for row keys.
     """
-    pairs = both_non_null(df, row, col)
+    counts = pair_counts(df, row, col)
     if values is None:
-        values = pivot_values(pairs, col)
-    wide = _pivot_counts(pairs, row, col, values)
+        values = pivot_values(counts, col)
+    wide = _pivot_counts(counts, row, col, values)
     if not margins:
         return wide.orderBy(row)
 
@@ -134,19 +149,22 @@ def crosstab_top(df: DataFrame, row: str, col: str, k: int, values: Sequence | N
     """J1 + C2/C4/C7: the cross-tab restricted to the ``k`` most frequent
     ``row`` keys, in frequency order (``rank`` 1..k).
 
-    The top-k table has at most ``k`` rows, which is the size bound for both
-    broadcasts: a left-semi join trims the input before the pivot aggregate,
-    and the k-row pivot result is joined back to the top-k keys. A top key
-    whose partner values are all null gets a row of zeros. Column labels come
-    from the whole table, so a label seen only outside the top-k keeps its
-    (zero) column.
+    Everything comes from the persisted pair counts: the key totals (all
+    rows with that key, null partners included) give the top ``k``, which is
+    the size bound for both broadcasts: a left-semi join keeps the pairs of
+    the top keys before the pivot, and the k-row pivot result is joined back
+    to the top-k keys. A top key whose partner values are all null gets a row
+    of zeros. Column labels come from the whole table, so a label seen only
+    outside the top-k keeps its (zero) column.
     """
-    top = top_values(df, row, k).select(row, "n")
+    counts = pair_counts(df, row, col)
     if values is None:
-        values = pivot_values(both_non_null(df, row, col), col)
+        values = pivot_values(counts, col)
     names = [str(v) for v in values]
-    trimmed = df.join(F.broadcast(top.select(row)), row, "left_semi")
-    xt = _pivot_counts(both_non_null(trimmed, row, col), row, col, values)
+    totals = counts.groupBy(row).agg(F.sum("n").alias("n"))
+    top = totals.orderBy(F.col("n").desc(), F.col(row).asc()).limit(k)
+    trimmed = counts.join(F.broadcast(top.select(row)), row, "left_semi")
+    xt = _pivot_counts(trimmed, row, col, values)
     ranked = top.select(
         F.row_number().over(Window.orderBy(F.col("n").desc(), F.col(row).asc())).cast("bigint").alias("rank"),
         row,
