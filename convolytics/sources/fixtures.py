@@ -12,9 +12,14 @@ serialise. Instead:
 * the last turn of each conversation is a ``max`` aggregate (map-side
   combined, so a hot ``conv_id`` collapses before the shuffle);
 * ``documents`` and ``labels`` are joined to that one-row-per-conversation
-  table first, and the user turns join it once. Spark broadcasts it only if
-  its measured size is under ``spark.sql.autoBroadcastJoinThreshold``; beyond
-  that it is a sort-merge join whose skewed partitions AQE splits.
+  table first. It meets the distinct ``(conv_id, turn)`` keys of the user
+  turns, with no text, on ``conv_id``. Spark broadcasts it only if its
+  measured size is under ``spark.sql.autoBroadcastJoinThreshold``; beyond that
+  it is a sort-merge join whose skewed partitions AQE splits, and only keys
+  and labels move;
+* the user turns (with their text) then join the next turn and those
+  per-turn attributes, both on ``(conv_id, turn)``. The second join reuses
+  the partitioning of the first, so each text crosses the shuffle once.
 """
 
 from __future__ import annotations
@@ -44,11 +49,9 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("conv_id"), "quality", "toxic")
     per_conv = last_turn.join(docs, "conv_id", "left").join(labels, "conv_id", "left")
 
-    base = (
-        conv.filter(F.col("role") == "user")
-        .join(nxt, ["conv_id", "turn"], "left")
-        .join(per_conv, "conv_id", "left")
-    )
+    users = conv.filter(F.col("role") == "user")
+    per_turn = users.select("conv_id", "turn").distinct().join(per_conv, "conv_id", "left")
+    base = users.join(nxt, ["conv_id", "turn"], "left").join(per_turn, ["conv_id", "turn"], "left")
 
     cid, turn = F.col("conv_id"), F.col("turn")
     topic = F.when(cid % 19 == 4, F.lit(None).cast("string")).otherwise(F.concat("lang", F.lit("/"), "source"))

@@ -54,3 +54,24 @@ def test_parquet_scans_are_pruned(spark):
         QUERIES["topic_counts"](spark, SF001)._jdf.queryExecution().explainString(
             spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
     assert plan
+
+
+def test_fixture_shuffles_each_text_once(spark):
+    # As at scale (nothing broadcast): only the user turns and the next turns
+    # carry text through a shuffle, both keyed by (conv_id, turn); the
+    # per-conversation join moves keys and labels only.
+    import re
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = QUERIES["text_features"](spark, SF001)
+        text = df._jdf.queryExecution().explainString(
+            spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    details = text.split("\n\n")
+    exchanges = [d for d in details if re.match(r"\(\d+\) Exchange", d.strip())]
+    with_text = [d for d in exchanges if re.search(r"Input \[\d+\]: \[[^\]]*\b(text|nt)#", d)]
+    assert len(with_text) == 2
+    for d in with_text:
+        assert re.search(r"hashpartitioning\(conv_id#\d+L, turn#\d+L", d)
