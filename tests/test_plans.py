@@ -75,3 +75,12 @@ def test_fixture_shuffles_each_text_once(spark):
     assert len(with_text) == 2
     for d in with_text:
         assert re.search(r"hashpartitioning\(conv_id#\d+L, turn#\d+L", d)
+
+
+@pytest.mark.parametrize("name", ["xt_status_sentiment", "xt_topic_status_top20", "xt_topic_status_margins"])
+def test_crosstabs_read_persisted_pair_counts(spark, name):
+    # labels, top-k, pivot and totals all come from one persisted aggregate
+    spark.catalog.clearCache()
+    df = QUERIES[name](spark, SF001)
+    df.collect()
+    assert "InMemoryTableScan" in _plan(df)
