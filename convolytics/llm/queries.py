@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from convolytics.llm import langid, packing, quality, sharding, token_counts, warc
+from convolytics.llm import langid, packing, quality, sharding, token_counts, toxicity, warc
 from convolytics.llm.common import crc_mod, read_table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -41,6 +41,15 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(read_table(spark, sf_dir, "pages"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    held_out = crc_mod(F.col("doc_id"), 4) == 2
+    scored = toxicity.score(docs, labels, allowed=~held_out)
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "evidence"
+    )
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = read_table(spark, sf_dir, "documents").select(
@@ -59,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op6_language_id": op6_language_id,
     "op7_warc": op7_warc,
+    "op9_toxicity": op9_toxicity,
     "op10_sharding": op10_sharding,
 }
 
