@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from convolytics.llm import langid, packing, quality, sharding, token_counts, toxicity, warc
+from convolytics.llm import jaccard, langid, packing, quality, sharding, token_counts, toxicity, warc
 from convolytics.llm.common import crc_mod, read_table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -41,6 +41,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(read_table(spark, sf_dir, "pages"))
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(read_table(spark, sf_dir, "documents"), num=90, den=100, words=3)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
     held_out = crc_mod(F.col("doc_id"), 4) == 2
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op6_language_id": op6_language_id,
     "op7_warc": op7_warc,
+    "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_toxicity": op9_toxicity,
     "op10_sharding": op10_sharding,
 }
