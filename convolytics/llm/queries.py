@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from convolytics.llm import jaccard, langid, packing, quality, sharding, token_counts, toxicity, warc
+from convolytics.llm import ann, jaccard, langid, packing, quality, sharding, token_counts, toxicity, warc
 from convolytics.llm.common import crc_mod, read_table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -17,6 +17,12 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), TOKENIZER, max_len=4096, end_id=1)
 
 
+def op2_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    queries = vectors.filter(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"))
+    return ann.search(ann.build_index(vectors), queries, k=20)
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
     held_out = crc_mod(F.col("doc_id"), 5) == 0
@@ -68,6 +74,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_nn_descent": op2_nn_descent,
     "op3_quality": op3_quality,
     "op4_token_counts": op4_token_counts,
     "op6_language_id": op6_language_id,
@@ -78,6 +85,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    # exact neighbours: at this scale a leaf of the index holds every vector
+    "op2_nn_descent": """
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (
+    SELECT q.vec_id AS query_id, c.vec_id,
+      list_reduce(list_prepend(0.0::DOUBLE, list_transform(generate_series(1, len(q.embedding)),
+        lambda i: q.embedding[i]::DOUBLE * c.embedding[i]::DOUBLE)), lambda a, b: a + b) AS score
+    FROM embeddings q JOIN embeddings c ON c.vec_id <> q.vec_id AND len(c.embedding) = len(q.embedding)
+    WHERE q.vec_id % 20 = 0
+  )
+) WHERE rank <= 20""",
     "op7_warc": """
 SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 1000 AND page_id < latest THEN 'revisit' ELSE 'response' END AS record_type,
