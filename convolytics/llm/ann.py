@@ -24,7 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from convolytics.llm.common import drop_staged, require_columns, staged
+from convolytics.llm.common import drop_staged, require_columns, staged, whole_groups
 
 _NEIGHBOURS = "node long, near array<long>, sim array<float>"
 _NODE = np.float16
@@ -78,27 +78,6 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy())
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[pa.Table]:
-    """Tables that hold whole groups of rows with an equal first column, from
-    batches sorted by it. A group of over ``most`` rows is handed out in
-    parts, if given."""
-    rest: pa.Table | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = pa.Table.from_batches([batch])
-        table = pa.concat_tables([rest, table]) if rest is not None else table
-        key = table.column(0).to_numpy()
-        cut = int(np.searchsorted(key, key[-1]))
-        if most is not None and len(key) - cut > most:
-            cut = len(key)
-        if cut:
-            yield table.slice(0, cut).combine_chunks()
-        rest = table.slice(cut) if cut < len(key) else None
-    if rest is not None:
-        yield rest.combine_chunks()
-
-
 def best_of(node: np.ndarray, near: np.ndarray, sim: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
     """Per node its ``k`` most similar distinct others, ties to smaller ids."""
     order = np.lexsort((-sim, near, node))

@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 _LOCAL_DIRS: dict[str, str] = {}
@@ -79,3 +81,24 @@ def require_columns(df: DataFrame, names: Iterable[str]) -> None:
     missing = [n for n in names if n not in df.columns]
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[pa.Table]:
+    """Tables that hold whole groups of rows with an equal first column, from
+    batches sorted by it. A group of over ``most`` rows is handed out in
+    parts, if given."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        table = pa.concat_tables([rest, table]) if rest is not None else table
+        key = table.column(0).to_numpy()
+        cut = int(np.searchsorted(key, key[-1]))
+        if most is not None and len(key) - cut > most:
+            cut = len(key)
+        if cut:
+            yield table.slice(0, cut).combine_chunks()
+        rest = table.slice(cut) if cut < len(key) else None
+    if rest is not None:
+        yield rest.combine_chunks()

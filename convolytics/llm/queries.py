@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from convolytics.llm import ann, jaccard, langid, packing, quality, sharding, token_counts, toxicity, warc
+from convolytics.llm import ann, decontamination, jaccard, langid, packing, quality, sharding, token_counts, toxicity, warc
 from convolytics.llm.common import crc_mod, read_table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -35,6 +35,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read_table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     held_out = crc_mod(F.col("doc_id"), 3) == 1
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_nn_descent": op2_nn_descent,
     "op3_quality": op3_quality,
     "op4_token_counts": op4_token_counts,
+    "op5_decontamination": op5_decontamination,
     "op6_language_id": op6_language_id,
     "op7_warc": op7_warc,
     "op8_ngram_jaccard": op8_ngram_jaccard,
