@@ -1,8 +1,85 @@
-"""A corpus pipeline (its stages follow)."""
+"""Raw documents to packed training sequences, as five stages.
 
-STAGES: list = []
+Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; ``run``
+writes it as Parquet in the shared folder and reads it back as the next
+stage's documents. All but the last keep the columns of ``docs``, whatever
+they are: the whole row travels as one struct, so no name can clash.
+
+Rows with a null text are rejected by the first stage (they have no
+language). Repeated rows pass or fail alike until the fourth, where one
+document of each group of near-duplicates stays.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from convolytics.llm import decontamination, jaccard, langid, packing, toxicity
+from convolytics.llm.common import crc_mod, read_table, staged
+from convolytics.llm.queries import TOKENIZER
+
+# below a third, no language holds the text
+LEAST_LANGUAGE_SCORE = 0.34
+TOXIC_SCORE = 0.3
+
+
+def _with_row(docs: DataFrame) -> DataFrame:
+    """``doc_id, text, lang`` and the whole row as ``row``."""
+    return docs.select("doc_id", "text", "lang", F.struct("*").alias("row"))
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a language: no letters, or no language that is
+    clearly the likeliest."""
+    model = langid.fit(docs, allowed=crc_mod(F.col("doc_id"), 3) != 1)
+    found = langid.predict(_with_row(docs), model, keep=["row"])
+    return found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select("row.*")
+
+
+def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the labelled examples nearest to them call toxic."""
+    labels = read_table(spark, sf_dir, "labels")
+    scored = toxicity.score(_with_row(docs), labels, allowed=crc_mod(F.col("doc_id"), 4) != 2, keep=["row"])
+    return scored.filter(F.col("score") < TOXIC_SCORE).select("row.*")
+
+
+def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group of near
+    duplicates (shingles of five words, similarity of 0.8 or more). A
+    repeated id keeps one row per distinct text."""
+    found = jaccard.jaccard_components(docs, num=80, den=100, words=5)
+    gone = found.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return kept.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a passage of the benchmark."""
+    found = decontamination.scan(_with_row(docs), read_table(spark, sf_dir, "benchmark"), keep=["row"])
+    return found.filter(F.size("hits") == 0).select("row.*")
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The places of the remaining documents' pieces in sequences of 4096
+    tokens."""
+    return packing.pack_documents(docs, TOKENIZER, max_len=4096, end_id=1)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("toxicity", remove_toxic),
+    ("near_duplicates", remove_near_duplicates),
+    ("decontamination", decontaminate),
+    ("packing", pack),
+]
+
+#: no SQL expresses the classifiers or the tokenizer
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole ``documents`` table."""
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
