@@ -53,31 +53,51 @@ def terms(text: str) -> Counter:
     return found
 
 
-def choose_vocabulary(examples: list[tuple[Counter, int]], size: int = 2048, least_ratio: float = 3.0, least_g2: float = 20.0) -> list[str]:
-    """The terms whose presence differs most between the labels: the largest
-    log-likelihood ratios, at least ``least_g2``, with rates that differ by
-    ``least_ratio`` or more; ties to longer terms. Of a beginning and its
-    continuations only the one that tells most is kept."""
-    n = [sum(1 for _, y in examples if y == k) for k in (0, 1)]
+def term_labels(sample: DataFrame) -> DataFrame:
+    """``term, n0, n1``: in how many examples of each label a term occurs.
+    Each task counts before the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have = [Counter(), Counter()]
+
+        def out() -> pa.RecordBatch:
+            names = list(have[0].keys() | have[1].keys())
+            columns = [pa.array(names, pa.string()), *(pa.array([h[t] for t in names], pa.int64()) for h in have)]
+            for h in have:
+                h.clear()
+            return pa.RecordBatch.from_arrays(columns, names=["term", "n0", "n1"])
+
+        for batch in batches:
+            for y, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                have[y].update(terms(text.as_py() or "").keys())
+                if len(have[0]) + len(have[1]) > 300_000:
+                    yield out()
+        yield out()
+
+    counted = sample.select("label", "text").mapInArrow(run, "term string, n0 long, n1 long")
+    return counted.groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+
+
+def choose_vocabulary(sample: DataFrame, n: tuple[int, int], size: int = 2048, least_ratio: float = 3.0, least_g2: float = 20.0) -> list[str]:
+    """The terms whose presence differs most between the labels (``n``
+    examples of each): the largest log-likelihood ratios, at least
+    ``least_g2``, with rates that differ by ``least_ratio`` or more; ties to
+    longer terms. Of a beginning and its continuations only the one that
+    tells most is kept."""
     if not n[0] or not n[1]:
         return []
-    have = [Counter(), Counter()]
-    for found, y in examples:
-        have[y].update(found.keys())
-    scored = []
-    for term in have[0].keys() | have[1].keys():
-        a, b = have[0][term], have[1][term]
-        r0, r1 = (a + 0.5) / (n[0] + 1), (b + 0.5) / (n[1] + 1)
-        if a + b < 3 or max(r0 / r1, r1 / r0) < least_ratio:
-            continue
-        share = (a + b) / (n[0] + n[1])
-        g2 = 0.0
-        for seen, total in ((a, n[0]), (b, n[1])):
-            for k, p in ((seen, share), (total - seen, 1 - share)):
-                if k:
-                    g2 += 2 * k * math.log(k / (total * p))
-        if g2 >= least_g2:
-            scored.append((-round(g2, 9), -len(term), term))
+    a, b = F.col("n0"), F.col("n1")
+    r0, r1 = (a + 0.5) / (n[0] + 1), (b + 0.5) / (n[1] + 1)
+    share = (a + b) / float(n[0] + n[1])
+
+    def part(k, expected):
+        return F.when(k > 0, 2 * k * F.log(k / expected)).otherwise(0.0)
+
+    g2 = part(a, share * n[0]) + part(n[0] - a, (1 - share) * n[0]) + part(b, share * n[1]) + part(n[1] - b, (1 - share) * n[1])
+    told = term_labels(sample).filter((a + b >= 3) & (F.greatest(r0 / r1, r1 / r0) >= least_ratio))
+    told = told.select(F.round(g2, 9).alias("g2"), "term").filter(F.col("g2") >= least_g2)
+    best = told.orderBy(F.col("g2").desc(), F.length("term").desc(), "term").limit(20 * size)
+    scored = [(-r["g2"], -len(r["term"]), r["term"]) for r in best.collect()]
     chosen: list[str] = []
     begun: set[str] = set()  # beginnings of chosen terms
     whole: set[str] = set()  # chosen terms
@@ -208,16 +228,14 @@ def score(
     label among ids that ``allowed`` selects; null labels teach nothing. The
     texts are read once for the examples and once for all term counts, which
     are stored. A text without any vocabulary term (null, empty or plain) has
-    no evidence and gets the rate of label 1 among such examples; if the
-    examples hold fewer than two labels, every text gets their smoothed
-    rate. Repeated rows each get a row.
+    no evidence and gets the rate of label 1 among such examples, or among
+    all if there are none; without any label that is one half. Repeated rows each get a row.
     """
     keep = [id_col] if keep is None else keep
     require_columns(docs, [*keep, id_col, text_col])
-    sample = labelled_texts(docs, labels, label, allowed, per_label_rows, seed, id_col, text_col)
-    found = _example_terms(sample)
-    examples = sorted(((r["doc_id"], r["terms"], r["label"], r["words"]) for r in found), key=lambda e: e[0])
-    vocabulary = choose_vocabulary([(c, y) for _, c, y, _ in examples])
+    sample = staged(labelled_texts(docs, labels, label, allowed, per_label_rows, seed, id_col, text_col), "examples")
+    sampled = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
+    vocabulary = choose_vocabulary(sample, (sampled.get(0, 0), sampled.get(1, 0)))
 
     counted = staged(count_terms(docs, vocabulary, keep, text_col), "terms")
     per_term = counted.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
@@ -226,47 +244,28 @@ def score(
     for r in per_term.collect():  # one row per vocabulary term
         idf[r["term"]] = math.log((n_docs + 1) / (r["n"] + 1)) + 1
 
-    place = {t: i for i, t in enumerate(vocabulary)}
     vectors, ids, ys, plain = [], [], [], []
-    for doc, tf, y, words in examples:
-        pairs = sorted((place[t], n) for t, n in tf.items() if t in place)
-        if pairs:
-            pairs.append((len(place), words))
-            t, n = (np.asarray(c) for c in zip(*pairs))
-            vectors.append(unit(t, n, idf))
-            ids.append(doc)
-            ys.append(y)
+    examples = count_terms(sample, vocabulary, ["doc_id", "label"], "text").collect()  # a few numbers each
+    for r in sorted(examples, key=lambda r: r["doc_id"]):
+        if len(r["terms"]) > 1:
+            vectors.append(unit(np.asarray(r["terms"]), np.asarray(r["counts"], np.float64), idf))
+            ids.append(r["doc_id"])
+            ys.append(r["label"])
         else:
-            plain.append(y)
+            plain.append(r["label"])
     index = BlockMaxIndex(vectors, np.asarray(ids, np.int64), np.asarray(ys, np.int64), len(vocabulary) + 1)
     # labels are sampled evenly: a vote weighs as many labelled rows as it
     # stands for, and so does the rate of examples without a term
     counts = _label_counts(labels, label, allowed, id_col)
-    seen = [sum(1 for e in examples if e[2] == y) for y in (0, 1)]
-    stands = [counts.get(y, 0) / max(1, seen[y]) for y in (0, 1)]
+    stands = [counts.get(y, 0) / max(1, sampled.get(y, 0)) for y in (0, 1)]
     mean = sum(counts.values()) / max(1, len(examples)) or 1.0
-    bare = [(sum(1 for p in plain if p == y) + 0.01) * stands[y] for y in (0, 1)]
-    prior = bare[1] / sum(bare) if sum(bare) else 0.5
+    rate = counts.get(1, 0) / sum(counts.values()) if counts else 0.5
+    bare = [sum(1 for p in plain if p == y) * stands[y] + 0.01 * share for y, share in ((0, 1 - rate), (1, rate))]
+    prior = bare[1] / sum(bare)
     model = ToxicityModel(vocabulary, idf, index, prior, (stands[0] / mean, stands[1] / mean), k, prior_weight)
     return _scored(counted, model, keep)
 
 
-def _example_terms(sample: DataFrame) -> list:
-    schema = "doc_id long, label int, terms map<string,int>, words long"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [x.as_py() or "" for x in batch.column(2)]
-            made = [list(terms(t).items()) for t in texts]
-            size = [len(t.split()) for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(made, pa.map_(pa.string(), pa.int32())), pa.array(size, pa.int64())],
-                names=["doc_id", "label", "terms", "words"],
-            )
-
-    return sample.select("doc_id", "label", "text").mapInArrow(run, schema).collect()
-
-
 def _label_counts(labels: DataFrame, label: str, allowed: Column, id_col: str) -> dict[int, int]:
     rows = (
         labels.select(F.col(id_col).alias("doc_id"), (F.col(label) > 0).cast("int").alias("y"))
