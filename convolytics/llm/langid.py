@@ -186,11 +186,9 @@ def fit(
         F.substring(text, start, F.lit(chars)).alias("window"),
         F.col(id_col).cast("long").alias("id"),
     )
-    sample = per_label(rows, "lang", [F.col("id"), F.col("window")], per_language, seed)
-    found = sample.select("lang", "window").limit(max_languages * per_language + 1).collect()
+    sample = per_label(rows, "lang", ["id", "window"], per_language, seed, max_languages)
+    found = sample.select("lang", "window").collect()  # at most per_language x max_languages windows
     languages = sorted({r["lang"] for r in found})
-    if len(languages) > max_languages:
-        raise ValueError(f"more than {max_languages} languages")
     if not found:
         return None
     number = {lang: k for k, lang in enumerate(languages)}
