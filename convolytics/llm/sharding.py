@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import IntegerType, LongType, StructType
 
 from convolytics.llm.common import staged
@@ -94,11 +94,13 @@ def uniform_shards(rows: DataFrame, shards: int = 16, seed: int = 17, block_rows
     The rows are stored once with their part and place, so the counts and
     the deal agree whatever is recomputed; pass only the columns to be
     moved. Nulls, repeated rows and rows of any size are dealt like any
-    other; an empty table gives an empty result. No column of ``rows`` may
-    start with ``_s10_``.
+    other; an empty table gives an empty result. Columns keep their names,
+    whatever they are (inside they go by number).
     """
     if shards < 1:
         raise ValueError("shards must be positive")
+    names = rows.columns
+    rows = rows.toDF(*(f"_s10_{i}" for i in range(len(names))))
     cols = rows.columns
     placed_schema = StructType(list(rows.schema.fields)).add("_s10_part", IntegerType()).add("_s10_pos", LongType())
 
@@ -144,18 +146,8 @@ def uniform_shards(rows: DataFrame, shards: int = 16, seed: int = 17, block_rows
     dealt = table.mapInArrow(deal, dealt_schema)
     tie = [F.col("_s10_part"), F.col("_s10_pos")]
     order = Window.partitionBy("_s10_block").orderBy(F.xxhash64(F.lit(seed), *tie), *tie)
-    starts = F.array(*[F.struct(F.lit(int(s)).alias("shard"), F.lit(int(f)).cast("long").alias("first")) for s, f in zip(shard_of, first)]) if len(size) <= 64 else None
     ranked = dealt.withColumn("_s10_rank", F.row_number().over(order).cast("long") - 1)
-    if starts is not None:
-        ranked = ranked.withColumn("_s10_at", F.element_at(starts, F.col("_s10_block") + 1))
-        return ranked.select(*_quoted(cols), F.col("_s10_at.shard").alias("shard"), (F.col("_s10_at.first") + F.col("_s10_rank")).alias("slot"))
-    spark = rows.sparkSession
-    at = spark.createDataFrame(
-        [(int(k), int(s), int(f)) for k, (s, f) in enumerate(zip(shard_of, first))], "_s10_block int, shard int, first long"
-    )
+    blocks = [(k, int(s), int(f)) for k, (s, f) in enumerate(zip(shard_of, first))]
+    at = rows.sparkSession.createDataFrame(blocks, "_s10_block int, _s10_shard int, _s10_first long")
     joined = ranked.join(at, "_s10_block")
-    return joined.select(*_quoted(cols), "shard", (F.col("first") + F.col("_s10_rank")).alias("slot"))
-
-
-def _quoted(names: list[str]) -> list[Column]:
-    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+    return joined.select(*cols, "_s10_shard", F.col("_s10_first") + F.col("_s10_rank")).toDF(*names, "shard", "slot")
