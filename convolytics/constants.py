@@ -4,19 +4,6 @@ Everything in this module must stay equal to the source dashboard's values,
 otherwise results differ. They are listed plainly, in their natural order.
 """
 
-# --- fixed values: required input columns, in declared order ---------------
-REQUIRED_COLUMNS = (
-    "TOPIC",
-    "TOPIC_DESCRIPTION",
-    "USER_QUERY",
-    "RESOLUTION",
-    "RESOLUTION_STATUS",
-    "RESOLUTION_STATUS_REASONING",
-    "USER_SENTIMENT",
-    "USER_SENTIMENT_REASONING",
-    "SESSION_ID",
-)
-
 # --- fixed values: optional columns ----------------------------------------
 INTENT_COLUMN = "intent_accuracy"
 SPAM_COLUMN = "spam_check"

@@ -5,9 +5,7 @@ from convolytics.functions.text import (
     text_or_empty,
     char_length,
     word_count,
-    word_runs,
     keyword_tokens,
-    WORD_PATTERN,
     KEYWORD_PATTERN,
 )
 from convolytics.functions.numeric import rate, share, round2, safe_divide
@@ -24,9 +22,7 @@ __all__ = [
     "text_or_empty",
     "char_length",
     "word_count",
-    "word_runs",
     "keyword_tokens",
-    "WORD_PATTERN",
     "KEYWORD_PATTERN",
     "rate",
     "share",

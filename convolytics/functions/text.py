@@ -9,9 +9,7 @@ from pyspark.sql import Column, functions as F
 
 from convolytics import constants as K
 
-# A word is a maximal run of characters that are not Unicode whitespace in
-# Python's sense (str.split() with no argument).
-WORD_PATTERN = f"[^{K.WHITESPACE_CLASS}]+"
+# What str.split() with no argument takes for white space.
 WHITESPACE_CHARS = "".join(chr(cp) for cp in K.WHITESPACE_CODE_POINTS)
 
 # A word character is a letter, a number or '_' (Python's Unicode ``\w``).
@@ -52,11 +50,6 @@ def word_count(c: Column | str) -> Column:
     return F.size(F.filter(F.split(spaced, " "), lambda w: w != F.lit(""))).cast("bigint")
 
 
-def word_runs(c: Column | str) -> Column:
-    """All maximal runs of word characters of the lower-cased text."""
-    return F.regexp_extract_all(F.lower(text_or_empty(c)), F.lit(WORD_CHAR + "+"), 0)
-
-
 def keyword_tokens(c: Column | str, stop_words: Iterable[str] = K.STOP_WORDS) -> Column:
     """F4 + F5 + P7: array of the keywords of one text, in text order.
 

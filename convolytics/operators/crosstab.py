@@ -6,12 +6,10 @@ labels at plan time. When the caller does not pass it, it is read with a
 bounded distinct (the same thing ``pivot`` does without values), and more
 than ``spark.sql.pivotMaxValues`` labels is an error, never a silent cut.
 
-The input is read once. One aggregate gives the count of every ``(row,
-col)`` pair (partial aggregation before the shuffle, so a hot key costs one
-row per partition). That table has one row per distinct pair, no larger than
-the cross-tab itself, and is persisted. The column labels, the top-k keys,
-the pivot and the totals are all computed from it. Lost executor blocks are
-recomputed from the lineage.
+The wide form is one aggregate: a count per label under the row key, combined
+in each task before the shuffle, so a hot key costs one row per task. Inside,
+columns go by position and take their labels once, at the end, so any text
+may be a label. Nothing is kept between calls.
 """
 
 from __future__ import annotations
@@ -19,8 +17,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from convolytics import constants as K
 from convolytics.schema import Columns, DEFAULT_COLUMNS
@@ -30,8 +27,12 @@ class CrosstabError(ValueError):
     pass
 
 
+def _name(column: str) -> Column:
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def both_non_null(df: DataFrame, row: str, col: str) -> DataFrame:
-    return df.filter(F.col(row).isNotNull() & F.col(col).isNotNull())
+    return df.filter(_name(row).isNotNull() & _name(col).isNotNull())
 
 
 def pivot_values(df: DataFrame, col: str, max_values: int | None = None) -> list:
@@ -43,14 +44,8 @@ def pivot_values(df: DataFrame, col: str, max_values: int | None = None) -> list
     """
     if max_values is None:
         max_values = int(df.sparkSession.conf.get("spark.sql.pivotMaxValues", "10000"))
-    rows = (
-        df.filter(F.col(col).isNotNull())
-        .select(col)
-        .distinct()
-        .orderBy(col)
-        .limit(max_values + 1)
-        .collect()
-    )
+    labels = df.filter(_name(col).isNotNull()).select(_name(col).alias("label")).distinct()
+    rows = labels.orderBy("label").limit(max_values + 1).collect()
     if len(rows) > max_values:
         raise CrosstabError(
             f"Column {col!r} has more than {max_values} distinct values; pass `values` "
@@ -59,21 +54,16 @@ def pivot_values(df: DataFrame, col: str, max_values: int | None = None) -> list
     return [r[0] for r in rows]
 
 
-def pair_counts(df: DataFrame, row: str, col: str) -> DataFrame:
-    """``row, col, n``: rows per pair with a non-null ``row`` (``col`` may be
-    null, so per-row totals over all rows can be summed from it), persisted.
-    The first action over it reads the input; later ones read the table."""
-    counts = df.filter(F.col(row).isNotNull()).groupBy(row, col).agg(F.count(F.lit(1)).alias("n"))
-    return counts.persist(StorageLevel.MEMORY_AND_DISK)
+def _counts(col: str, values: Sequence) -> list[Column]:
+    """A count per label, named by position."""
+    return [F.count(F.when(_name(col) == F.lit(v), F.lit(1))).alias(f"_c{i}") for i, v in enumerate(values)]
 
 
-def _pivot_counts(counts: DataFrame, row: str, col: str, values: Sequence) -> DataFrame:
-    """``row`` + one count column per value from the pair counts; absent
-    pairs 0."""
-    pairs = counts.filter(F.col(col).isNotNull())
-    wide = pairs.groupBy(row).pivot(col, list(values)).agg(F.sum("n"))
-    names = [str(v) for v in values]
-    return wide.na.fill(0, subset=names) if names else wide
+def _not_the_margin(key: Column, column: str, margin_label: str) -> Column:
+    """The key as text; fails at run time on a real key that reads like the
+    totals' label."""
+    message = F.lit(f"Column {column!r} holds the value {margin_label!r}, which names the totals")
+    return F.when(key.cast("string") == margin_label, F.raise_error(message)).otherwise(key.cast("string"))
 
 
 def crosstab(
@@ -89,89 +79,74 @@ def crosstab(
 
     With margins, a ``margin_label`` column holds the row totals and a last
     ``margin_label`` row the column totals (grand total in the corner); both
-    only count rows where the two keys are non-null. The totals row is a global
-    sum over the already pivoted table, so the input is aggregated once. A
-    real key equal to ``margin_label`` would be mistaken for a total and is
-    refused: at plan time for column labels, at run time for row keys.
+    only count rows where the two keys are non-null. The totals row sums the
+    aggregated table. A real key equal to ``margin_label`` would be mistaken
+    for a total and is refused: at plan time for column labels, at run time
+    for row keys.
     """
-    counts = pair_counts(df, row, col)
     if values is None:
-        values = pivot_values(counts, col)
-    wide = _pivot_counts(counts, row, col, values)
+        values = pivot_values(df.filter(_name(row).isNotNull()), col)
+    names = [str(v) for v in values]
+    wide = both_non_null(df, row, col).groupBy(_name(row).alias("_row")).agg(F.count(F.lit(1)).alias("_n"), *_counts(col, values))
+    cells = [f"_c{i}" for i in range(len(names))]
     if not margins:
-        return wide.orderBy(row)
+        return wide.orderBy("_row").select("_row", *cells).toDF(row, *names)
 
-    names = [str(v) for v in values]
     if margin_label in names:
         raise CrosstabError(f"Column {col!r} holds the value {margin_label!r}, which names the totals")
-    row_key = F.col(row).cast("string")
-    checked_row = F.when(
-        row_key == margin_label,
-        F.raise_error(F.lit(f"Column {row!r} holds the value {margin_label!r}, which names the totals")),
-    ).otherwise(row_key)
-    total = reduce(lambda a, b: a + b, [F.col(f"`{n}`") for n in names], F.lit(0).cast("bigint"))
+    total = reduce(lambda a, b: a + b, [F.col(c) for c in cells], F.lit(0).cast("bigint"))
     body = wide.select(
-        checked_row.alias(row),
-        *[F.col(f"`{n}`") for n in names],
-        total.alias(margin_label),
-        F.lit(0).alias("_is_total"),
+        _not_the_margin(F.col("_row"), row, margin_label).alias("_row"), *cells, total.alias("_all"), F.lit(0).alias("_last")
     )
-    totals = body.agg(
-        *[F.sum(F.col(f"`{n}`")).alias(n) for n in names],
-        F.sum(margin_label).alias(margin_label),
-    ).select(F.lit(margin_label).alias(row), *names, margin_label, F.lit(1).alias("_is_total"))
-    return body.unionByName(totals).orderBy("_is_total", row).drop("_is_total")
+    sums = [F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in [*cells, "_all"]]
+    totals = body.agg(*sums).select(F.lit(margin_label).alias("_row"), *cells, "_all", F.lit(1).alias("_last"))
+    both = body.unionByName(totals).orderBy("_last", "_row")
+    return both.select("_row", *cells, "_all").toDF(row, *names, margin_label)
 
 
 def crosstab_long(df: DataFrame, row: str, col: str, margins: bool = False, margin_label: str = K.MARGIN_LABEL) -> DataFrame:
     """Long form ``row, col, n``: only pairs that occur (zeros are implied).
     With margins, ``cube`` adds the per-row, per-column and grand totals,
-    labelled ``margin_label``; ``grouping()`` tells totals from real keys."""
-    pairs = both_non_null(df, row, col)
+    labelled ``margin_label``; a real key that reads the same is refused at
+    run time."""
+    pairs = both_non_null(df, row, col).select(_name(row).alias("_row"), _name(col).alias("_col"))
     if not margins:
-        return pairs.groupBy(row, col).agg(F.count(F.lit(1)).alias("n")).orderBy(row, col)
-    cubed = pairs.cube(row, col).agg(
+        return pairs.groupBy("_row", "_col").agg(F.count(F.lit(1)).alias("n")).orderBy("_row", "_col").toDF(row, col, "n")
+    cubed = pairs.cube("_row", "_col").agg(
         F.count(F.lit(1)).alias("n"),
-        F.grouping(row).alias("_gr"),
-        F.grouping(col).alias("_gc"),
+        F.grouping("_row").alias("_gr"),
+        F.grouping("_col").alias("_gc"),
     )
     label = F.lit(margin_label)
-    return cubed.select(
-        F.when(F.col("_gr") == 1, label).otherwise(F.col(row).cast("string")).alias(row),
-        F.when(F.col("_gc") == 1, label).otherwise(F.col(col).cast("string")).alias(col),
+    named = cubed.select(
+        F.when(F.col("_gr") == 1, label).otherwise(_not_the_margin(F.col("_row"), row, margin_label)).alias("_row"),
+        F.when(F.col("_gc") == 1, label).otherwise(_not_the_margin(F.col("_col"), col, margin_label)).alias("_col"),
         "n",
         "_gr",
         "_gc",
-    ).orderBy("_gr", row, "_gc", col).drop("_gr", "_gc")
+    )
+    return named.orderBy("_gr", "_row", "_gc", "_col").select("_row", "_col", "n").toDF(row, col, "n")
 
 
 def crosstab_top(df: DataFrame, row: str, col: str, k: int, values: Sequence | None = None) -> DataFrame:
     """J1 + C2/C4/C7: the cross-tab restricted to the ``k`` most frequent
     ``row`` keys, in frequency order (``rank`` 1..k).
 
-    Everything comes from the persisted pair counts: the key totals (all
-    rows with that key, null partners included) give the top ``k``, which is
-    the size bound for both broadcasts: a left-semi join keeps the pairs of
-    the top keys before the pivot, and the k-row pivot result is joined back
-    to the top-k keys. A top key whose partner values are all null gets a row
-    of zeros. Column labels come from the whole table, so a label seen only
-    outside the top-k keeps its (zero) column.
+    One aggregate counts every key's rows (null partners included, for the
+    ranking) and its pairs; the first ``k`` keys are its answer, ranked in an
+    array of ``k`` entries. A top key whose partner values are all null has a
+    row of zeros. Column labels come from the whole table, so a label seen
+    only outside the top-k keeps its (zero) column.
     """
-    counts = pair_counts(df, row, col)
     if values is None:
-        values = pivot_values(counts, col)
-    names = [str(v) for v in values]
-    totals = counts.groupBy(row).agg(F.sum("n").alias("n"))
-    top = totals.orderBy(F.col("n").desc(), F.col(row).asc()).limit(k)
-    trimmed = counts.join(F.broadcast(top.select(row)), row, "left_semi")
-    xt = _pivot_counts(trimmed, row, col, values)
-    ranked = top.select(
-        F.row_number().over(Window.orderBy(F.col("n").desc(), F.col(row).asc())).cast("bigint").alias("rank"),
-        row,
-    )
-    out = ranked.join(F.broadcast(xt), row, "left")
-    out = out.na.fill(0, subset=names) if names else out
-    return out.select("rank", row, *[F.col(f"`{n}`") for n in names]).orderBy("rank")
+        values = pivot_values(df.filter(_name(row).isNotNull()), col)
+    counted = df.filter(_name(row).isNotNull()).groupBy(_name(row).alias("_row")).agg(F.count(F.lit(1)).alias("_n"), *_counts(col, values))
+    cells = [f"_c{i}" for i in range(len(values))]
+    top = counted.orderBy(F.col("_n").desc(), F.col("_row").asc()).limit(k)
+    packed = top.agg(F.sort_array(F.collect_list(F.struct((-F.col("_n")).alias("_n"), "_row", *cells))).alias("_top"))
+    ranked = packed.select(F.posexplode("_top").alias("_at", "_key"))
+    out = ranked.select((F.col("_at") + 1).cast("bigint"), "_key._row", *[f"_key.{c}" for c in cells])
+    return out.toDF("rank", row, *[str(v) for v in values])
 
 
 # --- the dashboard's cross-tabs ---------------------------------------------

@@ -5,17 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
-def spread(source: DataFrame) -> DataFrame:
-    """Round-robin a freshly read table over the cluster when it arrives in
-    fewer splits than there are task slots (one unsplittable multi-line CSV,
-    a single Parquet row group); otherwise return it unchanged.
-
-    Meant for the output of a source, before per-row CPU work such as
-    tokenising whole texts. A large input already has far more splits than
-    slots, so no shuffle is added. On a source the partition count comes from
-    planning the scan; call it on shuffled plans and it would run them.
-    """
-    slots = source.sparkSession.sparkContext.defaultParallelism
-    if source.rdd.getNumPartitions() < slots:
-        return source.repartition(slots)
-    return source
+def spread(source: DataFrame, partitions: int) -> DataFrame:
+    """Round-robin a freshly read table over ``partitions`` tasks, for inputs
+    that arrive in few splits (one unsplittable multi-line CSV, a single
+    Parquet row group) before per-row CPU work such as tokenising whole
+    texts. The caller decides; the plan never depends on the data's size."""
+    return source.repartition(partitions)

@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import DoubleType, FloatType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, FloatType, StructType, TimestampType
 
 from convolytics.functions.numeric import round2, share
 from convolytics.schema import Columns, DEFAULT_COLUMNS
@@ -26,80 +25,40 @@ def _missing_in_row(df: DataFrame) -> Column:
     return reduce(lambda a, b: a + b, terms, F.lit(0)).cast("bigint")
 
 
-# Bytes a candidate row-hash pair is assumed to take in a broadcast table.
-_CANDIDATE_BYTES = 32
-
-
-def _row_hashes(df: DataFrame) -> list[Column]:
-    """Two independent hashes (64 + 32 bits) of the whole row. The null flags
-    are hashed too, so ``(x, null)`` and ``(null, x)`` differ. Spark hashes
-    ``-0.0`` like ``0.0`` and every NaN alike, the same equality ``groupBy``
-    uses, so equal rows always get equal hashes."""
-    cols = [F.col(f"`{n}`") for n in df.columns]
-    flags = [c.isNull() for c in cols]
-    return [F.xxhash64(*cols, *flags).alias("_h1"), F.hash(*cols, *flags).alias("_h2")]
-
-
-def _size_bytes(text: str | None) -> int:
-    """A Spark byte-size setting (``10485760b``, ``10MB``, ``-1``) in bytes."""
-    if not text:
-        return -1
-    t = text.strip().lower()
-    for suffix, scale in (("kb", 1 << 10), ("mb", 1 << 20), ("gb", 1 << 30), ("tb", 1 << 40),
-                          ("k", 1 << 10), ("m", 1 << 20), ("g", 1 << 30), ("t", 1 << 40), ("b", 1)):
-        if t.endswith(suffix):
-            return int(float(t[: -len(suffix)]) * scale)
-    return int(t)
-
-
-def _candidate_bound(df: DataFrame) -> int:
-    """How many duplicate-candidate hash groups may be broadcast: Spark's own
-    broadcast size limit divided by the size of one entry; 0 when automatic
-    broadcasting is switched off."""
-    limit = _size_bytes(df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760b"))
-    return max(0, limit // _CANDIDATE_BYTES)
-
-
-def _shape_by_whole_row(df: DataFrame, n_cols: Column) -> DataFrame:
-    """D1-D3 from one aggregate keyed by the whole row: the missing-cell count
-    is a function of the key, so it is summed from the group sizes. Map-side
-    combining collapses copies within each partition before the shuffle, but
-    every distinct row is shuffled whole."""
-    groups = df.groupBy(*[F.col(f"`{n}`") for n in df.columns]).agg(
-        F.count(F.lit(1)).alias("_copies"), _missing_in_row(df).alias("_missing")
-    )
-    return groups.agg(
-        F.coalesce(F.sum("_copies"), F.lit(0)).cast("bigint").alias("row_count"),
-        n_cols,
-        F.coalesce(F.sum(F.col("_copies") * F.col("_missing")), F.lit(0)).cast("bigint").alias("missing_cells"),
-        F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).cast("bigint").alias("duplicate_rows"),
-    )
-
-
-def profile_shape(df: DataFrame, duplicates: bool = True, max_candidates: int | None = None) -> DataFrame:
+def _encoded(df: DataFrame, name: str) -> Column:
+    """One value as text that no other value shares: a null mark, or the
+    length of its text and the text. Floats count -0.0 as 0.0 and every NaN
+    alike, the equality ``groupBy`` uses; nested values go through JSON."""
+    c, kind = F.col(f"`{name}`"), df.schema[name].dataType
+    if isinstance(kind, (DoubleType, FloatType)):
+        # adding zero turns -0.0 into 0.0
+        text = F.when(F.isnan(c), F.lit("NaN")).otherwise((c + F.lit(0.0).cast(kind)).cast("string"))
+    elif isinstance(kind, TimestampType):
+        text = F.unix_micros(c).cast("string")
+    elif isinstance(kind, BinaryType):
+        text = F.hex(c)
+    elif isinstance(kind, (ArrayType, StructType)):
+        text = F.to_json(F.struct(c.alias("v")), {"ignoreNullFields": "false"})
+    else:
+        text = c.cast("string")
+    return F.when(c.isNull(), F.lit("-")).otherwise(F.concat(F.length(text).cast("string"), F.lit(":"), text))
+
+
+def row_digest(df: DataFrame) -> Column:
+    """SHA-256 of the whole row in an unambiguous encoding: equal rows (null
+    equal to null) have equal digests, others in practice never."""
+    return F.unhex(F.sha2(F.concat(*[_encoded(df, n) for n in df.columns]), 256))
+
+
+def profile_shape(df: DataFrame, duplicates: bool = True) -> DataFrame:
     """D1-D3 in one row: ``row_count``, ``column_count``, ``missing_cells`` and
     ``duplicate_rows`` (rows equal to an earlier row in every column, null
     equal to null).
 
-    Duplicates are counted exactly without shuffling whole rows:
-
-    1. one job groups the rows by a 96-bit row hash (the shuffle carries 12
-       bytes per distinct hash and partition) and counts the hash groups with
-       more than one row. Only rows in those groups can be copies;
-    2. if there are none, the result is a single global aggregate. If there
-       are at most ``max_candidates`` (default: Spark's broadcast size limit
-       over the entry size), that candidate set is kept (persisted, small)
-       and broadcast; the second scan flags candidate rows through it and
-       groups them by their full value, while every other row falls into one
-       group per partition. Only candidate rows cross the shuffle whole, and a
-       hot group of copies collapses map-side to one row per partition;
-    3. beyond the bound, one aggregate keyed by the whole row does it all.
-
-    Hash collisions only add candidates, which the exact grouping resolves.
-    The input is read twice, so it should be materialised (as the dashboard
-    does); for an input that is costly to derive, ``max_candidates=0``
-    selects the single-pass whole-row plan.
-    """
+    One scan and one aggregate by the row's 32-byte digest, combined in each
+    task before the shuffle: a hot group of copies costs one small row per
+    task, and no row crosses the shuffle whole. The plan is the same at every
+    size."""
     n_cols = F.lit(len(df.columns)).cast("bigint").alias("column_count")
     missing = _missing_in_row(df)
     if not duplicates:
@@ -108,42 +67,13 @@ def profile_shape(df: DataFrame, duplicates: bool = True, max_candidates: int |
             n_cols,
             F.coalesce(F.sum(missing), F.lit(0)).cast("bigint").alias("missing_cells"),
         )
-    bound = _candidate_bound(df) if max_candidates is None else max_candidates
-    if bound <= 0:
-        return _shape_by_whole_row(df, n_cols)
-
-    by_hash = df.select(*_row_hashes(df)).groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_n"))
-    candidates = by_hash.filter(F.col("_n") > 1).select("_h1", "_h2", F.lit(True).alias("_cand"))
-    candidates = candidates.persist(StorageLevel.MEMORY_AND_DISK)
-    n_candidates = candidates.count()
-    if n_candidates == 0:
-        candidates.unpersist()
-        return df.agg(
-            F.count(F.lit(1)).alias("row_count"),
-            n_cols,
-            F.coalesce(F.sum(missing), F.lit(0)).cast("bigint").alias("missing_cells"),
-            F.lit(0).cast("bigint").alias("duplicate_rows"),
-        )
-    if n_candidates > bound:
-        candidates.unpersist()
-        return _shape_by_whole_row(df, n_cols)
-
-    names = df.columns
-    flagged = df.select(*_row_hashes(df), *[F.col(f"`{n}`") for n in names], missing.alias("_missing")).join(
-        F.broadcast(candidates), ["_h1", "_h2"], "left"
-    )
-    is_cand = F.col("_cand").isNotNull()
-    # Non-candidate rows get an all-null key plus a false flag, so they form
-    # one group that never meets a real all-null candidate row.
-    keys = [is_cand.alias("_is_cand")] + [F.when(is_cand, F.col(f"`{n}`")).alias(f"_k{i}") for i, n in enumerate(names)]
-    groups = flagged.groupBy(*keys).agg(F.count(F.lit(1)).alias("_copies"), F.sum("_missing").alias("_missing"))
+    rows = df.select(row_digest(df).alias("_row"), missing.alias("_missing"))
+    groups = rows.groupBy("_row").agg(F.count(F.lit(1)).alias("_copies"), F.sum("_missing").alias("_missing"))
     return groups.agg(
         F.coalesce(F.sum("_copies"), F.lit(0)).cast("bigint").alias("row_count"),
         n_cols,
         F.coalesce(F.sum("_missing"), F.lit(0)).cast("bigint").alias("missing_cells"),
-        F.coalesce(F.sum(F.when(F.col("_is_cand"), F.col("_copies") - 1)), F.lit(0)).cast("bigint").alias(
-            "duplicate_rows"
-        ),
+        F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).cast("bigint").alias("duplicate_rows"),
     )
 
 

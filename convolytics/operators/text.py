@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from convolytics import constants as K
@@ -34,21 +33,23 @@ def histogram(df: DataFrame, column: str, bins: int = K.HISTOGRAM_BINS) -> DataF
     last bin closed on the right, empty bins kept: ``bin, bin_start,
     bin_end, n``. If min = max the range is min - 0.5 .. max + 0.5.
 
-    The input is first reduced to one row per distinct value (partial
-    aggregation, so the shuffle carries at most one row per value and
-    partition). That table is persisted, so the input (and any per-row work
-    behind the column, such as tokenising texts) is read once. Min, max and
-    the bin of each value come from the persisted table; if an executor is
-    lost, its blocks are recomputed from the lineage. Bin placement follows
-    the edge comparisons of numpy's histogram (float edges ``lo + i * step``),
-    so values on an edge land where numpy puts them.
+    Null and NaN values are left out, as the dashboard does; without any
+    value the range is 0 .. 1. The input is first reduced to one row per
+    distinct value (partial aggregation, so the shuffle carries at most one
+    row per value and partition), which both the bounds and the bins read.
+    Bin placement follows the edge comparisons of numpy's histogram (float
+    edges ``lo + i * step``), so values on an edge land where numpy puts
+    them.
     """
-    counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.persist(StorageLevel.MEMORY_AND_DISK)
-    counts.count()
-    # one scalar subquery for both bounds
-    bounds = counts.agg(
-        F.struct(F.min(column).cast("double").alias("lo"), F.max(column).cast("double").alias("hi"))
+    valid = F.col(column).isNotNull()
+    if dict(df.dtypes)[column] in ("float", "double"):
+        valid &= ~F.isnan(column)
+    counts = df.filter(valid).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    # one scalar subquery for both bounds; it sums n too, so that it is the
+    # same aggregate as the one placed below
+    seen = counts.agg(F.min(column).cast("double").alias("lo"), F.max(column).cast("double").alias("hi"), F.sum("n").alias("n"))
+    bounds = seen.select(
+        F.struct(F.coalesce("lo", F.lit(0.0)).alias("lo"), F.coalesce("hi", F.lit(1.0)).alias("hi"), "n")
     ).scalar()
 
     def with_range(frame: DataFrame) -> DataFrame:
@@ -120,8 +121,8 @@ def top_keywords(
     joining every query into one string is not reproduced because a space
     never joins two tokens. Counting is a partial aggregate per keyword before
     the shuffle, so a very common keyword costs one row per partition, and the
-    top-n is taken per partition before the final merge. Pass a source read
-    through ``partitioning.spread`` when it arrives in very few splits.
+    top-n is taken per partition before the final merge. For a source that
+    arrives in very few splits see ``partitioning.spread``.
     """
     column = column or cols.query
     stop = tuple(stop_words) + tuple(extra_stop_words)

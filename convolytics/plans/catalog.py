@@ -5,7 +5,6 @@ the driver's tables (see ``sources.fixtures``). Each entry takes
 
 from __future__ import annotations
 
-import weakref
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,32 +16,16 @@ from convolytics.operators import kpis
 from convolytics.operators import profile as pf
 from convolytics.operators import text as tx
 from convolytics.operators.features import add_text_features
-from convolytics.operators.partitioning import spread
 from convolytics.schema import DEFAULT_COLUMNS as C
+from convolytics.sinks.reports import topic_summary_export
 from convolytics.sources import fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-# Lazy plans of the featurised session table, per session and directory.
-# Only the DataFrame definition is shared (building it costs a few thousand
-# driver round trips and three Parquet footer reads); nothing is cached or
-# persisted, so every query still scans and joins the whole tables.
-_PLANS: "weakref.WeakKeyDictionary[SparkSession, dict[str, DataFrame]]" = weakref.WeakKeyDictionary()
-
-
 def featured_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The session table with its four text features."""
-    plans = _PLANS.setdefault(spark, {})
-    key = sf_dir.rstrip("/")
-    if key not in plans:
-        plans[key] = add_text_features(fixtures.sessions(spark, key))
-    return plans[key]
-
-
-def clear_plans() -> None:
-    """Forget the shared plans (for instance after the input files change)."""
-    _PLANS.clear()
+    return fixtures.featured_sessions(spark, sf_dir)
 
 
 def _on_sessions(op: Callable[[DataFrame], DataFrame]) -> Query:
@@ -56,6 +39,7 @@ def _on_sessions(op: Callable[[DataFrame], DataFrame]) -> Query:
 QUERIES: dict[str, Query] = {
     # grouped summaries
     "topic_summary_report": _on_sessions(gr.topic_summary_report),
+    "topic_summary_export": _on_sessions(topic_summary_export),
     "topic_summary": _on_sessions(gr.topic_summary),
     "resolution_rate_by_topic": _on_sessions(gr.resolution_rate_by_topic),
     "accuracy_by_status": _on_sessions(gr.accuracy_by_status),
@@ -97,15 +81,12 @@ QUERIES: dict[str, Query] = {
     # keywords
     "top_keywords": _on_sessions(lambda df: tx.top_keywords(df, top_n=30)),
     "top_keywords_documents": lambda spark, d: tx.top_keywords(
-        spread(fixtures.documents(spark, d).select("text")), "text", top_n=30
+        fixtures.documents(spark, d).select("text"), "text", top_n=30
     ),
     # data-quality profile
-    # The session table is derived per query by joins that shuffle its texts;
-    # a second pass would derive it again, so this query takes the
-    # single-pass whole-row plan. Inputs read straight from storage (below,
-    # and the dashboard's materialised table) use the hash-first plan.
-    "profile_shape": _on_sessions(lambda df: pf.profile_shape(df, max_candidates=0)),
-    "profile_shape_documents": lambda spark, d: pf.profile_shape(fixtures.documents(spark, d).select("text", "lang")),
+    "profile_shape": _on_sessions(pf.profile_shape),
+    # every column but the id, which makes each row its own
+    "profile_shape_documents": lambda spark, d: pf.profile_shape(fixtures.documents(spark, d).drop("doc_id")),
     "profile_types": _on_sessions(pf.profile_types),
     "profile_missing": _on_sessions(pf.profile_missing),
     # the text features are added to the ten rows kept, not to the whole table

@@ -25,13 +25,12 @@ from convolytics.operators import kpis
 from convolytics.operators import profile as pf
 from convolytics.operators import text as tx
 from convolytics.operators.features import add_text_features
-from convolytics.operators.partitioning import spread
 from convolytics.schema import Columns, DEFAULT_COLUMNS, DEFAULT_LABELS, Labels, has_quality_columns, validate
 from convolytics.session import checkpoint_dir
 from convolytics.sources.csv import load_sessions
 
 
-def materialize(df: DataFrame, how: str = "checkpoint") -> DataFrame:
+def materialize(df: DataFrame, how: str = "table") -> DataFrame:
     """``checkpoint``: reliable checkpoint in ``spark.checkpoint.dir`` (cuts
     the lineage); ``table``: Parquet table written under the same folder and
     read back; ``cache``: memory-and-disk persistence (recomputed from the
@@ -114,7 +113,7 @@ def dashboard(
     sessions: DataFrame,
     cols: Columns = DEFAULT_COLUMNS,
     labels: Labels = DEFAULT_LABELS,
-    materialize_how: str = "checkpoint",
+    materialize_how: str = "table",
     only: Sequence[str] | None = None,
 ) -> dict[str, DataFrame]:
     """Validates, featurises and materialises ``sessions`` once, then plans
@@ -130,6 +129,6 @@ def run_dashboard(
     fmt: str | None = None,
     cols: Columns = DEFAULT_COLUMNS,
     labels: Labels = DEFAULT_LABELS,
-    materialize_how: str = "checkpoint",
+    materialize_how: str = "table",
 ) -> dict[str, DataFrame]:
-    return dashboard(spread(load_sessions(spark, path, fmt, cols)), cols, labels, materialize_how)
+    return dashboard(load_sessions(spark, path, fmt, cols), cols, labels, materialize_how)

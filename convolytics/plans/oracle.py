@@ -149,6 +149,14 @@ ORACLE_SQL: dict[str, str] = {
   {_round2(_rate("USER_SENTIMENT = 'positive'"))} AS positive_sentiment_pct,
   {_round2(_avg('query_word_count'))} AS avg_query_words,
   {_round2(_avg('resolution_word_count'))} AS avg_response_words
+FROM featured WHERE TOPIC IS NOT NULL GROUP BY TOPIC"""
+    ),
+    "topic_summary_export": _with(
+        f"""SELECT TOPIC, count(SESSION_ID) AS "{K.TOPIC_SUMMARY_HEADERS[0]}",
+  {_round2(_rate("RESOLUTION_STATUS = 'resolved'"))} AS "{K.TOPIC_SUMMARY_HEADERS[1]}",
+  {_round2(_rate("USER_SENTIMENT = 'positive'"))} AS "{K.TOPIC_SUMMARY_HEADERS[2]}",
+  {_round2(_avg('query_word_count'))} AS "{K.TOPIC_SUMMARY_HEADERS[3]}",
+  {_round2(_avg('resolution_word_count'))} AS "{K.TOPIC_SUMMARY_HEADERS[4]}"
 FROM featured WHERE TOPIC IS NOT NULL GROUP BY TOPIC"""
     ),
     "topic_summary": _with(
@@ -291,9 +299,11 @@ GROUP BY CUBE (TOPIC, RESOLUTION_STATUS)"""
   CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM featured)) AS BIGINT) AS duplicate_rows
 FROM featured"""
     ),
-    "profile_shape_documents": """SELECT count(*) AS row_count, CAST(2 AS BIGINT) AS column_count,
-  CAST(sum(CAST(text IS NULL AS BIGINT) + CAST(lang IS NULL AS BIGINT)) AS BIGINT) AS missing_cells,
-  CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT text, lang FROM documents)) AS BIGINT) AS duplicate_rows
+    "profile_shape_documents": """SELECT count(*) AS row_count, CAST(4 AS BIGINT) AS column_count,
+  CAST(sum(CAST(text IS NULL AS BIGINT) + CAST(lang IS NULL AS BIGINT) + CAST(source IS NULL AS BIGINT)
+    + CAST(n_chars IS NULL AS BIGINT)) AS BIGINT) AS missing_cells,
+  CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT text, lang, source, n_chars FROM documents)) AS BIGINT)
+    AS duplicate_rows
 FROM documents""",
     "profile_types": _with(
         "SELECT t.position, t.column_name, t.data_type, c.non_null_count FROM ("

@@ -18,9 +18,9 @@ from datetime import datetime
 from pyspark.sql import DataFrame, functions as F
 
 from convolytics import constants as K
-from convolytics.operators.crosstab import xt_topic_sentiment_margins, xt_topic_status_margins
+from convolytics.operators.crosstab import CrosstabError, xt_topic_sentiment_margins, xt_topic_status_margins
 from convolytics.operators.grouped import topic_summary_report
-from convolytics.schema import Columns, DEFAULT_COLUMNS
+from convolytics.schema import Columns, DEFAULT_COLUMNS, DEFAULT_LABELS, Labels
 
 CSV_WRITE_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "nullValue": "", "emptyValue": "", "encoding": "UTF-8"}
 
@@ -32,14 +32,19 @@ def report_path(out_dir: str, report: str, run_ts: datetime | None = None) -> st
 
 
 def write_csv(df: DataFrame, path: str, single_file: bool = False, mode: str = "errorifexists") -> str:
+    seen: dict[str, str] = {}
+    for name in df.columns:
+        other = seen.setdefault(name.lower(), name)
+        if other is not name:
+            raise CrosstabError(f"Columns {other!r} and {name!r} differ only in case and cannot be told apart in a file")
     out = df.coalesce(1) if single_file else df
     out.write.mode(mode).options(**CSV_WRITE_OPTIONS).csv(path)
     return path
 
 
-def topic_summary_export(featured: DataFrame, cols: Columns = DEFAULT_COLUMNS) -> DataFrame:
+def topic_summary_export(featured: DataFrame, cols: Columns = DEFAULT_COLUMNS, labels: Labels = DEFAULT_LABELS) -> DataFrame:
     """K1 body: the topic summary with the exported column headers."""
-    rep = topic_summary_report(featured, cols)
+    rep = topic_summary_report(featured, cols, labels)
     value_cols = ["total_conversations", "resolution_rate_pct", "positive_sentiment_pct", "avg_query_words", "avg_response_words"]
     return rep.select(F.col(cols.topic), *[F.col(c).alias(h) for c, h in zip(value_cols, K.TOPIC_SUMMARY_HEADERS)])
 
@@ -51,6 +56,7 @@ def export_reports(
     cols: Columns = DEFAULT_COLUMNS,
     full_format: str = "csv",
     single_file_summaries: bool = False,
+    labels: Labels = DEFAULT_LABELS,
 ) -> dict[str, str]:
     """K1-K4: writes the topic summary, the topic x status and topic x
     sentiment cross-tabs with totals, and the full featurised table. Returns
@@ -59,7 +65,7 @@ def export_reports(
     run_ts = run_ts or datetime.now()
     paths = {
         K.REPORT_TOPIC_SUMMARY: write_csv(
-            topic_summary_export(featured, cols), report_path(out_dir, K.REPORT_TOPIC_SUMMARY, run_ts), single_file_summaries
+            topic_summary_export(featured, cols, labels), report_path(out_dir, K.REPORT_TOPIC_SUMMARY, run_ts), single_file_summaries
         ),
         K.REPORT_RESOLUTION: write_csv(
             xt_topic_status_margins(featured, cols), report_path(out_dir, K.REPORT_RESOLUTION, run_ts), single_file_summaries

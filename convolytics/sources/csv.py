@@ -71,7 +71,9 @@ def normalize_null_tokens(df: DataFrame, columns: Sequence[str] | None = None) -
 
 def _field_count(raw: F.Column) -> F.Column:
     """Fields in one raw CSV record: separators outside quoted fields + 1."""
-    unquoted = F.regexp_replace(raw, F.lit('"(?:[^"]|"")*"'), F.lit(""))
+    # possessive: no recursion, whatever the length; a doubled quote is two
+    # quoted runs side by side
+    unquoted = F.regexp_replace(raw, F.lit('"[^"]*+"'), F.lit(""))
     return F.length(unquoted) - F.length(F.regexp_replace(unquoted, F.lit(","), F.lit(""))) + 1
 
 
@@ -127,7 +129,7 @@ def detect_format(path: str) -> str:
         raise UnsupportedFormatError("Legacy .xls workbooks are not supported; save as .xlsx or CSV")
     if path.endswith(".parquet"):
         return "parquet"
-    raise UnsupportedFormatError("Unsupported file format. Please upload CSV or Excel file.")
+    raise UnsupportedFormatError(f"Cannot tell the format of {path!r}: expected a .csv, .xlsx or .parquet suffix")
 
 
 def load_sessions(

@@ -26,6 +26,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from convolytics.functions.text import char_length, word_count
+from convolytics.schema import DEFAULT_COLUMNS as C
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -34,7 +37,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The session table (nine required columns, the two quality columns and
     ``suggestion``), all strings."""
+    return featured_sessions(spark, sf_dir).drop(*_FEATURES)
+
+
+_FEATURES = (C.query_length, C.query_words, C.resolution_length, C.resolution_words)
+
+
+def featured_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The session table with its four text features. The features are
+    taken from the turns before the joins, so an analysis that reads only
+    them moves numbers, never texts."""
     conv = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    conv = conv.withColumns({"chars": char_length("text"), "words": word_count("text")})
     # Only assistant text is kept as a resolution; of other turns only the
     # length is used, so their text never enters the shuffle.
     nxt = conv.select(
@@ -43,6 +57,8 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("role").alias("nr"),
         F.when(F.col("role") == "assistant", F.col("text")).alias("nt"),
         F.length("text").alias("nt_len"),
+        F.col("chars").alias("nt_chars"),
+        F.col("words").alias("nt_words"),
     )
     last_turn = conv.groupBy("conv_id").agg(F.max("turn").alias("mt"))
     docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("conv_id"), "lang", "source")
@@ -73,17 +89,23 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id",
         "turn",
         "text",
+        "chars",
+        "words",
         "nr",
         "nt",
+        "nt_chars",
+        "nt_words",
         topic.alias("TOPIC"),
         status.alias("RESOLUTION_STATUS"),
         sentiment.alias("USER_SENTIMENT"),
     )
+    no_query, answered = (cid + turn) % 17 == 3, F.col("nr") == "assistant"
+    zero = F.lit(0).cast("bigint")
     return labelled.select(
         "TOPIC",
         F.concat(F.lit("Conversations about "), "TOPIC").alias("TOPIC_DESCRIPTION"),
-        F.when((cid + turn) % 17 == 3, F.lit(None).cast("string")).otherwise(F.col("text")).alias("USER_QUERY"),
-        F.when(F.col("nr") == "assistant", F.col("nt")).alias("RESOLUTION"),
+        F.when(no_query, F.lit(None).cast("string")).otherwise(F.col("text")).alias("USER_QUERY"),
+        F.when(answered, F.col("nt")).alias("RESOLUTION"),
         "RESOLUTION_STATUS",
         F.concat(F.lit("Status assessed as "), "RESOLUTION_STATUS").alias("RESOLUTION_STATUS_REASONING"),
         "USER_SENTIMENT",
@@ -95,6 +117,10 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("intent_accuracy"),
         F.when((cid * 7 + turn) % 10 == 0, F.lit("spam")).otherwise(F.lit("not_spam")).alias("spam_check"),
         F.when(F.col("RESOLUTION_STATUS") == "unresolved", F.lit("Offer a follow-up")).alias("suggestion"),
+        F.when(no_query, zero).otherwise(F.col("chars")).alias(C.query_length),
+        F.when(no_query, zero).otherwise(F.col("words")).alias(C.query_words),
+        F.when(answered, F.col("nt_chars")).otherwise(zero).alias(C.resolution_length),
+        F.when(answered, F.col("nt_words")).otherwise(zero).alias(C.resolution_words),
     )
 
 

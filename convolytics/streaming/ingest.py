@@ -5,8 +5,8 @@ session files landing in a folder, Structured Streaming does the same work
 incrementally: each new file is read with the same name-checked CSV reader
 (S1, S4, long-row guard), featurised (P1) and appended to a Parquet table
 (K4), and the running KPIs (A1-A6) are kept as a streaming aggregate.
-Exactly-once bookkeeping lives in a checkpoint under ``spark.checkpoint.dir``
-unless the caller names another shared location.
+Exactly-once bookkeeping lives in the checkpoint folder that the caller names
+for each sink.
 """
 
 from __future__ import annotations
@@ -19,7 +19,6 @@ from pyspark.sql.streaming import StreamingQuery
 from convolytics.functions.numeric import rate
 from convolytics.operators.features import add_text_features
 from convolytics.schema import Columns, DEFAULT_COLUMNS, DEFAULT_LABELS, Labels, validate_names
-from convolytics.session import checkpoint_dir
 from convolytics.sources.csv import csv_reader_options, csv_schema, guard_long_rows, normalize_null_tokens
 
 
@@ -37,19 +36,16 @@ def session_stream(
     return add_text_features(normalize_null_tokens(guard_long_rows(raw, names), names), cols)
 
 
-def _checkpoint(spark: SparkSession, name: str, location: str | None) -> str:
-    return location or f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}"
-
-
 def export_stream(
-    featured: DataFrame, sink_dir: str, checkpoint_location: str | None = None, available_now: bool = True
+    featured: DataFrame, sink_dir: str, checkpoint_location: str, available_now: bool = True
 ) -> StreamingQuery:
-    """K4 as a stream: append featurised rows to a Parquet table."""
-    spark = featured.sparkSession
+    """K4 as a stream: append featurised rows to a Parquet table. Every sink
+    needs a checkpoint folder of its own on shared storage: it records what
+    this sink has received."""
     writer = (
         featured.writeStream.format("parquet")
         .outputMode("append")
-        .option("checkpointLocation", _checkpoint(spark, "export", checkpoint_location))
+        .option("checkpointLocation", checkpoint_location)
     )
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     return writer.start(sink_dir)
@@ -61,8 +57,8 @@ def running_kpis(featured: DataFrame, cols: Columns = DEFAULT_COLUMNS, labels: L
     exact distinct counts would keep every key in the state store."""
     return featured.agg(
         F.count(F.lit(1)).alias("total_conversations"),
-        F.approx_count_distinct(cols.topic).alias("unique_topics"),
-        F.approx_count_distinct(cols.session_id).alias("unique_sessions"),
+        F.approx_count_distinct(cols.topic).alias("approx_unique_topics"),
+        F.approx_count_distinct(cols.session_id).alias("approx_unique_sessions"),
         rate(F.col(cols.status) == labels.resolved).alias("resolution_rate_pct"),
         rate(F.col(cols.sentiment) == labels.negative).alias("negative_sentiment_pct"),
         rate(F.col(cols.status) == labels.drop_off).alias("drop_off_rate_pct"),

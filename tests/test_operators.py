@@ -237,16 +237,13 @@ def test_empty_table(spark):
     assert all(r.n == 0 for r in tx.hist_query_words(df).collect())
 
 
-@pytest.mark.parametrize("max_candidates", [None, 0, 1, 2, 1000])
-def test_profile_shape_duplicate_paths_agree(spark, max_candidates):
-    # every path (no candidates, broadcast candidates, whole-row fallback)
-    # against a brute-force count on rows with nulls, NaN, -0.0 and a hot group
+def test_profile_shape_on_nulls_nan_zeros_and_a_hot_group(spark):
     import pandas as pd
 
     rows = [(1, None, 0.0), (1, None, -0.0), (None, 1, 0.0), (None, None, None), (None, None, None),
             (2, None, float("nan")), (2, None, float("nan")), (3, 4, 1.5)] + [(7, 7, 7.0)] * 40
     df = spark.createDataFrame(rows, "a int, b int, c double")
-    r = pf.profile_shape(df, max_candidates=max_candidates).first()
+    r = pf.profile_shape(df).first()
     pdf = pd.DataFrame(rows, columns=["a", "b", "c"]).replace({-0.0: 0.0})
     assert r.row_count == len(rows)
     assert r.missing_cells == int(pdf.isna().sum().sum())
@@ -261,13 +258,74 @@ def test_profile_shape_no_duplicates_and_empty(spark):
     assert (empty.row_count, empty.missing_cells, empty.duplicate_rows) == (0, 0, 0)
 
 
-def test_profile_shape_broadcasts_only_candidates(spark):
-    df = spark.createDataFrame([(i % 5, "x" * (i % 3)) for i in range(60)], "a int, b string")
-    out = pf.profile_shape(df)
-    out.collect()
-    plan = out._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan and "LeftOuter" in plan
-    assert out.first().duplicate_rows == 60 - 15
+@pytest.mark.parametrize("threshold", ["-1", "10485760"])
+def test_profile_shape_is_one_scan_and_one_keyed_shuffle_at_any_threshold(spark, threshold):
+    from conftest import SF001
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        out = pf.profile_shape(spark.read.parquet(f"{SF001}/documents.parquet").drop("doc_id"))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("FileScan") == 1 and plan.count("hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_profile_shape_tells_shifted_and_nested_values_apart(spark):
+    df = spark.createDataFrame([("a", "bc"), ("ab", "c"), (None, "-"), ("-", None), ("1:a", ""), ("", "1:a")], "a string, b string")
+    assert pf.profile_shape(df).first().duplicate_rows == 0
+    nested = df.select(F.array("a", "b").alias("x"), F.struct("a", "b").alias("y"), F.to_timestamp(F.lit("2020-01-01")).alias("t"))
+    assert pf.profile_shape(nested.union(nested)).first().duplicate_rows == 6
+
+
+def test_crosstabs_take_any_label_and_keep_nothing(spark):
+    labels = ["resolved", "Resolved", "v1.0", "rank", "a`b", "T", "_row", "x y"]
+    kept = spark.sparkContext._jsc.getPersistentRDDs().size()
+    df = spark.createDataFrame([(f"t{i % 3}", v) for i, v in enumerate(labels * 4)], "T string, L string")
+    names = sorted(labels)
+    for out, keys in (
+        (xt.crosstab(df, "T", "L"), ["T"]),
+        (xt.crosstab(df, "T", "L", margins=True), ["T"]),
+        (xt.crosstab_top(df, "T", "L", 2), ["rank", "T"]),
+    ):
+        assert out.columns[: len(keys) + len(names)] == keys + names
+        assert sum(sum(r[len(keys) : len(keys) + len(names)]) for r in out.collect() if r[len(keys) - 1] != "All") in (32, 21, 22)
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == kept
+
+
+def test_crosstab_sees_files_added_between_calls(spark, tmp_dir):
+    path = f"{tmp_dir}/pairs"
+    spark.createDataFrame([("a", "x")] * 3, "T string, L string").write.parquet(path)
+    assert xt.crosstab(spark.read.parquet(path), "T", "L").collect()[0].x == 3
+    spark.createDataFrame([("a", "x")] * 3, "T string, L string").write.mode("append").parquet(path)
+    assert xt.crosstab(spark.read.parquet(path), "T", "L").collect()[0].x == 6
+
+
+def test_crosstab_margins_of_nothing_are_zero_and_all_is_refused_in_long_form(spark):
+    none = spark.createDataFrame([(None, "x"), ("a", None)], "T string, L string")
+    assert [tuple(r) for r in xt.crosstab(none, "T", "L", margins=True).collect()] == [("All", 0, 0)] or [
+        tuple(r) for r in xt.crosstab(none, "T", "L", margins=True).collect()
+    ] == [("All", 0)]
+    for row in (("All", "x"), ("a", "All")):
+        with pytest.raises(Exception, match="names the totals"):
+            xt.crosstab_long(spark.createDataFrame([row], "T string, L string"), "T", "L", margins=True).collect()
+
+
+def test_crosstab_order_and_ties_at_the_boundary(spark):
+    rows = [("b", "x")] * 2 + [("a", "x")] * 2 + [("c", None)] * 3 + [("d", "y")] * 2
+    df = spark.createDataFrame(rows, "T string, L string")
+    assert [(r["rank"], r["T"], r.x, r.y) for r in xt.crosstab_top(df, "T", "L", 3).collect()] == [(1, "c", 0, 0), (2, "a", 2, 0), (3, "b", 2, 0)]
+    assert [r["T"] for r in xt.crosstab(df, "T", "L").collect()] == ["a", "b", "d"]
+    assert [(r["T"], r["L"]) for r in xt.crosstab_long(df, "T", "L").collect()] == [("a", "x"), ("b", "x"), ("d", "y")]
+
+
+def test_histogram_leaves_nan_out_and_has_bins_without_values(spark):
+    kept = spark.sparkContext._jsc.getPersistentRDDs().size()
+    df = spark.createDataFrame([(1.0,), (float("nan"),), (None,), (3.0,), (2.0,)], "v double")
+    assert sum(r.n for r in tx.histogram(df, "v", 4).collect()) == 3
+    empty = tx.histogram(df.filter("v > 9 and not isnan(v)"), "v", 4).collect()
+    assert [(r.bin_start, r.bin_end, r.n) for r in empty] == [(i / 4, (i + 1) / 4, 0) for i in range(4)]
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == kept
 
 
 def test_preview_derive_after_topn_equals_ordering_the_derived_table(spark):
@@ -290,12 +348,12 @@ _CELLS = (
 
 
 @settings(max_examples=12, deadline=None)
-@given(rows=st.lists(st.tuples(*_CELLS), max_size=30), max_candidates=st.sampled_from([None, 0, 1, 3]))
-def test_profile_shape_matches_pandas_on_random_tables(spark, rows, max_candidates):
+@given(rows=st.lists(st.tuples(*_CELLS), max_size=30))
+def test_profile_shape_matches_pandas_on_random_tables(spark, rows):
     import pandas as pd
 
     df = spark.createDataFrame(rows, "a int, b string, c double")
-    r = pf.profile_shape(df, max_candidates=max_candidates).first()
+    r = pf.profile_shape(df).first()
     pdf = pd.DataFrame(rows, columns=["a", "b", "c"], dtype=object)
     # pandas equality: -0.0 == 0.0, NaN equal to NaN, None equal to None
     pdf["c"] = pdf["c"].map(lambda v: None if v is None else ("nan" if v != v else float(v) + 0.0))

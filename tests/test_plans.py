@@ -17,15 +17,12 @@ def test_no_python_udf(spark, name):
         assert node not in plan
 
 
-def test_topk_crosstab_broadcasts_bounded_sides(spark):
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # nothing broadcast unless asked
-    try:
-        df = QUERIES["xt_topic_status_top20"](spark, SF001)
-        df.collect()
-        final = df._jdf.queryExecution().executedPlan().toString()
-        assert "BroadcastHashJoin" in final and "LeftSemi" in final
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+@pytest.mark.parametrize("name", ["xt_status_sentiment", "xt_topic_status_top20"])
+def test_crosstabs_are_one_aggregate_without_joins_of_their_own(spark, name):
+    from convolytics.plans.catalog import featured_sessions
+
+    own = _plan(QUERIES[name](spark, SF001)).count("Join")
+    assert own == _plan(featured_sessions(spark, SF001).select("TOPIC", "RESOLUTION_STATUS", "USER_SENTIMENT")).count("Join")
 
 
 def test_fixture_has_no_window_on_conversation(spark):
@@ -77,10 +74,17 @@ def test_fixture_shuffles_each_text_once(spark):
         assert re.search(r"hashpartitioning\(conv_id#\d+L, turn#\d+L", d)
 
 
-@pytest.mark.parametrize("name", ["xt_status_sentiment", "xt_topic_status_top20", "xt_topic_status_margins"])
-def test_crosstabs_read_persisted_pair_counts(spark, name):
-    # labels, top-k, pivot and totals all come from one persisted aggregate
-    spark.catalog.clearCache()
-    df = QUERIES[name](spark, SF001)
-    df.collect()
-    assert "InMemoryTableScan" in _plan(df)
+@pytest.mark.parametrize(
+    "name", ["text_stats", "topic_summary_report", "avg_query_words_by_topic", "avg_resolution_words_by_status", "key_insights", "hist_query_words"]
+)
+def test_word_counts_cross_the_shuffle_without_their_texts(spark, name):
+    import re
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = QUERIES[name](spark, SF001)
+        text = df._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    exchanges = [d for d in text.split("\n\n") if re.match(r"\(\d+\) Exchange", d.strip())]
+    assert exchanges and not any(re.search(r"Input \[\d+\]: \[[^\]]*\b(text|nt)#", d) for d in exchanges)

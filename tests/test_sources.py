@@ -89,7 +89,7 @@ def test_format_dispatch():
     assert detect_format("x.csv") == "csv"
     assert detect_format("x.xlsx") == "xlsx"
     assert detect_format("x.parquet") == "parquet"
-    with pytest.raises(UnsupportedFormatError, match="Unsupported file format"):
+    with pytest.raises(UnsupportedFormatError, match="Cannot tell the format"):
         detect_format("x.CSV")
     with pytest.raises(UnsupportedFormatError):
         detect_format("x.xls")
@@ -182,3 +182,18 @@ def test_xlsx_source(spark, tmp_dir):
     _xlsx(os.path.join(d, "c.xlsx"), [list(reversed(header)), ["x"] * 9])
     with pytest.raises(Exception, match="differs"):
         read_xlsx(spark, d, header).collect()
+
+
+def test_long_quoted_fields_in_short_and_long_rows(spark, tmp_dir):
+    import os
+
+    big = "x" * 1_000_000
+    short, long = os.path.join(tmp_dir, "short.csv"), os.path.join(tmp_dir, "long.csv")
+    with open(short, "w") as f:
+        f.write(f'a,b,c\n"{big}"\n')
+    with open(long, "w") as f:
+        f.write(f'a,b,c\n"{big}",2,3,4\n')
+    rows = read_csv(spark, short).collect()
+    assert [(len(r.a), r.b, r.c) for r in rows] == [(1_000_000, None, None)]
+    with pytest.raises(Exception, match="more than 3 fields"):
+        read_csv(spark, long).collect()
