@@ -10,17 +10,21 @@ enumerated, so sufficiently similar sets share one signature for certain.
 
 Sharing a signature only makes candidates. In every group of equal signatures
 each set is first checked against one hub of the group, and linked sets are
-joined into components. Groups that still hold several components are the
-crowded ones (many variants of one text): their sets are regrouped by their
+joined into components. In groups that still hold several components (many
+variants of one text) the sets of different components are compared by
+small parity sketches, whose differing bits never outnumber the differing
+elements; only pairs that pass leave the task, to be checked exactly. A
+group of more members than one task should hold is regrouped by its sets'
 rarest elements, of which similar sets must share one, and checked against
-more and more hubs until no group holds two untested components. No group is
-gathered in one task, no group is expanded into all its pairs, and no link
-between two components is missed.
+more and more hubs until no group holds two untested components. So no
+unbounded group is gathered in one task, no group is expanded into all its
+pairs, and no link between two components is missed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 from itertools import combinations
 
@@ -28,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from convolytics.llm.common import require_columns, staged
+from convolytics.llm.common import require_columns, staged, whole_groups
 from convolytics.llm.components import connected_components
 
 _U = np.uint64
@@ -38,6 +42,7 @@ _CUT = 1 << 20  # bytes hashed at a time
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _SET_BYTES = 6  # of each element kept for the exact check
+_SKETCH_BITS = 1024
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -97,7 +102,10 @@ class Bands:
     """Size bands and the enumeration of every level, for similarity
     ``num / den`` or more."""
 
-    def __init__(self, num: int = 90, den: int = 100, width: int = 3):
+    def __init__(self, num: int = 90, den: int = 100):
+        # a band spans sizes that differ by about 0.7: wider, and its sets
+        # need more signatures; narrower, and more sets lie near two bands
+        width = max(1, round(np.log(0.7) / np.log(num / den))) if num < den else 1
         self.num, self.den, self.width = num, den, width
         self.lows = [1]
         self.plans: dict[int, tuple[int, int, int]] = {}
@@ -152,6 +160,20 @@ def signatures(elements: np.ndarray, bands: Bands) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
+def set_digest(elements: np.ndarray) -> int | None:
+    """A 64-bit digest of a set; None for the empty set."""
+    if not len(elements):
+        return None
+    return int(_mix(_mix(elements).sum(dtype=np.uint64, keepdims=True) + _U(len(elements))).view(np.int64)[0])
+
+
+def sketch(elements: np.ndarray) -> bytes:
+    """Parity bits of the elements' places: two sketches differ in at most as
+    many bits as the sets differ in elements."""
+    bits = np.bincount((elements & _U(_SKETCH_BITS - 1)).astype(np.int64), minlength=_SKETCH_BITS) & 1
+    return np.packbits(bits.astype(np.uint8)).tobytes()
+
+
 def pack(elements: np.ndarray) -> bytes:
     return elements.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_SET_BYTES].tobytes()
 
@@ -162,27 +184,39 @@ def unpack(raw: bytes) -> np.ndarray:
     return wide.reshape(-1).view("<u8")
 
 
-_SETS = "doc_id long, n_shingles long, node long, members binary, sigs array<long>"
+@dataclass
+class Corpus:
+    """The documents, how their sets are made, and the table of
+    ``document_sets``."""
+
+    texts: DataFrame  # doc_id, text
+    table: DataFrame
+    words: int
+    num: int
+    den: int
+
+
+_SETS = "doc_id long, n_shingles long, node long, sketch binary, sigs array<long>"
 
 
 def document_sets(docs: DataFrame, bands: Bands, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its id, set size and ``node`` (a 64-bit digest of
-    the set, null if empty); the set itself and its signatures only where
-    the task meets the set for the first time, so hot copies weigh one row
-    per task from here on."""
+    the set, null if empty); the set's sketch and signatures only where the
+    task meets the set for the first time, so hot copies weigh one row per
+    task from here on. The sets themselves are not stored."""
     require_columns(docs, [id_col, text_col])
-    names = ["doc_id", "n_shingles", "node", "members", "sigs"]
+    names = ["doc_id", "n_shingles", "node", "sketch", "sigs"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             ids = batch.column(0)
             for lo in range(0, batch.num_rows, 512):
-                size, node, members, flat, ends = [], [], [], [], [0]
+                size, node, sketches, flat, ends = [], [], [], [], [0]
                 for cell in batch.column(1).slice(lo, 512):
                     s = shingle_set(cell.as_py(), words)
                     size.append(len(s))
-                    digest = int(_mix(_mix(s).sum(dtype=np.uint64, keepdims=True) + _U(len(s)))[0].astype(np.int64)) if len(s) else None
+                    digest = set_digest(s)
                     new = digest is not None and digest not in seen
                     if new:
                         if len(seen) > 1_000_000:
@@ -190,12 +224,12 @@ def document_sets(docs: DataFrame, bands: Bands, words: int = 3, id_col: str = "
                         seen.add(digest)
                         flat.append(signatures(s, bands))
                     node.append(digest)
-                    members.append(pack(s) if new else None)
+                    sketches.append(sketch(s) if new else None)
                     ends.append(ends[-1] + (len(flat[-1]) if new else 0))
                 sigs = np.concatenate(flat).view(np.int64) if flat else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, 512), pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(members, pa.binary()),
-                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(sigs))],
+                    [ids.slice(lo, 512), pa.array(size, pa.int64()), pa.array(node, pa.int64()),
+                     pa.array(sketches, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(sigs))],
                     names=names,
                 )
 
@@ -209,8 +243,36 @@ def similar(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return den * common >= num * (len(a) + len(b) - common)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs ``a, b`` whose sets are similar."""
+def may_be_similar(na: np.ndarray, nb: np.ndarray, a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
+    """False only for pairs that cannot be similar, by their sizes and
+    sketches (rows of 64-bit words)."""
+    bits = np.bitwise_count(a ^ b).sum(axis=-1)
+    fits = np.minimum(na, nb) * den >= np.maximum(na, nb) * num
+    return fits & (bits * (den + num) <= (na + nb) * (den - num))
+
+
+def sieved(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs ``a, b`` that may be similar. Pairs and sketches are small."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u8").reshape(len(na), -1) for c in (4, 5))
+                yield batch.select([0, 1]).filter(pa.array(may_be_similar(na, nb, x, y, num, den)))
+
+    left = sketches.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    right = sketches.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    whole = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb")
+    return whole.mapInArrow(run, "a long, b long")
+
+
+def verified(pairs: DataFrame, corpus: Corpus) -> DataFrame:
+    """The pairs ``a, b`` whose sets are similar. Only the sets of these
+    pairs are read and moved."""
+    pairs = staged(pairs, "pairs")
+    sets = staged(candidate_sets(corpus, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "sets")
+    num, den = corpus.num, corpus.den
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,54 +281,128 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
 
     left = sets.select(F.col("node").alias("a"), F.col("members").alias("ma"))
     right = sets.select(F.col("node").alias("b"), F.col("members").alias("mb"))
-    whole = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ma", "mb")
+    whole = pairs.join(left, "a").join(right, "b").select("a", "b", "ma", "mb")
     return whole.mapInArrow(run, "a long, b long")
 
 
-_BITMAP_BITS = 23  # 1 MB
+def compared(groups: DataFrame, num: int, den: int) -> DataFrame:
+    """``a, b``: the pairs of different components inside each group that may
+    be similar. ``groups``: ``sig, node, component, n, sketch``, with no more
+    rows to a group than a task should hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: set[tuple[int, int]] = set()
+        for table in whole_groups(batches):
+            sig, node, part, n = (table.column(c).to_numpy() for c in range(4))
+            bits = np.frombuffer(b"".join(table.column(4).to_pylist()), "<u8").reshape(len(n), -1)
+            cuts = np.append(np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])), len(sig)).tolist()
+            fresh: list[tuple[int, int]] = []
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                step = max(1, (1 << 18) // (hi - lo))
+                for at in range(lo, hi, step):
+                    end = min(hi, at + step)
+                    rows, cols = slice(at, end), slice(at, hi)  # each pair once
+                    pass_ = may_be_similar(n[rows, None], n[None, cols], bits[rows, None], bits[None, cols], num, den)
+                    pass_ &= part[rows, None] != part[None, cols]
+                    i, j = np.nonzero(pass_)
+                    for x, y in zip(node[at + i].tolist(), node[at + j].tolist()):
+                        pair = (min(x, y), max(x, y))
+                        if pair not in known:
+                            fresh.append(pair)
+                            known.add(pair)
+            if len(known) > 500_000:
+                known.clear()
+            if fresh:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*fresh)], names=["a", "b"])
+
+    near = groups.select("sig", "node", "component", "n", "sketch").repartition("sig").sortWithinPartitions("sig")
+    return near.mapInArrow(run, "a long, b long").distinct()
+
+
 _SLICE = 32_768  # bits of one aggregated slice
 
 
-def _slot(column: str) -> Column:
-    return F.pmod(F.xxhash64(column), F.lit(1 << _BITMAP_BITS))
+def _slot(column: str, bits: int) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(1 << bits))
 
 
-def _bitmap(nodes: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size of the nodes' hashed slots."""
-    rows = (
-        nodes.select(_slot("node").alias("s"))
+def bitmap(rows: DataFrame, column: str, bits: int) -> np.ndarray:
+    """A bitmap of fixed size (2 ** (bits - 3) bytes) of a column's hashed
+    slots, whatever the number of rows."""
+    slices = (
+        rows.select(_slot(column, bits).alias("s"))
         .groupBy(F.floor(F.col("s") / _SLICE).alias("k"))
         .agg(F.bitmap_construct_agg(F.col("s") % _SLICE).alias("bits"))
         .collect()
     )
-    out = np.zeros(((1 << _BITMAP_BITS) // _SLICE, _SLICE // 8), np.uint8)
-    for r in rows:
+    out = np.zeros(((1 << bits) // _SLICE, _SLICE // 8), np.uint8)
+    for r in slices:
         out[r["k"], : len(r["bits"])] = np.frombuffer(bytes(r["bits"]), np.uint8)
     return out.reshape(-1)
 
 
-def candidate_sets(table: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``node, members`` of the given nodes. A bitmap of fixed size keeps most
-    other sets out of the shuffle; the join after it is exact."""
-    bits = _bitmap(nodes)
+def _hits(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    return ((bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1).astype(bool)
+
+
+def candidate_sketches(table: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, n, sketch`` of the given nodes."""
+    rows = table.filter(F.col("sketch").isNotNull()).select("node", F.col("n_shingles").alias("n"), "sketch")
+    return rows.join(nodes, "node", "left_semi").groupBy("node", "n").agg(F.first("sketch").alias("sketch"))
+
+
+def candidate_sets(corpus: Corpus, nodes: DataFrame) -> DataFrame:
+    """``node, n, members``: the sets of the given nodes, made again from
+    their texts. A bitmap of fixed size passes over most other texts; the
+    join after it is exact."""
+    chosen = corpus.table.filter(F.col("sketch").isNotNull()).select("node", "doc_id").join(nodes, "node", "left_semi")
+    bits = bitmap(chosen, "doc_id", 23)
+    words = corpus.words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            s = batch.column(2).to_numpy()
-            hit = (bits[s >> 3] >> (s & 7).astype(np.uint8)) & 1
-            yield batch.select([0, 1]).filter(pa.array(hit.astype(bool)))
+            out: list[tuple] = []
+            for i in np.flatnonzero(_hits(bits, batch.column(0).to_numpy())).tolist():
+                s = shingle_set(batch.column(1)[i].as_py(), words)
+                digest = set_digest(s)
+                if digest is not None and digest not in seen:
+                    if len(seen) > 1_000_000:
+                        seen.clear()
+                    seen.add(digest)
+                    out.append((digest, len(s), pack(s)))
+            if out:
+                columns = [pa.array(c, kind) for c, kind in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "members"])
+
+    made = corpus.texts.select(_slot("doc_id", 23).alias("slot"), "text").mapInArrow(run, "node long, n long, members binary")
+    return made.join(nodes, "node", "left_semi").groupBy("node", "n").agg(F.first("members").alias("members"))
+
+
+def shared_signatures(table: DataFrame) -> DataFrame:
+    """``sig, node, hub``: the groups of two or more sets with an equal
+    signature; the hub is the smallest node. Each task's rows of a signature
+    become one before the shuffle; a bitmap of fixed size then keeps most
+    unshared signatures out of the join that finds the members."""
+    sigs = table.filter(F.col("sigs").isNotNull()).select(F.explode("sigs").alias("sig"), "node")
+    ends = sigs.groupBy("sig").agg(F.min("node").alias("hub"), F.max("node").alias("last"))
+    shared = staged(ends.filter("hub <> last").select("sig", "hub"), "shared")
+    bits = bitmap(shared, "sig", 25)
 
-    sets = table.filter(F.col("members").isNotNull()).select("node", "members", _slot("node").alias("slot"))
-    near = sets.mapInArrow(run, "node long, members binary")
-    return near.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("members").alias("members"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.select([0, 1]).filter(pa.array(_hits(bits, batch.column(2).to_numpy())))
+
+    near = sigs.select("sig", "node", _slot("sig", 25).alias("slot")).mapInArrow(run, "sig long, node long")
+    return near.join(shared, "sig").distinct()
 
 
 _COUNTERS = 1 << 20
 
 
 def rare_elements(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """``element, node``: of each set, as many of its rarest elements as any
-    similar set must meet one of. The order is by a counting sketch of fixed
+    """``element, node, n, at``: of each set (of size n), as many of its rarest
+    elements as any similar set must meet one of, with their place from 0. The order is by a counting sketch of fixed
     size over these sets, ties by element: one order for all, so the rule
     holds whatever the sketch confuses. Elements counted once are in no other
     set and are left out."""
@@ -288,18 +424,21 @@ def rare_elements(sets: DataFrame, num: int, den: int) -> DataFrame:
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            element, node = [], []
+            element, node, size, place = [], [], [], []
             for name, cell in zip(batch.column(0), batch.column(1)):
                 e = unpack(cell.as_py())
                 n = sketch[(e & _U(_COUNTERS - 1)).astype(np.int64)]
                 first = np.lexsort((e, n))[: len(e) - -(-num * len(e) // den) + 1]
-                first = first[n[first] > 1]
-                element.append(e[first].view(np.int64))
-                node.append(np.full(len(first), name.as_py(), np.int64))
+                at = np.flatnonzero(n[first] > 1)
+                element.append(e[first[at]].view(np.int64))
+                node.append(np.full(len(at), name.as_py(), np.int64))
+                size.append(np.full(len(at), len(e), np.int64))
+                place.append(at.astype(np.int64))
             if element:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(element)), pa.array(np.concatenate(node))], names=["element", "node"])
+                columns = [pa.array(np.concatenate(c)) for c in (element, node, size, place)]
+                yield pa.RecordBatch.from_arrays(columns, names=["element", "node", "n", "at"])
 
-    return sets.select("node", "members").mapInArrow(rare, "element long, node long")
+    return sets.select("node", "members").mapInArrow(rare, "element long, node long, n long, at long")
 
 
 def _labelled(rows: DataFrame, component: DataFrame) -> DataFrame:
@@ -312,32 +451,43 @@ def _join_up(component: DataFrame, links: DataFrame) -> DataFrame:
     return staged(connected_components(known.union(links)), "components")
 
 
-def similarity_components(table: DataFrame, num: int = 90, den: int = 100) -> DataFrame:
-    """``node, component`` of every set similar to some other set."""
-    sigs = table.filter(F.col("sigs").isNotNull()).select(F.explode("sigs").alias("sig"), "node")
-    shared = sigs.groupBy("sig").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub <> last").select("sig", "hub")
-    groups = staged(sigs.join(shared, "sig").distinct(), "signatures")
+def similarity_components(corpus: Corpus, most: int = 4096) -> DataFrame:
+    """``node, component`` of every set similar to some other set. ``most`` is
+    the largest group that one task compares by itself."""
+    num, den = corpus.num, corpus.den
+    groups = staged(shared_signatures(corpus.table), "signatures")
+    sketches = staged(candidate_sketches(corpus.table, groups.select("node").distinct()), "sketches")
     pairs = groups.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    sets = staged(candidate_sets(table, groups.select("node").distinct()), "sets")
-    component = staged(connected_components(verified(pairs, sets, num, den)), "components")
+    component = staged(connected_components(verified(sieved(pairs, sketches, num, den), corpus)), "components")
 
     # groups of two are settled; of larger ones those with several components are not
-    mixed = (
-        _labelled(groups.select("sig", "node"), component)
-        .groupBy("sig")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-        .filter("n > 2 and lo <> hi")
-        .select("sig")
+    members = _labelled(groups.select("sig", "node"), component)
+    mixed = staged(
+        members.groupBy("sig")
+        .agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+        .filter("members > 2 and lo <> hi")
+        .select("sig", "members"),
+        "mixed",
     )
-    crowded = staged(groups.join(mixed, "sig", "left_semi").select("node").distinct().join(sets, "node"), "crowded")
-    by_rare = rare_elements(crowded, num, den)
-    size = crowded.select("node", (F.octet_length("members") / _SET_BYTES).cast("long").alias("n"))
+    small = members.join(mixed.filter(F.col("members") <= most), "sig").join(sketches, "node")
+    component = _join_up(component, verified(compared(small, num, den), corpus))
+    large = mixed.filter(F.col("members") > most)
+    if large.isEmpty():
+        return component
+    nodes = staged(groups.join(large, "sig", "left_semi").select("node").distinct(), "crowded")
+    return _by_rare_elements(corpus, nodes, sketches, component)
+
+
+def _by_rare_elements(corpus: Corpus, nodes: DataFrame, sketches: DataFrame, component: DataFrame) -> DataFrame:
+    """The components after all links between the given nodes are found."""
+    num, den = corpus.num, corpus.den
+    sets = staged(candidate_sets(corpus, nodes), "crowded-sets")
     order = Window.partitionBy("element").orderBy("node")
-    rare = staged(by_rare.join(size, "node").withColumn("place", F.row_number().over(order)), "rare")
+    rare = staged(rare_elements(sets, num, den).withColumn("place", F.row_number().over(order)), "rare")
 
     # hubs are the members in places up to a bound that grows fourfold, so a
     # few rounds settle any group; only groups still mixed go on
-    done, upto = 0, 8
+    done, upto = 0, 1
     while True:
         now = _labelled(rare, component)
         open_groups = (
@@ -350,15 +500,20 @@ def similarity_components(table: DataFrame, num: int = 90, den: int = 100) -> Da
         if now.isEmpty():
             return component
         hub = now.filter((F.col("place") > done) & (F.col("place") <= upto)).select(
-            "element", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("place").alias("pa")
+            "element", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"),
+            F.col("at").alias("pa"), F.col("place").alias("ha"),
         )
+        # of the elements two similar sets share, the rarest has few of
+        # either set's elements before it
+        least = F.ceil((F.col("n") + F.col("na")) * num / (num + den))
         met = hub.join(now, "element").filter(
-            (F.col("place") > F.col("pa"))
+            (F.col("place") > F.col("ha"))
             & (F.col("component") != F.col("ca"))
-            & (F.least("n", "na") * den >= F.greatest("n", "na") * num)
+            & (F.col("na") - F.col("pa") >= least)
+            & (F.col("n") - F.col("at") >= least)
         )
         pairs = met.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        component = _join_up(component, verified(pairs, sets, num, den))
+        component = _join_up(component, verified(sieved(pairs, sketches, num, den), corpus))
         done, upto = upto, upto * 4
 
 
@@ -375,7 +530,8 @@ def jaccard_components(
     Repeated rows give repeated results; other columns are not read.
     """
     table = staged(document_sets(docs, Bands(num, den), words, id_col, text_col), "documents-sets")
-    component = similarity_components(table, num, den)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    component = similarity_components(Corpus(texts, table, words, num, den))
     keyed = _labelled(table.select("doc_id", "n_shingles", "node"), component)
     smallest = keyed.filter(F.col("node").isNotNull()).groupBy("component").agg(F.min("doc_id").alias("smallest"))
     return keyed.join(smallest, "component", "left").select(
