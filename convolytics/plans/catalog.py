@@ -17,8 +17,9 @@ from convolytics.operators import profile as pf
 from convolytics.operators import text as tx
 from convolytics.operators.features import add_text_features
 from convolytics.schema import DEFAULT_COLUMNS as C
-from convolytics.sinks.reports import topic_summary_export
+from convolytics.sinks.reports import csv_records, topic_summary_export
 from convolytics.sources import fixtures
+from convolytics.sources.csv import parse_records
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +29,11 @@ def featured_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.featured_sessions(spark, sf_dir)
 
 
+def csv_round_trip(sessions: DataFrame) -> DataFrame:
+    """Every session as an exported CSV record, read back."""
+    return parse_records(csv_records(sessions), sessions.columns)
+
+
 def _on_sessions(op: Callable[[DataFrame], DataFrame]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return op(featured_sessions(spark, sf_dir))
@@ -91,6 +97,8 @@ QUERIES: dict[str, Query] = {
     "profile_missing": _on_sessions(pf.profile_missing),
     # the text features are added to the ten rows kept, not to the whole table
     "preview": lambda spark, d: pf.preview(fixtures.sessions(spark, d), derive=add_text_features),
+    # the full export, written as CSV records and read back
+    "csv_round_trip": lambda spark, d: csv_round_trip(fixtures.sessions(spark, d)),
     # the featurised table itself
     "text_features": featured_sessions,
 }

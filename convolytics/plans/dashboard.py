@@ -2,7 +2,7 @@
 
 ``run_dashboard`` loads and validates the input, adds the text features once,
 materialises that table in the shared checkpoint folder, and returns every
-analysis as a lazy DataFrame over it. Materialising matters when many
+analysis as a DataFrame over it. Materialising matters when many
 analyses run: each would otherwise re-read and re-featurise the input. The
 checkpoint lives in ``spark.checkpoint.dir`` (shared storage on a cluster),
 so a lost executor does not force recomputation from the source files.
@@ -12,7 +12,8 @@ Quality analyses are planned only when both quality columns exist.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -30,17 +31,21 @@ from convolytics.session import checkpoint_dir
 from convolytics.sources.csv import load_sessions
 
 
+_TABLE_PREFIX = "featured-"
+
+
 def materialize(df: DataFrame, how: str = "table") -> DataFrame:
-    """``checkpoint``: reliable checkpoint in ``spark.checkpoint.dir`` (cuts
-    the lineage); ``table``: Parquet table written under the same folder and
-    read back; ``cache``: memory-and-disk persistence (recomputed from the
+    """``table``: Parquet table written under ``spark.checkpoint.dir`` and read
+    back, so each analysis reads only its columns; ``release`` deletes it;
+    ``checkpoint``: reliable checkpoint in the same folder (row data: every
+    analysis reads whole rows); ``cache``: memory-and-disk persistence (recomputed from the
     lineage if an executor is lost); ``none``: unchanged."""
     spark = df.sparkSession
     if how == "checkpoint":
         checkpoint_dir(spark)
         return df.checkpoint(eager=True)
     if how == "table":
-        path = f"{checkpoint_dir(spark).rstrip('/')}/featured-{uuid.uuid4().hex}"
+        path = f"{checkpoint_dir(spark).rstrip('/')}/{_TABLE_PREFIX}{uuid.uuid4().hex}"
         df.write.parquet(path)
         return spark.read.parquet(path)
     if how == "cache":
@@ -52,6 +57,31 @@ def materialize(df: DataFrame, how: str = "table") -> DataFrame:
     raise ValueError(f"unknown materialisation {how!r}")
 
 
+def release(featured: DataFrame) -> None:
+    """Deletes the table that ``materialize(how="table")`` wrote; the lazy
+    analyses over it cannot be run afterwards. Anything else is unpersisted."""
+    spark = featured.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in featured.inputFiles()}:
+        if folder.rsplit("/", 1)[-1].startswith(_TABLE_PREFIX):
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+    featured.unpersist()
+
+
+@contextmanager
+def dashboard_tables(
+    sessions: DataFrame, cols: Columns = DEFAULT_COLUMNS, labels: Labels = DEFAULT_LABELS, only: Sequence[str] | None = None
+) -> Iterator[dict[str, DataFrame]]:
+    """``dashboard`` whose featurised table is deleted when the block ends."""
+    featured = materialize(add_text_features(validate(sessions, cols), cols))
+    try:
+        plans = analyses(cols, labels, quality=has_quality_columns(featured, cols))
+        yield {name: fn(featured) for name, fn in plans.items() if only is None or name in only}
+    finally:
+        release(featured)
+
+
 def analyses(
     cols: Columns = DEFAULT_COLUMNS, labels: Labels = DEFAULT_LABELS, quality: bool = True
 ) -> dict[str, Callable[[DataFrame], DataFrame]]:

@@ -36,6 +36,10 @@ FEATURED_COLUMNS = (
 )
 
 
+def _tokens() -> str:
+    return ", ".join(f"'{t}'" for t in K.NULL_TOKENS)
+
+
 def _with(select: str, *ctes: str) -> str:
     extra = "".join(f",\n{c}" for c in ctes)
     return f"WITH {FEATURED}{extra}\n{select}"
@@ -151,6 +155,11 @@ ORACLE_SQL: dict[str, str] = {
   {_round2(_avg('resolution_word_count'))} AS avg_response_words
 FROM featured WHERE TOPIC IS NOT NULL GROUP BY TOPIC"""
     ),
+    "csv_round_trip": _with(
+        "SELECT "
+        + ", ".join(f"CASE WHEN {c} NOT IN ({_tokens()}) THEN {c} END AS {c}" for c in FEATURED_COLUMNS[:12])
+        + " FROM featured"
+    ),
     "topic_summary_export": _with(
         f"""SELECT TOPIC, count(SESSION_ID) AS "{K.TOPIC_SUMMARY_HEADERS[0]}",
   {_round2(_rate("RESOLUTION_STATUS = 'resolved'"))} AS "{K.TOPIC_SUMMARY_HEADERS[1]}",

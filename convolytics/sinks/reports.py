@@ -42,6 +42,13 @@ def write_csv(df: DataFrame, path: str, single_file: bool = False, mode: str = "
     return path
 
 
+def csv_records(df: DataFrame) -> DataFrame:
+    """K4 body: every row as one CSV record (column ``record``), with the
+    options the files are written with."""
+    options = {k: v for k, v in CSV_WRITE_OPTIONS.items() if k not in ("header", "encoding")}
+    return df.select(F.to_csv(F.struct(*[F.col(f"`{c}`") for c in df.columns]), options).alias("record"))
+
+
 def topic_summary_export(featured: DataFrame, cols: Columns = DEFAULT_COLUMNS, labels: Labels = DEFAULT_LABELS) -> DataFrame:
     """K1 body: the topic summary with the exported column headers."""
     rep = topic_summary_report(featured, cols, labels)

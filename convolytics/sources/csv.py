@@ -85,6 +85,15 @@ def read_csv(spark: SparkSession, path: str | Sequence[str], names: Sequence[str
     return normalize_null_tokens(guard_long_rows(raw, names), names)
 
 
+def parse_records(records: DataFrame, names: Sequence[str], column: str = "record") -> DataFrame:
+    """S1 + S4 for records already in a column: all-text columns ``names``,
+    null tokens normalised."""
+    schema = ", ".join(f"`{n}` string" for n in names)
+    options = {k: v for k, v in CSV_OPTIONS.items() if k != "encoding"}
+    parsed = records.select(F.from_csv(F.col(column), F.lit(schema), {**options, "mode": "FAILFAST"}).alias("_r")).select("_r.*")
+    return normalize_null_tokens(parsed, names)
+
+
 def csv_schema(names: Sequence[str]) -> StructType:
     """All-string schema of the header names plus the corrupt-record column."""
     return StructType([StructField(n, StringType(), True) for n in names] + [StructField(CORRUPT, StringType(), True)])

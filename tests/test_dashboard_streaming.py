@@ -55,3 +55,30 @@ def test_stream_ingest_and_running_kpis(spark, tmp_dir):
     k.awaitTermination(120)
     r = spark.sql("SELECT * FROM kpis_test").first()
     assert r.total_conversations == 2 and r.resolution_rate_pct == 50.0 and r.approx_unique_topics == 2
+
+
+def test_dashboard_tables_clean_up(spark):
+    from conftest import SF001
+    from convolytics.plans.dashboard import dashboard_tables
+    from convolytics.sources import fixtures
+
+    with dashboard_tables(fixtures.sessions(spark, SF001), only=["kpi_overview", "topic_counts"]) as tables:
+        assert set(tables) == {"kpi_overview", "topic_counts"}
+        folder = os.path.dirname(tables["topic_counts"].inputFiles()[0])[len("file:") :]
+        folder = "/" + folder.lstrip("/")
+        assert os.path.isdir(folder) and tables["kpi_overview"].first().total_conversations == 48
+    assert not os.path.exists(folder)
+
+
+def test_two_sinks_both_receive_every_row(spark, tmp_dir):
+    src = os.path.join(tmp_dir, "src")
+    os.makedirs(src)
+    from convolytics.schema import DEFAULT_COLUMNS
+
+    names = list(DEFAULT_COLUMNS.required)
+    with open(os.path.join(src, "a.csv"), "w") as f:
+        f.write(",".join(names) + "\n" + ",".join("x" for _ in names) + "\n")
+    for k in ("one", "two"):
+        q = export_stream(session_stream(spark, src, names), os.path.join(tmp_dir, k), os.path.join(tmp_dir, f"cp-{k}"))
+        q.awaitTermination()
+        assert spark.read.parquet(os.path.join(tmp_dir, k)).count() == 1
