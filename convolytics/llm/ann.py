@@ -33,15 +33,15 @@ _NODE = np.float16
 @dataclass
 class Settings:
     neighbours: int = 32
-    trees: int = 8
+    trees: int = 12
     leaf: int = 1000  # vectors compared with each other in a tree's leaf
     group: int = 8192  # vectors of one task's part of a tree
     sample: int = 16_384  # vectors the trees' hyperplanes are fitted on
     rounds: int = 2  # of NN-descent
     meet: int = 6  # best others each vector takes from one meeting
     block: int = 256  # vectors compared at a time in a meeting
-    beam: int = 128  # best nodes a query keeps
-    hops: tuple[int, ...] = (32, 96, 128)  # nodes a query expands in each hop
+    beam: int = 160  # best nodes a query keeps
+    hops: tuple[int, ...] = (32, 128, 160)  # nodes a query expands in each hop
     seed: int = 11
 
 
