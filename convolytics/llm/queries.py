@@ -101,6 +101,30 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
     WHERE q.vec_id % 20 = 0
   )
 ) WHERE rank <= 20""",
+    # the join of all shingles; component_id by following links to the end
+    "op8_ngram_jaccard": """
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s
+  FROM words
+), items AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
+shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) + any_value(b.n) AS both_n, count(*) AS common
+  FROM items a JOIN items b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+    AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id
+), links AS (SELECT a, b FROM shared WHERE 100 * common >= 90 * (both_n - common)),
+reached AS (
+  SELECT doc_id, doc_id AS root FROM sets
+  UNION
+  SELECT l.b, r.root FROM reached r JOIN links l ON l.a = r.doc_id
+)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r.root) AS component_id
+FROM sets s JOIN reached r ON r.doc_id = s.doc_id GROUP BY s.doc_id, s.s""",
     "op7_warc": """
 SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 1000 AND page_id < latest THEN 'revisit' ELSE 'response' END AS record_type,
