@@ -219,6 +219,7 @@ def count_terms(rows: DataFrame, vocabulary: list[str], keep: list[str], text_co
 def score(
     docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "toxic", per_label_rows: int = 4000, k: int = 15,
     prior_weight: float = 1.0, seed: int = 9, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None,
+    store: bool = True,
 ) -> DataFrame:
     """Adds ``score`` (0 to 1) and ``evidence`` (the nearest examples:
     ``doc_id, label, cosine``, nearest first) to the columns ``keep``
@@ -227,7 +228,8 @@ def score(
     The examples are a sample of at most ``per_label_rows`` documents per
     label among ids that ``allowed`` selects; null labels teach nothing. The
     texts are read once for the examples and once for all term counts, which
-    are stored. A text without any vocabulary term (null, empty or plain) has
+    are stored; with ``store`` off (``keep`` holds whole rows) they are counted
+    a second time instead. A text without any vocabulary term (null, empty or plain) has
     no evidence and gets the rate of label 1 among such examples, or among
     all if there are none; without any label that is one half. Repeated rows each get a row.
     """
@@ -237,9 +239,12 @@ def score(
     sampled = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     vocabulary = choose_vocabulary(sample, (sampled.get(0, 0), sampled.get(1, 0)))
 
-    counted = staged(count_terms(docs, vocabulary, keep, text_col), "terms")
-    per_term = counted.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    n_docs = counted.count()
+    counted = count_terms(docs, vocabulary, keep, text_col)
+    if store:
+        counted = staged(counted, "terms")
+    narrow = counted if store else count_terms(docs, vocabulary, [id_col], text_col)
+    per_term = narrow.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    n_docs = docs.count()
     idf = np.full(len(vocabulary) + 1, math.log(n_docs + 1) + 1)
     for r in per_term.collect():  # one row per vocabulary term
         idf[r["term"]] = math.log((n_docs + 1) / (r["n"] + 1)) + 1
