@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from convolytics.llm.common import require_columns, staged, whole_groups
+from convolytics.llm.common import drop_staged, require_columns, staged, whole_groups
 from convolytics.llm.components import connected_components
 
 _U = np.uint64
@@ -127,7 +127,6 @@ class Bands:
         """n1, n2 and k2 of a level. Sets of at most ``top`` elements that are
         similar differ in at most k = 2 top (den - num) / (den + num)."""
         if level not in self.plans:
-            self._reach(self.lows[min(level, len(self.lows) - 1)])
             while len(self.lows) <= level + 1:
                 self._reach(self.lows[-1])
             top = self.lows[level + 1] - 1
@@ -451,26 +450,48 @@ def _join_up(component: DataFrame, links: DataFrame) -> DataFrame:
     return staged(connected_components(known.union(links)), "components")
 
 
-def similarity_components(corpus: Corpus, most: int = 4096) -> DataFrame:
-    """``node, component`` of every set similar to some other set. ``most`` is
-    the largest group that one task compares by itself."""
+def _link_up(component: DataFrame | None, pairs: DataFrame, corpus: Corpus) -> DataFrame:
+    """The components after the similar ones of ``pairs`` (``a, b``; they may
+    be similar) are linked. One pair per ``b`` is verified first; most others
+    then lie inside one component and their sets need not be moved."""
+    pairs = staged(pairs, "sieved")
+    first = verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), corpus)
+    component = staged(connected_components(first), "components") if component is None else _join_up(component, first)
+    part = component.select("node", "component")
+    rest = (
+        pairs.join(part.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
+        .join(part.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+        .filter(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
+        .select("a", "b")
+    )
+    return _join_up(component, verified(rest, corpus))
+
+
+def similarity_components(corpus: Corpus, groups: DataFrame, most: int = 4096) -> DataFrame:
+    """``node, component`` of every set similar to some other set, from the
+    ``shared_signatures``. ``most`` is the largest group that one task
+    compares by itself."""
     num, den = corpus.num, corpus.den
-    groups = staged(shared_signatures(corpus.table), "signatures")
     sketches = staged(candidate_sketches(corpus.table, groups.select("node").distinct()), "sketches")
     pairs = groups.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    component = staged(connected_components(verified(sieved(pairs, sketches, num, den), corpus)), "components")
+    component = _link_up(None, sieved(pairs, sketches, num, den), corpus)
 
-    # groups of two are settled; of larger ones those with several components are not
+    # groups of two are settled; of larger ones those with several components
+    # are not. Variants of a text share many signatures: of the groups with
+    # the same members one is enough
     members = _labelled(groups.select("sig", "node"), component)
+    same = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"members_{k}") for k in (1, 2)]
     mixed = staged(
         members.groupBy("sig")
-        .agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+        .agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi"), *same)
         .filter("members > 2 and lo <> hi")
+        .groupBy("members", "members_1", "members_2")
+        .agg(F.min("sig").alias("sig"))
         .select("sig", "members"),
         "mixed",
     )
     small = members.join(mixed.filter(F.col("members") <= most), "sig").join(sketches, "node")
-    component = _join_up(component, verified(compared(small, num, den), corpus))
+    component = _link_up(component, compared(small, num, den), corpus)
     large = mixed.filter(F.col("members") > most)
     if large.isEmpty():
         return component
@@ -513,7 +534,7 @@ def _by_rare_elements(corpus: Corpus, nodes: DataFrame, sketches: DataFrame, com
             & (F.col("n") - F.col("at") >= least)
         )
         pairs = met.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        component = _join_up(component, verified(sieved(pairs, sketches, num, den), corpus))
+        component = _link_up(component, sieved(pairs, sketches, num, den), corpus)
         done, upto = upto, upto * 4
 
 
@@ -529,9 +550,12 @@ def jaccard_components(
     part but never name a component (it is null if no other id is in it).
     Repeated rows give repeated results; other columns are not read.
     """
-    table = staged(document_sets(docs, Bands(num, den), words, id_col, text_col), "documents-sets")
+    made = staged(document_sets(docs, Bands(num, den), words, id_col, text_col), "signed")
+    groups = staged(shared_signatures(made), "signatures")
+    table = staged(made.drop("sigs"), "documents-sets")
+    drop_staged(made)  # the signatures are its bulk
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    component = similarity_components(Corpus(texts, table, words, num, den))
+    component = similarity_components(Corpus(texts, table, words, num, den), groups)
     keyed = _labelled(table.select("doc_id", "n_shingles", "node"), component)
     smallest = keyed.filter(F.col("node").isNotNull()).groupBy("component").agg(F.min("doc_id").alias("smallest"))
     return keyed.join(smallest, "component", "left").select(

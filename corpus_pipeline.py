@@ -39,7 +39,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the labelled examples nearest to them call toxic."""
     labels = read_table(spark, sf_dir, "labels")
-    scored = toxicity.score(_with_row(docs), labels, allowed=crc_mod(F.col("doc_id"), 4) != 2, keep=["row"])
+    scored = toxicity.score(_with_row(docs), labels, allowed=crc_mod(F.col("doc_id"), 4) != 2, keep=["row"], store=False)
     return scored.filter(F.col("score") < TOXIC_SCORE).select("row.*")
 
 

@@ -48,7 +48,7 @@ def test_crowded_groups_take_the_way_by_rare_elements(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     table = staged(jaccard.document_sets(frame, jaccard.Bands()), "sets")
     corpus = jaccard.Corpus(frame, table, 3, 90, 100)
-    parts = {r.node: r.component for r in jaccard.similarity_components(corpus, most=3).collect()}
+    parts = {r.node: r.component for r in jaccard.similarity_components(corpus, jaccard.shared_signatures(table), most=3).collect()}
     want = brute.components(rows)
     by = {}
     for r in table.collect():
