@@ -342,7 +342,8 @@ def search(index: Index, queries: DataFrame, k: int = 20) -> DataFrame:
     each id in ``queries`` (column ``query_id``; ids that take no part in the
     index, and repeated ones, give nothing more). A query's own id is no
     candidate, its equals are. Fewer than ``k`` candidates are all returned;
-    ties go to the smaller id.
+    ties go to the smaller id. An id with several vectors asks with each of
+    them, and is found by its best.
     """
     asked = queries.select(F.col("query_id").cast("long")).distinct()
     own = asked.join(index.rows, asked["query_id"] == index.rows["id"]).select("query_id", "vector")
@@ -367,6 +368,7 @@ def search(index: Index, queries: DataFrame, k: int = 20) -> DataFrame:
     dot = F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
     scored = pairs.join(mine, "node").join(yours, "other").select("node", dot.alias("score"), "ids")
     rows = seats.join(scored, "node").select("query_id", "score", F.explode("ids").alias("vec_id")).filter("vec_id <> query_id")
+    rows = rows.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     ranked = rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

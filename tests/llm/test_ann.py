@@ -64,6 +64,7 @@ def test_copies_and_ties(spark):
 
 def test_repeated_rows_and_empty_or_single_tables(spark):
     assert found(spark, [(1, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [2.0, 1.0])], [1, 1]) == {1: [2]}
+    assert found(spark, [(1, [1.0, 2.0]), (1, [2.0, 0.0]), (2, [2.0, 1.0]), (2, [0.0, 3.0])], [1]) == {1: [2]}
     assert found(spark, [(1, [1.0, 2.0])], [1]) == {}
     assert found(spark, [], [1]) == {}
 
