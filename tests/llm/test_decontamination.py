@@ -85,3 +85,41 @@ def test_very_long_text_between_others():
     found = index.find(["a b c", long + ITEM + " " + long, None, ITEM])
     assert [[h[0] for h in x] for x in found] == [[], [1], [], [1]]
     assert found[1][0][2:] == (len(long), len(long) + len(ITEM))
+
+
+def edited(text, share, rng, ways):
+    """A copy with that share of its characters replaced (``ways`` is 1) or
+    replaced, left out or preceded by another (3)."""
+    out = list(text)
+    for p in rng.sample(range(len(text)), int(share * len(text))):
+        other = rng.choice("klmnopqrst")
+        out[p] = (other, "", other + out[p])[rng.randrange(ways)]
+    return "".join(out)
+
+
+def test_recall_at_10_15_and_20_percent_of_edits():
+    rng = random.Random(8)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+    items = [(i, words(rng.randrange(14, 70))) for i in range(80)]
+    index = dc.ItemIndex(items, dc.Settings())
+    for ways in (1, 3):
+        for share, least in ((0.1, 1.0), (0.15, 0.98), (0.2, 0.93)):
+            copies = [edited(x, share, rng, ways) for _, x in items]
+            found = index.find([words(9) + " " + c + " " + words(9) for c in copies])
+            assert sum(i in [h[0] for h in hits] for (i, _), hits in zip(items, found)) >= least * len(items)
+
+
+def test_windows_are_as_long_as_the_items():
+    rng = random.Random(4)
+    items = [(n, "".join(rng.choice("abcdefgh") for _ in range(n))) for n in (30, 100, 400)]
+    index = dc.ItemIndex(items, dc.Settings())
+    assert sorted(b.steps for b in index.bands) == sorted(2 * len(x) for x in index.items)
+    few = dc.ItemIndex(items, dc.Settings(target_recall=0.5))
+    keys = lambda x: sum(len(k) for b in x.bands for _, k in b.walks)
+    assert keys(few) < keys(index)
+
+
+def test_item_of_one_character():
+    index = dc.ItemIndex([(1, "-" * 200), (2, ITEM)], dc.Settings())
+    found = index.find(["a " + "-" * 199 + " b " + ITEM, "-" * 100, ITEM])
+    assert [[h[0] for h in hits] for hits in found] == [[1, 2], [], [2]]
