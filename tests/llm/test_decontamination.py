@@ -119,7 +119,25 @@ def test_windows_are_as_long_as_the_items():
     assert keys(few) < keys(index)
 
 
+def test_copies_in_texts_without_spaces():
+    han = "".join(chr(0x4E00 + (i * i * 31 + 7 * i) % 2000) for i in range(400))
+    item = han[150:200]
+    rng = random.Random(3)
+    line = "".join(rng.choice("abcdefghijklmnop") for _ in range(300))
+    index = dc.ItemIndex([(1, item), (2, line[100:180])], dc.Settings())
+    changed = item[:20] + "天" + item[21:]
+    found = index.find([han, han[:90] + changed + han[:80], line, "x" * 50 + line[100:180], han[:140]])
+    assert [[h[0] for h in hits] for hits in found] == [[1], [1], [2], [2], []]
+    assert found[0][0] == (1, 0, 150, 200) and found[2][0] == (2, 0, 100, 180)
+
+
 def test_item_of_one_character():
     index = dc.ItemIndex([(1, "-" * 200), (2, ITEM)], dc.Settings())
     found = index.find(["a " + "-" * 199 + " b " + ITEM, "-" * 100, ITEM])
     assert [[h[0] for h in hits] for hits in found] == [[1, 2], [], [2]]
+
+
+def test_short_items_are_found_exactly(spark):
+    docs = [(1, "a TINY  box"), (2, "tin y"), (3, "xtinyx"), (4, "the short\nitem is here"), (5, "the shor item is here"), (6, "這是短句。")]
+    got = spans(spark, docs, [(1, "tiny"), (2, "short item is"), (3, "短"), (4, " "), (5, "")])
+    assert got == [(1, 1, 0, 2, 6), (3, 1, 0, 1, 5), (4, 2, 0, 4, 17), (6, 3, 0, 2, 3)]
