@@ -9,7 +9,8 @@ Between records the sink puts an empty gzip member, which any gunzip accepts.
 Reading: a file is scanned record by record. When a record fails a check
 (broken member, bad header, wrong length, wrong digest), the reader searches
 for the next member or version line that begins a valid record, goes on from
-there and logs the bytes between as a gap.
+there and logs the bytes between as a gap. The same is done inside a member
+that holds several records, and with what a broken member still inflates.
 """
 
 from __future__ import annotations
@@ -151,42 +152,97 @@ def parse_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     return fields, payload, stop + 4
 
 
-def _inflate(data: bytes, at: int) -> tuple[bytes, int]:
+def _inflate(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """The content of the member at ``at``, the place after it and, if it is
+    broken or cut off, why: then the content goes as far as it inflates."""
     inflater = zlib.decompressobj(31)
-    try:
+    out, pos, why = [], at, ""
+    while not inflater.eof and pos < len(data):
         # the rest of the file is passed as a view; the inflater stops at the member's end
-        out = inflater.decompress(memoryview(data)[at : at + (1 << 20)])
-        pos = at + (1 << 20)
-        while not inflater.eof and pos < len(data):
-            out += inflater.decompress(memoryview(data)[pos : pos + (1 << 20)])
-            pos += 1 << 20
-    except zlib.error as e:
-        raise BadRecord(f"broken member: {e}") from None
-    if not inflater.eof:
-        raise BadRecord("member does not end")
-    return out, min(pos, len(data)) - len(inflater.unused_data)
-
-
-def _unit(data: bytes, at: int) -> tuple[list[tuple[dict[str, str], bytes]], int]:
-    """The records of the member or plain record that begins at ``at``, and
-    the place after it."""
+        piece = memoryview(data)[pos : pos + (1 << 20)]
+        before = inflater.copy()
+        try:
+            out.append(inflater.decompress(piece))
+        except zlib.error as e:
+            why = f"broken member: {e}"
+            try:
+                for i in range(len(piece)):  # a failed call gives nothing of what it inflated
+                    out.append(before.decompress(piece[i : i + 1]))
+            except zlib.error:
+                break
+        pos += len(piece)
+    if not why and not inflater.eof:
+        why = "member does not end"
+    return b"".join(out), min(pos, len(data)) - len(inflater.unused_data), why
+
+
+def _inner(inner: bytes, sure: bool) -> Iterator[tuple[str | None, dict[str, str] | None, bytes | None]]:
+    """``None, fields, payload`` of every record in a member's content, and
+    ``reason, None, None`` of every gap in it. Unless ``sure``, a record
+    counts only if a digest of it was checked."""
+    pos, gap, reason = 0, -1, ""
+    while pos < len(inner):
+        if gap < 0 and inner[pos] in b"\r\n":
+            pos += 1
+            continue
+        try:
+            fields, payload, after = parse_record(inner, pos)
+            if not sure and not any(fields.get(f, "").lower().startswith("sha1:") for f in _checked(fields)):
+                raise BadRecord("no digest to check in a broken member")
+        except BadRecord as e:
+            if gap < 0:
+                gap, reason = pos, str(e)
+            start = _VERSION.search(inner, pos + 1)
+            pos = start.start() if start else len(inner)
+            continue
+        if gap >= 0:
+            yield f"{reason} (bytes {gap} to {pos} of the member's content)", None, None
+            gap = -1
+        yield None, fields, payload
+        pos = after
+    if gap >= 0:
+        yield f"{reason} (bytes {gap} to {pos} of the member's content)", None, None
+
+
+def _checked(fields: dict[str, str]) -> list[str]:
+    """The digest fields that ``parse_record`` checks."""
+    return ["warc-block-digest", *(["warc-payload-digest"] if fields.get("warc-type") == "response" else [])]
+
+
+class BrokenMember(BadRecord):
+    """Carries what ``_inner`` found in what still inflates."""
+
+    def __init__(self, why: str, found: list):
+        super().__init__(why)
+        self.found = found
+
+
+def _unit(data: bytes, at: int) -> tuple[list[tuple[str | None, dict[str, str] | None, bytes | None]], int]:
+    """What the member or plain record that begins at ``at`` holds, as of
+    ``_inner``, and the place after it."""
     if data[at : at + 3] == b"\x1f\x8b\x08":
-        inner, after = _inflate(data, at)
-        found, pos = [], 0
-        while pos < len(inner):
-            fields, payload, pos = parse_record(inner, pos)
-            found.append((fields, payload))
+        inner, after, why = _inflate(data, at)
+        found = list(_inner(inner, not why.startswith("broken")))
+        if why:
+            # a broken member of one record is a gap as a whole
+            raise BrokenMember(why, [x for x in found if x[0] is None] if len(found) > 1 else [])
+        if found and all(reason for reason, _, _ in found):
+            raise BadRecord(found[0][0])
         return found, after
     fields, payload, after = parse_record(data, at)
-    return [(fields, payload)], after
+    return [(None, fields, payload)], after
 
 
 def salvage(data: bytes) -> Iterator[tuple[str, int, int, str | None, dict[str, str] | None, bytes | None]]:
     """Every record and gap of a file: ``("record", offset, length, None,
     fields, payload)`` or ``("gap", offset, length, reason, None, None)``.
-    Records and gaps cover the file without overlap. White space between
+    Records and gaps cover the file without overlap, but for those of one
+    member, which all have the member's bytes: a gap inside it gives its
+    place in the content as its reason, and records that a broken member
+    still holds have the bytes of the gap it lies in. White space between
     records and empty members are neither."""
     at, gap, reason = 0, -1, ""
+    kept: list[tuple[dict[str, str], bytes]] = []  # of broken members in the gap
     while at < len(data):
         if gap < 0 and data[at] in b"\r\n":
             at += 1
@@ -196,17 +252,23 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, int, str | None, dict[str,
         except BadRecord as e:
             if gap < 0:
                 gap, reason = at, str(e)
+            if isinstance(e, BrokenMember):
+                kept += [(fields, payload) for _, fields, payload in e.found]
             start = _START.search(data, at + 1)
             at = start.start() if start else len(data)
             continue
         if gap >= 0:
             yield "gap", gap, at - gap, reason, None, None
-            gap = -1
-        for fields, payload in found:
-            yield "record", at, after - at, None, fields, payload
+            for fields, payload in kept:
+                yield "record", gap, at - gap, None, fields, payload
+            gap, kept = -1, []
+        for why, fields, payload in found:
+            yield "gap" if why else "record", at, after - at, why, fields, payload
         at = after
     if gap >= 0:
         yield "gap", gap, len(data) - gap, reason, None, None
+        for fields, payload in kept:
+            yield "record", gap, len(data) - gap, None, fields, payload
 
 
 _READ_SCHEMA = (

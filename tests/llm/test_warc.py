@@ -111,3 +111,26 @@ def test_damaged_archives_are_read_by_spark(spark, tmp_dir):
     rows = warc.read_archives(spark, tmp_dir).collect()
     assert sorted(r.kind for r in rows) == ["gap", "record", "record", "record"]
     assert sorted(r.page_id for r in warc.page_digests(warc.read_archives(spark, tmp_dir)).collect()) == [0, 1, 2]
+
+
+def test_one_bad_record_in_a_member_of_several():
+    plain = [gzip.decompress(m) for m in members()]
+    bad = plain[1].replace(b"body 1", b"BODY 1", 1)
+    data = gzip.compress(plain[0] + bad + b"\r\n" + plain[2] + b"\r\n\r\n" + plain[3], mtime=0) + members()[1]
+    got = list(warc.salvage(data))
+    assert [(k, f["warc-record-id"] if f else None) for k, _, _, _, f, _ in got] == [
+        ("record", "<urn:page:0>"), ("gap", None), ("record", "<urn:page:2>"), ("record", "<urn:page:3>"), ("record", "<urn:page:1>")]
+    assert got[1][3].startswith("digest does not match") and f"bytes {len(plain[0])} to" in got[1][3]
+    assert got[-1][1] + got[-1][2] == len(data)
+
+
+def test_broken_members_give_the_records_before_the_break():
+    noise = hashlib.sha512(b"x").digest() * 9
+    body = b"".join(hashlib.sha1(b"%d" % i).digest() for i in range(3000))
+    record = gzip.decompress(warc._member(9, "u", body, hashlib.sha1(body).hexdigest(), None, "d"))
+    whole = gzip.compress(b"".join(gzip.decompress(m) for m in members()) + record, mtime=0)
+    for data in (whole[:-30_000], whole[:-30_000] + noise, whole[:-30_000] + members()[0]):
+        got = list(warc.salvage(data))
+        ids = [f["warc-record-id"] for k, _, _, _, f, _ in got if k == "record"]
+        assert ids[:4] == [f"<urn:page:{i}>" for i in range(4)] and got[0][0] == "gap"
+        assert len(ids) == (5 if data.endswith(members()[0]) else 4)
