@@ -2,10 +2,11 @@
 
 Building: vectors are dealt to the leaves of a few random-hyperplane trees
 (fitted on a bounded sample), neighbours inside a leaf start the graph, and
-NN-descent improves it: vectors that share a neighbour meet at that neighbour
-through a join, are compared there, and each keeps its best. Searching: a
-query starts from its own neighbours and greedily expands its best nodes not
-yet expanded; a node leads to the vectors that chose it as a neighbour, so
+NN-descent improves it: at every node its neighbours, those that chose it and
+itself meet through a join, are compared there, and each keeps its best, round
+after round until few neighbours change. Searching: a query starts from its
+own neighbours and greedily expands its best nodes not yet expanded until
+that no longer changes its best; a node leads to the vectors that chose it as a neighbour, so
 every vector can be reached from as many nodes as it has neighbours.
 
 Inner products become a nearest-neighbour order by one more coordinate that
@@ -36,12 +37,11 @@ class Settings:
     trees: int = 12
     leaf: int = 1000  # vectors compared with each other in a tree's leaf
     group: int = 8192  # vectors of one task's part of a tree
-    sample: int = 16_384  # vectors the trees' hyperplanes are fitted on
-    rounds: int = 2  # of NN-descent
-    meet: int = 6  # best others each vector takes from one meeting
-    block: int = 256  # vectors compared at a time in a meeting
+    sample: int = 16_384  # vectors the trees' hyperplanes are fitted on, at least
+    settled: float = 0.01  # NN-descent ends when a smaller share of neighbours changes
+    block: int = 256  # vectors compared at a time in a meeting, others in each round
     beam: int = 160  # best nodes a query keeps
-    hops: tuple[int, ...] = (32, 128, 160)  # nodes a query expands in each hop
+    hops: tuple[int, ...] = (32, 128, 160)  # nodes a query expands in each hop; the last goes on until its beam stays
     seed: int = 11
 
 
@@ -171,9 +171,10 @@ def _split(x: np.ndarray, rows: np.ndarray, leaf: int, rng: np.random.Generator)
 def leaf_neighbours(nodes: DataFrame, s: Settings) -> DataFrame:
     """The starting graph: each tree's best neighbours of each node."""
     n = nodes.count()
-    share = min(1.0, s.sample / max(1, n))
+    size = max(s.sample, 16 * -(-n // s.group))  # trees grow deeper with the rows
+    share = min(1.0, size / max(1, n))
     picked = nodes.filter(F.pmod(F.xxhash64("node", F.lit(s.seed)), F.lit(1 << 30)) < int(share * (1 << 30)))
-    rows = picked.select("code").limit(s.sample + s.sample // 4).collect()
+    rows = picked.select("code").limit(size + size // 4).collect()
     sample = np.stack([np.frombuffer(r["code"], _NODE) for r in rows]).astype(np.float32) if rows else np.zeros((0, 1), np.float32)
     trees = _fit_trees(sample, n, s)
     depth = (len(trees[0]) + 1).bit_length() - 1
@@ -199,7 +200,8 @@ def leaf_neighbours(nodes: DataFrame, s: Settings) -> DataFrame:
     for part, size in sizes.items():
         if size > 2 * s.group:  # more alike vectors than the trees can part
             pieces = F.when(F.col("part") == part, F.lit(-(-size // s.group))).otherwise(pieces)
-    dealt = dealt.withColumn("piece", F.pmod(F.xxhash64("node"), pieces))
+    tree = F.shiftright("part", 32)  # other pieces in each tree
+    dealt = dealt.withColumn("piece", F.pmod(F.xxhash64("node", tree), pieces))
     k, leaf, seed = s.neighbours, s.leaf, s.seed
 
     def near(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -232,9 +234,11 @@ def meetings(graph: DataFrame, nodes: DataFrame, full: int) -> DataFrame:
     return own.select(F.explode("near").alias("place"), "node", "code", worst.cast("float").alias("worst"))
 
 
-def descend(graph: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame:
-    """One round of NN-descent: nodes that share a neighbour are compared."""
-    take, block = s.meet, s.block
+def descend(graph: DataFrame, nodes: DataFrame, s: Settings, turn: int) -> DataFrame:
+    """One round of NN-descent: at every node its neighbours, the nodes that
+    chose it and itself are compared. Meetings of over ``block`` are parted by
+    a hash of the round and the node."""
+    k, block = s.neighbours, s.block
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, most=16 * block):
@@ -250,7 +254,7 @@ def descend(graph: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame:
                         continue
                     sim = x[a:b] @ x[a:b].T
                     np.fill_diagonal(sim, -np.inf)
-                    m = min(take, b - a - 1)
+                    m = min(k, b - a - 1)  # no list is longer
                     top = np.argpartition(-sim, m - 1, axis=1)[:, :m]
                     best = np.take_along_axis(sim, top, 1)
                     row, col = np.nonzero(best > worst[a:b, None])
@@ -259,10 +263,25 @@ def descend(graph: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame:
                     out[2].append(best[row, col])
             if out[0]:
                 # what a task has found for a node goes on as one list
-                yield from best_of(*(np.concatenate(c) for c in out), 1 << 30)
+                yield from best_of(*(np.concatenate(c) for c in out), k)
 
-    met = meetings(graph, nodes, s.neighbours).repartition("place").sortWithinPartitions("place", "node")
-    return merged(graph.unionByName(met.mapInArrow(run, _NEIGHBOURS)), s.neighbours)
+    own = graph.join(nodes, "node")
+    worst = F.when(F.size("sim") >= k, F.element_at("sim", -1)).otherwise(F.lit(float("-inf"))).cast("float")
+    # a neighbour that chose the node too is there once
+    chosen = graph.select(F.col("node").alias("place"), F.explode("near").alias("node"))
+    choosing = graph.select(F.explode("near").alias("place"), "node")
+    both = chosen.union(choosing).union(graph.select(F.col("node").alias("place"), "node")).distinct()
+    met = both.join(own.select("node", "code", worst.alias("worst")), "node").select("place", "node", "code", "worst")
+    met = met.repartition("place").sortWithinPartitions("place", F.xxhash64("node", F.lit(turn)))
+    return merged(graph.unionByName(met.mapInArrow(run, _NEIGHBOURS)), k)
+
+
+def changed(old: DataFrame, new: DataFrame) -> float:
+    """The share of the neighbours in ``new`` that are not in ``old``."""
+    both = new.select("node", "near").join(old.select("node", F.col("near").alias("last")), "node", "left")
+    fresh = F.size(F.array_except("near", F.coalesce("last", F.array().cast("array<long>"))))
+    row = both.agg(F.sum(fresh).alias("fresh"), F.sum(F.size("near")).alias("all")).first()
+    return (row["fresh"] or 0) / max(1, row["all"] or 0)
 
 
 @dataclass
@@ -282,8 +301,10 @@ def build_index(vectors: DataFrame, settings: Settings | None = None, id_col: st
     distinct = staged(distinct_vectors(rows, copies), "vectors")
     nodes = staged(encode_nodes(distinct), "codes")
     graph = staged(leaf_neighbours(nodes, s), "graph")
-    for _ in range(s.rounds):
-        last, graph = graph, staged(descend(graph, nodes, s), "graph")
+    share, turn = 1.0, 0
+    while share > s.settled:
+        last, graph = graph, staged(descend(graph, nodes, s, turn), "graph")
+        share, turn = changed(last, graph), turn + 1
         drop_staged(last)
     block = s.block
 
@@ -307,10 +328,11 @@ def build_index(vectors: DataFrame, settings: Settings | None = None, id_col: st
 def _hop(beams: DataFrame, index: Index, expand: int) -> DataFrame:
     """One greedy step: each query's ``expand`` best unexpanded nodes are
     expanded, and its beam keeps the best of old and new. ``beams``: ``query,
-    code, near, sim, done`` (the nodes expanded so far)."""
+    code, near, sim, done`` (the nodes expanded so far) and ``moved`` (did its
+    last hop change the beam?); other beams rest."""
     beam = index.settings.beam
     todo = F.slice(F.array_except("near", "done"), 1, expand)  # near is sorted, best first
-    beams = beams.withColumn("todo", todo)
+    beams = beams.withColumn("todo", F.when(F.col("moved"), todo).otherwise(F.slice("done", 1, 0)))
     worst = F.when(F.size("sim") >= beam, F.element_at("sim", -1)).otherwise(F.lit(float("-inf")))
     steps = beams.select(F.explode("todo").alias("place"), "query", "code", worst.cast("float").alias("worst"))
     whole = steps.join(index.links, "place").select("query", "code", "worst", "ids", "codes")
@@ -333,8 +355,11 @@ def _hop(beams: DataFrame, index: Index, expand: int) -> DataFrame:
     found = whole.mapInArrow(compare, _NEIGHBOURS)
     lists = found.union(beams.select("query", "near", "sim"))
     best = merged(lists, beam).withColumnRenamed("node", "query")
-    state = beams.select("query", "code", F.array_union("done", "todo").alias("done"))
-    return best.join(state, "query").select("query", "code", "near", "sim", "done")
+    state = beams.select("query", "code", F.array_union("done", "todo").alias("done"), F.col("near").alias("last"), "todo")
+    # with nodes left to expand that a smaller hop had no room for, it goes on
+    left = (F.size(F.array_except("near", "done")) > 0) & (F.size("todo") == expand)
+    moved = (F.size("todo") > 0) & ((F.col("near") != F.col("last")) | left)
+    return best.join(state, "query").select("query", "code", "near", "sim", "done", moved.alias("moved"))
 
 
 def search(index: Index, queries: DataFrame, k: int = 20) -> DataFrame:
@@ -355,10 +380,13 @@ def search(index: Index, queries: DataFrame, k: int = 20) -> DataFrame:
     beams = start.select(
         F.col("node").alias("query"), "code", F.coalesce("near", empty).alias("near"),
         F.transform(F.coalesce("near", empty), lambda x: F.lit(-1e30).cast("float")).alias("sim"), empty.alias("done"),
+        F.lit(True).alias("moved"),
     )
     beams = staged(beams, "beams")
-    for expand in index.settings.hops:
-        last, beams = beams, staged(_hop(beams, index, expand), "beams")
+    hops, turn = index.settings.hops, 0
+    while turn == 0 or not beams.filter("moved").isEmpty():
+        last, beams = beams, staged(_hop(beams, index, hops[min(turn, len(hops) - 1)]), "beams")
+        turn += 1
         drop_staged(last)
     first = start.select(F.col("node").alias("query"), F.coalesce("near", empty).alias("seeds"))
     near = F.array_distinct(F.concat(F.array(F.col("query")), F.slice("near", 1, 3 * k), F.slice("seeds", 1, k)))

@@ -75,3 +75,11 @@ def test_scores_are_exact_products(spark):
     for r in ann.search(index, spark.createDataFrame([(1,)], "query_id long"), 5).collect():
         a, b = (np.asarray(dict(rows)[i], np.float32).astype(float) for i in (1, r.vec_id))
         assert r.score == sum(x * y for x, y in zip(a, b))
+
+
+def test_rounds_go_on_until_neighbours_settle(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(1500, 10)))]
+    one = ann.Settings(neighbours=10, trees=2, leaf=20, group=300, sample=400, beam=40, hops=(10, 20), block=16)
+    got, want = found(spark, rows, list(range(0, 1500, 50)), 10, one), nearest(rows, list(range(0, 1500, 50)), 10)
+    assert np.mean([len(set(got[q]) & set(want[q])) / 10 for q in want]) >= 0.9
