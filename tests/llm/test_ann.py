@@ -83,3 +83,23 @@ def test_rounds_go_on_until_neighbours_settle(spark):
     one = ann.Settings(neighbours=10, trees=2, leaf=20, group=300, sample=400, beam=40, hops=(10, 20), block=16)
     got, want = found(spark, rows, list(range(0, 1500, 50)), 10, one), nearest(rows, list(range(0, 1500, 50)), 10)
     assert np.mean([len(set(got[q]) & set(want[q])) / 10 for q in want]) >= 0.9
+
+
+def parts(spark, graph, n):
+    codes = [(i, np.asarray([1.0, i / 64, 0.0], np.float16).tobytes()) for i in range(n)]
+    return spark.createDataFrame(graph, "node long, near array<long>, sim array<float>"), spark.createDataFrame(codes, "node long, code binary")
+
+
+def test_own_neighbours_meet_and_blocks_change_with_the_round(spark):
+    s = ann.Settings(neighbours=3, block=4)
+    graph, nodes = parts(spark, [(0, [1, 2], [0.0, 0.0]), (1, [3], [0.0]), (2, [4], [0.0]), (3, [], []), (4, [], [])], 5)
+    assert 2 in {r.node: r.near for r in ann.descend(graph, nodes, s, 0).collect()}[1]
+    graph, nodes = parts(spark, [(i, [0], [-9.0]) for i in range(1, 40)] + [(0, [], [])], 40)
+    pairs = [{(r.node, x) for r in ann.descend(graph, nodes, s, turn).collect() for x in r.near} for turn in (0, 1)]
+    assert len(pairs[0] - pairs[1]) > 10
+
+
+def test_vectors_no_plane_parts_meet_others_in_each_tree(spark):
+    nodes = spark.createDataFrame([(i, np.ones(4, np.float16).tobytes()) for i in range(60)], "node long, code binary")
+    n = [sum(len(r.near) for r in ann.leaf_neighbours(nodes, ann.Settings(trees=t, group=4)).collect()) for t in (1, 6)]
+    assert n[1] > 2 * n[0]
