@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from conftest import SF001, sessions_frame
+from session_rows import SF001, sessions_frame
 from convolytics.plans.catalog import QUERIES
 from convolytics.plans.dashboard import dashboard, materialize
 from convolytics.sinks.reports import write_csv
@@ -58,7 +58,7 @@ def test_stream_ingest_and_running_kpis(spark, tmp_dir):
 
 
 def test_dashboard_tables_clean_up(spark):
-    from conftest import SF001
+    from session_rows import SF001
     from convolytics.plans.dashboard import dashboard_tables
     from convolytics.sources import fixtures
 

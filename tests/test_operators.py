@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from conftest import sessions_frame
+from session_rows import sessions_frame
 from convolytics.operators import crosstab as xt
 from convolytics.operators import frequency as fq
 from convolytics.operators import grouped as gr
@@ -260,7 +260,7 @@ def test_profile_shape_no_duplicates_and_empty(spark):
 
 @pytest.mark.parametrize("threshold", ["-1", "10485760"])
 def test_profile_shape_is_one_scan_and_one_keyed_shuffle_at_any_threshold(spark, threshold):
-    from conftest import SF001
+    from session_rows import SF001
 
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     try:
@@ -329,7 +329,7 @@ def test_histogram_leaves_nan_out_and_has_bins_without_values(spark):
 
 
 def test_preview_derive_after_topn_equals_ordering_the_derived_table(spark):
-    from conftest import SF001
+    from session_rows import SF001
     from convolytics.operators.features import add_text_features
     from convolytics.sources import fixtures
 

@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__ as E
 from convolytics.plans.catalog import QUERIES
-from conftest import SF001
+from session_rows import SF001
 
 TABLES = ("conversations", "documents", "labels")
 

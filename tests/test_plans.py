@@ -2,7 +2,7 @@
 
 import pytest
 
-from conftest import SF001
+from session_rows import SF001
 from convolytics.plans.catalog import QUERIES
 
 

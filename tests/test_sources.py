@@ -7,7 +7,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import sessions_frame
+from session_rows import sessions_frame
 from convolytics.schema import SchemaError
 from convolytics.sinks.reports import export_reports, report_path, write_csv
 from convolytics.sources.csv import UnsupportedFormatError, detect_format, load_sessions, read_csv, read_csv_header
