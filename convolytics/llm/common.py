@@ -52,8 +52,9 @@ def drop_staged(df: DataFrame) -> None:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for folder in {os.path.dirname(f) for f in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(folder)
-        if os.path.basename(root) in folder:
-            path.getFileSystem(conf).delete(path, True)
+        system = path.getFileSystem(conf)
+        if path.getParent() == system.makeQualified(jvm.org.apache.hadoop.fs.Path(root)):
+            system.delete(path, True)
 
 
 def workers_see_library(spark: SparkSession) -> None:
@@ -77,6 +78,20 @@ def crc_mod(id_col: Column, n: int) -> Column:
     return F.crc32(F.encode(F.coalesce(id_col.cast("string"), F.lit("")), "utf-8")) % n
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, most: int = 1000) -> DataFrame:
+    """``rows`` joined with ``groups`` (one row per ``key``, with the number
+    ``size`` of its rows). Keys that hold more than one in ``most`` of all rows
+    are fewer than ``most``, so these alone are broadcast, and no row of them is
+    shuffled; the rest meet in a shuffle in which no key is hot. ``groups``
+    should be stored, since it is read several times."""
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    hot = F.col(size) * F.lit(most) > F.lit(total)
+    heavy = groups.filter(hot)
+    found = rows.join(F.broadcast(heavy), key)
+    rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(groups.filter(~hot), key)
+    return found.unionByName(rest)
+
+
 def require_columns(df: DataFrame, names: Iterable[str]) -> None:
     missing = [n for n in names if n not in df.columns]
     if missing:

@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from convolytics.llm import ann, decontamination, jaccard, langid, packing, quality, sharding, token_counts, toxicity, warc
+from convolytics.llm import (
+    ann, collocations, decontamination, dedup, jaccard, langid, packing, quality, sharding, token_counts, toxicity, warc, whitening,
+)
 from convolytics.llm.common import crc_mod, read_table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -76,6 +78,18 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"), scale=256, components=4, weights="one")
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, sf_dir, "documents"), least=100, longest=5, top=2000)
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.exact_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_nn_descent": op2_nn_descent,
@@ -87,6 +101,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_toxicity": op9_toxicity,
     "op10_sharding": op10_sharding,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_collocations": op12_collocations,
+    "op13_exact_dedup": op13_exact_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -134,4 +151,37 @@ FROM (
     max(page_id) OVER (PARTITION BY coalesce(html, '')) AS latest
   FROM pages
 )""",
+    "op12_collocations": """
+WITH RECURSIVE pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents
+), words AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang),
+phrases AS (
+  SELECT lang, k, array_to_string(g, ' ') AS phrase, any_value(g) AS g, count(*) AS f FROM (
+    SELECT lang, k, unnest(list_transform(generate_series(1, len(w) - k + 1), lambda i: w[i : i + k - 1])) AS g
+    FROM words, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE len(w) >= k
+  ) GROUP BY ALL HAVING count(*) >= 100
+), longer AS (
+  SELECT p.lang, unnest([array_to_string(p.g[1 : p.k - 1], ' '), array_to_string(p.g[2 : p.k], ' ')]) AS phrase, p.f FROM phrases p WHERE p.k > 2
+), candidates AS (
+  SELECT * FROM phrases p WHERE k >= 2 AND NOT EXISTS (SELECT 1 FROM longer x WHERE x.lang = p.lang AND x.phrase = p.phrase AND x.f >= p.f)
+), cuts AS (
+  SELECT c.lang, c.phrase, c.f AS a, j, l.f AS l, r.f AS r, t.n,
+    (1000 * CAST(c.f AS HUGEINT) * CAST(t.n AS HUGEINT)) // (CAST(l.f AS HUGEINT) * CAST(r.f AS HUGEINT)) AS score
+  FROM (SELECT *, unnest(generate_series(1, k - 1)) AS j FROM candidates) c
+  JOIN totals t ON t.lang = c.lang
+  JOIN phrases l ON l.lang = c.lang AND l.phrase = array_to_string(c.g[1 : c.j], ' ')
+  JOIN phrases r ON r.lang = c.lang AND r.phrase = array_to_string(c.g[c.j + 1 : c.k], ' ')
+), best AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM best QUALIFY rank <= 2000""",
+    "op13_exact_dedup": """
+SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = min(doc_id) OVER same AS kept, text_sha256
+FROM (
+  SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
+) WINDOW same AS (PARTITION BY text_sha256)""",
 }
