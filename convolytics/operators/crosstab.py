@@ -7,7 +7,8 @@ bounded distinct (the same thing ``pivot`` does without values), and more
 than ``spark.sql.pivotMaxValues`` labels is an error, never a silent cut.
 
 The wide form is one aggregate: a count per label under the row key, combined
-in each task before the shuffle, so a hot key costs one row per task. Inside,
+in each task before the shuffle, so a hot key costs one row per task. ``m`` says
+whether the input is one row per conversation or the cells of a cube. Inside,
 columns go by position and take their labels once, at the end, so any text
 may be a label. Nothing is kept between calls.
 """
@@ -20,6 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from convolytics import constants as K
+from convolytics.functions.measures import Measures, PER_ROW
 from convolytics.schema import Columns, DEFAULT_COLUMNS
 
 
@@ -54,9 +56,9 @@ def pivot_values(df: DataFrame, col: str, max_values: int | None = None) -> list
     return [r[0] for r in rows]
 
 
-def _counts(col: str, values: Sequence) -> list[Column]:
+def _counts(col: str, values: Sequence, m: Measures) -> list[Column]:
     """A count per label, named by position."""
-    return [F.count(F.when(_name(col) == F.lit(v), F.lit(1))).alias(f"_c{i}") for i, v in enumerate(values)]
+    return [m.rows(_name(col) == F.lit(v)).alias(f"_c{i}") for i, v in enumerate(values)]
 
 
 def _not_the_margin(key: Column, column: str, margin_label: str) -> Column:
@@ -73,6 +75,7 @@ def crosstab(
     values: Sequence | None = None,
     margins: bool = False,
     margin_label: str = K.MARGIN_LABEL,
+    m: Measures = PER_ROW,
 ) -> DataFrame:
     """C1/C3/C5/C6 (and C8/C9 with ``margins=True``): wide cross-tab of pair
     counts, one row per ``row`` value, ascending.
@@ -87,7 +90,7 @@ def crosstab(
     if values is None:
         values = pivot_values(df.filter(_name(row).isNotNull()), col)
     names = [str(v) for v in values]
-    wide = both_non_null(df, row, col).groupBy(_name(row).alias("_row")).agg(F.count(F.lit(1)).alias("_n"), *_counts(col, values))
+    wide = both_non_null(df, row, col).groupBy(_name(row).alias("_row")).agg(m.rows().alias("_n"), *_counts(col, values, m))
     cells = [f"_c{i}" for i in range(len(names))]
     if not margins:
         return wide.orderBy("_row").select("_row", *cells).toDF(row, *names)
@@ -104,16 +107,19 @@ def crosstab(
     return both.select("_row", *cells, "_all").toDF(row, *names, margin_label)
 
 
-def crosstab_long(df: DataFrame, row: str, col: str, margins: bool = False, margin_label: str = K.MARGIN_LABEL) -> DataFrame:
+def crosstab_long(
+    df: DataFrame, row: str, col: str, margins: bool = False, margin_label: str = K.MARGIN_LABEL, m: Measures = PER_ROW
+) -> DataFrame:
     """Long form ``row, col, n``: only pairs that occur (zeros are implied).
     With margins, ``cube`` adds the per-row, per-column and grand totals,
     labelled ``margin_label``; a real key that reads the same is refused at
     run time."""
-    pairs = both_non_null(df, row, col).select(_name(row).alias("_row"), _name(col).alias("_col"))
+    by = {"_row": _name(row), "_col": _name(col)}
+    pairs = both_non_null(df, row, col).withColumns(by)
     if not margins:
-        return pairs.groupBy("_row", "_col").agg(F.count(F.lit(1)).alias("n")).orderBy("_row", "_col").toDF(row, col, "n")
+        return pairs.groupBy("_row", "_col").agg(m.rows().alias("n")).orderBy("_row", "_col").toDF(row, col, "n")
     cubed = pairs.cube("_row", "_col").agg(
-        F.count(F.lit(1)).alias("n"),
+        m.rows().alias("n"),
         F.grouping("_row").alias("_gr"),
         F.grouping("_col").alias("_gc"),
     )
@@ -128,61 +134,64 @@ def crosstab_long(df: DataFrame, row: str, col: str, margins: bool = False, marg
     return named.orderBy("_gr", "_row", "_gc", "_col").select("_row", "_col", "n").toDF(row, col, "n")
 
 
-def crosstab_top(df: DataFrame, row: str, col: str, k: int, values: Sequence | None = None) -> DataFrame:
+def crosstab_top(
+    df: DataFrame, row: str, col: str, k: int, values: Sequence | None = None, m: Measures = PER_ROW
+) -> DataFrame:
     """J1 + C2/C4/C7: the cross-tab restricted to the ``k`` most frequent
     ``row`` keys, in frequency order (``rank`` 1..k).
 
-    One aggregate counts every key's rows (null partners included, for the
-    ranking) and its pairs; the first ``k`` keys are its answer, ranked in an
-    array of ``k`` entries. A top key whose partner values are all null has a
-    row of zeros. Column labels come from the whole table, so a label seen
-    only outside the top-k keeps its (zero) column.
+    The top keys come first, from a count per key alone (null partners
+    included); they are ``k`` rows, ranked in an array, and filter the table
+    below the pair counts, so only ``k`` keys ever carry a counter per label.
+    A top key whose partner values are all null has a row of zeros. Column
+    labels come from the whole table, so a label seen only outside the top-k
+    keeps its (zero) column.
     """
     if values is None:
         values = pivot_values(df.filter(_name(row).isNotNull()), col)
-    counted = df.filter(_name(row).isNotNull()).groupBy(_name(row).alias("_row")).agg(F.count(F.lit(1)).alias("_n"), *_counts(col, values))
+    keyed = df.filter(_name(row).isNotNull()).withColumn("_row", _name(row))
+    top = keyed.groupBy("_row").agg(m.rows().alias("_n")).orderBy(F.col("_n").desc(), F.col("_row").asc()).limit(k)
+    packed = top.agg(F.sort_array(F.collect_list(F.struct((-F.col("_n")).alias("_n"), "_row"))).alias("_top"))
+    ranked = packed.select(F.posexplode("_top").alias("_at", "_key")).select((F.col("_at") + 1).cast("bigint").alias("_rank"), "_key._row")
+    counted = keyed.join(F.broadcast(ranked), "_row").groupBy("_rank", "_row").agg(m.rows().alias("_n"), *_counts(col, values, m))
     cells = [f"_c{i}" for i in range(len(values))]
-    top = counted.orderBy(F.col("_n").desc(), F.col("_row").asc()).limit(k)
-    packed = top.agg(F.sort_array(F.collect_list(F.struct((-F.col("_n")).alias("_n"), "_row", *cells))).alias("_top"))
-    ranked = packed.select(F.posexplode("_top").alias("_at", "_key"))
-    out = ranked.select((F.col("_at") + 1).cast("bigint"), "_key._row", *[f"_key.{c}" for c in cells])
-    return out.toDF("rank", row, *[str(v) for v in values])
+    return counted.orderBy("_rank").select("_rank", "_row", *cells).toDF("rank", row, *[str(v) for v in values])
 
 
 # --- the dashboard's cross-tabs ---------------------------------------------
 
 
-def xt_status_sentiment(df: DataFrame, cols: Columns = DEFAULT_COLUMNS) -> DataFrame:
-    return crosstab(df, cols.status, cols.sentiment)
+def xt_status_sentiment(df: DataFrame, cols: Columns = DEFAULT_COLUMNS, m: Measures = PER_ROW) -> DataFrame:
+    return crosstab(df, cols.status, cols.sentiment, m=m)
 
 
-def xt_status_intent(df: DataFrame, cols: Columns = DEFAULT_COLUMNS) -> DataFrame:
-    return crosstab(df, cols.status, cols.intent)
+def xt_status_intent(df: DataFrame, cols: Columns = DEFAULT_COLUMNS, m: Measures = PER_ROW) -> DataFrame:
+    return crosstab(df, cols.status, cols.intent, m=m)
 
 
-def xt_sentiment_spam(df: DataFrame, cols: Columns = DEFAULT_COLUMNS) -> DataFrame:
-    return crosstab(df, cols.sentiment, cols.spam)
+def xt_sentiment_spam(df: DataFrame, cols: Columns = DEFAULT_COLUMNS, m: Measures = PER_ROW) -> DataFrame:
+    return crosstab(df, cols.sentiment, cols.spam, m=m)
 
 
-def xt_intent_spam(df: DataFrame, cols: Columns = DEFAULT_COLUMNS) -> DataFrame:
-    return crosstab(df, cols.intent, cols.spam)
+def xt_intent_spam(df: DataFrame, cols: Columns = DEFAULT_COLUMNS, m: Measures = PER_ROW) -> DataFrame:
+    return crosstab(df, cols.intent, cols.spam, m=m)
 
 
-def xt_topic_status_top(df: DataFrame, k: int = K.TOP_TOPICS_HEATMAP, cols: Columns = DEFAULT_COLUMNS) -> DataFrame:
-    return crosstab_top(df, cols.topic, cols.status, k)
+def xt_topic_status_top(df: DataFrame, k: int = K.TOP_TOPICS_HEATMAP, cols: Columns = DEFAULT_COLUMNS, m: Measures = PER_ROW) -> DataFrame:
+    return crosstab_top(df, cols.topic, cols.status, k, m=m)
 
 
-def xt_topic_intent_top(df: DataFrame, k: int = K.TOP_TOPICS_INTENT, cols: Columns = DEFAULT_COLUMNS) -> DataFrame:
-    return crosstab_top(df, cols.topic, cols.intent, k)
+def xt_topic_intent_top(df: DataFrame, k: int = K.TOP_TOPICS_INTENT, cols: Columns = DEFAULT_COLUMNS, m: Measures = PER_ROW) -> DataFrame:
+    return crosstab_top(df, cols.topic, cols.intent, k, m=m)
 
 
-def xt_topic_sentiment_top(df: DataFrame, k: int = K.TOP_TOPICS_SENTIMENT, cols: Columns = DEFAULT_COLUMNS) -> DataFrame:
-    return crosstab_top(df, cols.topic, cols.sentiment, k)
+def xt_topic_sentiment_top(df: DataFrame, k: int = K.TOP_TOPICS_SENTIMENT, cols: Columns = DEFAULT_COLUMNS, m: Measures = PER_ROW) -> DataFrame:
+    return crosstab_top(df, cols.topic, cols.sentiment, k, m=m)
 
 
-def xt_topic_status_margins(df: DataFrame, cols: Columns = DEFAULT_COLUMNS) -> DataFrame:
-    return crosstab(df, cols.topic, cols.status, margins=True)
+def xt_topic_status_margins(df: DataFrame, cols: Columns = DEFAULT_COLUMNS, m: Measures = PER_ROW) -> DataFrame:
+    return crosstab(df, cols.topic, cols.status, margins=True, m=m)
 
 
-def xt_topic_sentiment_margins(df: DataFrame, cols: Columns = DEFAULT_COLUMNS) -> DataFrame:
-    return crosstab(df, cols.topic, cols.sentiment, margins=True)
+def xt_topic_sentiment_margins(df: DataFrame, cols: Columns = DEFAULT_COLUMNS, m: Measures = PER_ROW) -> DataFrame:
+    return crosstab(df, cols.topic, cols.sentiment, margins=True, m=m)

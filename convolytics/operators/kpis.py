@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from convolytics.functions.labels import drop_off_advice, resolution_advice, sentiment_advice
-from convolytics.functions.numeric import rate, share
+from convolytics.functions.measures import Measures, PER_ROW
+from convolytics.functions.numeric import share
 from convolytics.schema import Columns, DEFAULT_COLUMNS, DEFAULT_LABELS, Labels, require_quality_columns
 
 
@@ -30,24 +31,24 @@ def kpi_overview(
         F.count(F.lit(1)).alias("total_conversations"),
         _distinct(cols.topic, exact).alias("unique_topics"),
         _distinct(cols.session_id, exact).alias("unique_sessions"),
-        rate(F.col(cols.status) == labels.resolved).alias("resolution_rate_pct"),
-        rate(F.col(cols.sentiment) == labels.negative).alias("negative_sentiment_pct"),
-        rate(F.col(cols.status) == labels.drop_off).alias("drop_off_rate_pct"),
+        PER_ROW.rate(F.col(cols.status) == labels.resolved).alias("resolution_rate_pct"),
+        PER_ROW.rate(F.col(cols.sentiment) == labels.negative).alias("negative_sentiment_pct"),
+        PER_ROW.rate(F.col(cols.status) == labels.drop_off).alias("drop_off_rate_pct"),
     )
 
 
-def kpi_quality(df: DataFrame, cols: Columns = DEFAULT_COLUMNS, labels: Labels = DEFAULT_LABELS) -> DataFrame:
+def kpi_quality(df: DataFrame, cols: Columns = DEFAULT_COLUMNS, labels: Labels = DEFAULT_LABELS, m: Measures = PER_ROW) -> DataFrame:
     """A9-A11 in one row: counts and shares (over all rows) of accurate /
     not-accurate intents and not-spam / spam checks; absent labels give 0.
     ``accurate_pct`` is the intent-accuracy KPI."""
     require_quality_columns(df, cols)
     intent, spam = F.col(cols.intent), F.col(cols.spam)
     agg = df.agg(
-        F.count(F.lit(1)).alias("total_conversations"),
-        F.count(F.when(intent == labels.accurate, F.lit(1))).alias("accurate_count"),
-        F.count(F.when(intent == labels.not_accurate, F.lit(1))).alias("not_accurate_count"),
-        F.count(F.when(spam == labels.not_spam, F.lit(1))).alias("not_spam_count"),
-        F.count(F.when(spam == labels.spam, F.lit(1))).alias("spam_count"),
+        m.rows().alias("total_conversations"),
+        m.rows(intent == labels.accurate).alias("accurate_count"),
+        m.rows(intent == labels.not_accurate).alias("not_accurate_count"),
+        m.rows(spam == labels.not_spam).alias("not_spam_count"),
+        m.rows(spam == labels.spam).alias("spam_count"),
     )
     t = F.col("total_conversations")
     return agg.select(
@@ -63,7 +64,7 @@ def kpi_quality(df: DataFrame, cols: Columns = DEFAULT_COLUMNS, labels: Labels =
     )
 
 
-def key_insights(df: DataFrame, cols: Columns = DEFAULT_COLUMNS, labels: Labels = DEFAULT_LABELS) -> DataFrame:
+def key_insights(df: DataFrame, cols: Columns = DEFAULT_COLUMNS, labels: Labels = DEFAULT_LABELS, m: Measures = PER_ROW) -> DataFrame:
     """One row with the overall rates, the most common topic and its
     count, the mean query words and three recommendations.
 
@@ -75,11 +76,11 @@ def key_insights(df: DataFrame, cols: Columns = DEFAULT_COLUMNS, labels: Labels
     """
     status, sentiment = F.col(cols.status), F.col(cols.sentiment)
     per_topic = df.groupBy(cols.topic).agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count(F.when(status == labels.resolved, F.lit(1))).alias("resolved"),
-        F.count(F.when(status == labels.drop_off, F.lit(1))).alias("drop_off"),
-        F.count(F.when(sentiment == labels.negative, F.lit(1))).alias("negative"),
-        F.sum(cols.query_words).alias("query_words"),
+        m.rows().alias("rows"),
+        m.rows(status == labels.resolved).alias("resolved"),
+        m.rows(status == labels.drop_off).alias("drop_off"),
+        m.rows(sentiment == labels.negative).alias("negative"),
+        m.total(cols.query_words).alias("query_words"),
     )
     top = F.min(F.when(F.col(cols.topic).isNotNull(), F.struct((-F.col("rows")).alias("neg_n"), F.col(cols.topic).alias("t"))))
     total = per_topic.agg(

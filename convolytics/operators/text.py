@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, functions as F
 
 from convolytics import constants as K
+from convolytics.functions.measures import Measures, PER_ROW
 from convolytics.functions.text import keyword_tokens
 from convolytics.schema import Columns, DEFAULT_COLUMNS
 
@@ -28,7 +29,7 @@ def text_stats(df: DataFrame, cols: Columns = DEFAULT_COLUMNS) -> DataFrame:
     return df.agg(*out)
 
 
-def histogram(df: DataFrame, column: str, bins: int = K.HISTOGRAM_BINS) -> DataFrame:
+def histogram(df: DataFrame, column: str, bins: int = K.HISTOGRAM_BINS, m: Measures = PER_ROW) -> DataFrame:
     """H1/H2: ``bins`` equal-width bins from the column's min to max, the
     last bin closed on the right, empty bins kept: ``bin, bin_start,
     bin_end, n``. If min = max the range is min - 0.5 .. max + 0.5.
@@ -44,7 +45,7 @@ def histogram(df: DataFrame, column: str, bins: int = K.HISTOGRAM_BINS) -> DataF
     valid = F.col(column).isNotNull()
     if dict(df.dtypes)[column] in ("float", "double"):
         valid &= ~F.isnan(column)
-    counts = df.filter(valid).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    counts = df.filter(valid).groupBy(column).agg(m.rows().alias("n"))
     # one scalar subquery for both bounds; it sums n too, so that it is the
     # same aggregate as the one placed below
     seen = counts.agg(F.min(column).cast("double").alias("lo"), F.max(column).cast("double").alias("hi"), F.sum("n").alias("n"))

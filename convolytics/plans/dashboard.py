@@ -3,7 +3,9 @@
 ``run_dashboard`` loads and validates the input, adds the text features once,
 materialises that table in the shared checkpoint folder, and returns every
 analysis as a DataFrame over it. Materialising matters when many
-analyses run: each would otherwise re-read and re-featurise the input. The
+analyses run: each would otherwise re-read and re-featurise the input. One more
+pass over it stores a cube of partial counts (``operators.cube``), of which all
+but the keyword, preview and profile analyses are roll-ups. The
 checkpoint lives in ``spark.checkpoint.dir`` (shared storage on a cluster),
 so a lost executor does not force recomputation from the source files.
 Quality analyses are planned only when both quality columns exist.
@@ -20,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from convolytics import constants as K
 from convolytics.operators import crosstab as xt
+from convolytics.operators import cube as cb
 from convolytics.operators import frequency as fq
 from convolytics.operators import grouped as gr
 from convolytics.operators import kpis
@@ -58,12 +61,15 @@ def materialize(df: DataFrame, how: str = "table") -> DataFrame:
 
 
 def release(featured: DataFrame) -> None:
-    """Deletes the table that ``materialize(how="table")`` wrote; the lazy
-    analyses over it cannot be run afterwards. Anything else is unpersisted."""
+    """Deletes the table that ``materialize(how="table")`` wrote, or that of a
+    stored cube; the lazy analyses over it cannot be run afterwards. Anything
+    else is unpersisted."""
     spark = featured.sparkSession
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in featured.inputFiles()}:
-        if folder.rsplit("/", 1)[-1].startswith(_TABLE_PREFIX):
+    # a cube's files lie one folder deeper, by part
+    folders = {f.rsplit("/", n)[0] for f in featured.inputFiles() for n in (1, 2)}
+    for folder in folders:
+        if folder.rsplit("/", 1)[-1].startswith((_TABLE_PREFIX, cb.TABLE_PREFIX)):
             path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(conf).delete(path, True)
     featured.unpersist()
@@ -73,13 +79,28 @@ def release(featured: DataFrame) -> None:
 def dashboard_tables(
     sessions: DataFrame, cols: Columns = DEFAULT_COLUMNS, labels: Labels = DEFAULT_LABELS, only: Sequence[str] | None = None
 ) -> Iterator[dict[str, DataFrame]]:
-    """``dashboard`` whose featurised table is deleted when the block ends."""
+    """``dashboard`` whose stored tables are deleted when the block ends."""
     featured = materialize(add_text_features(validate(sessions, cols), cols))
+    cube = None
     try:
-        plans = analyses(cols, labels, quality=has_quality_columns(featured, cols))
-        yield {name: fn(featured) for name, fn in plans.items() if only is None or name in only}
+        cube = cb.build_cube(featured, cols)
+        yield _planned(featured, cube, cols, labels, only)
     finally:
         release(featured)
+        if cube is not None:
+            release(cube.table)
+
+
+def _planned(
+    featured: DataFrame, cube: cb.Cube | None, cols: Columns, labels: Labels, only: Sequence[str] | None
+) -> dict[str, DataFrame]:
+    quality = has_quality_columns(featured, cols)
+    rolled = {} if cube is None else cb.rollups(labels, quality)
+    return {
+        name: rolled[name](cube) if name in rolled else fn(featured)
+        for name, fn in analyses(cols, labels, quality).items()
+        if only is None or name in only
+    }
 
 
 def analyses(
@@ -145,12 +166,13 @@ def dashboard(
     labels: Labels = DEFAULT_LABELS,
     materialize_how: str = "table",
     only: Sequence[str] | None = None,
+    cube: bool = True,
 ) -> dict[str, DataFrame]:
-    """Validates, featurises and materialises ``sessions`` once, then plans
-    every analysis on it (P10: quality analyses only with both columns)."""
+    """Validates, featurises and materialises ``sessions`` once, counts it into
+    a stored cube and plans every analysis on the two (P10: quality analyses
+    only with both columns). ``cube=False`` plans each analysis on the table."""
     featured = materialize(add_text_features(validate(sessions, cols), cols), materialize_how)
-    plans = analyses(cols, labels, quality=has_quality_columns(featured, cols))
-    return {name: fn(featured) for name, fn in plans.items() if only is None or name in only}
+    return _planned(featured, cb.build_cube(featured, cols) if cube else None, cols, labels, only)
 
 
 def run_dashboard(

@@ -4,8 +4,9 @@ session or set configuration; they take the caller's."""
 from __future__ import annotations
 
 import os
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = "*", app: str = "convolytics", shuffle_partitions: int | None = None) -> SparkSession:
@@ -49,3 +50,27 @@ def checkpoint_dir(spark: SparkSession, default: str | None = None) -> str:
     spark.conf.set("spark.checkpoint.dir", default)
     spark.sparkContext.setCheckpointDir(default)
     return spark.sparkContext.getCheckpointDir() or default
+
+
+def stored_rows(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read back, so that
+    several readers do not compute it again; unchanged where the session names
+    no folder."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        return df
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def workers_see_library(spark: SparkSession) -> None:
+    """Lets Python workers of a local session import this package when the
+    driver found it through ``sys.path`` only. On a cluster the package is
+    installed or shipped with ``--py-files``."""
+    env = spark.sparkContext.environment
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = [p for p in env.get("PYTHONPATH", "").split(":") if p]
+    if spark.sparkContext.master.startswith("local") and root not in known:
+        env["PYTHONPATH"] = ":".join([root, *known])

@@ -15,8 +15,9 @@ dashboard's reader also turns a fixed list of tokens (``NA``, ``null``, ...)
 into missing values; Spark's ``nullValue`` takes one token, so the rest are
 mapped right after the scan.
 
-Multi-line CSV files are not splittable (one task per file): large inputs
-should arrive as many files, or as Parquet.
+Spark's reader takes one task for a multi-line file. ``split=True`` reads
+large files by byte ranges instead (``sources.csv_split``), quoted newlines
+included, with the same result.
 """
 
 from __future__ import annotations
@@ -77,14 +78,33 @@ def _field_count(raw: F.Column) -> F.Column:
     return F.length(unquoted) - F.length(F.regexp_replace(unquoted, F.lit(","), F.lit(""))) + 1
 
 
-def read_csv(spark: SparkSession, path: str | Sequence[str], names: Sequence[str] | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str | Sequence[str], names: Sequence[str] | None = None, split: bool = False) -> DataFrame:
     """CSV file(s) with a header row to a table of nullable strings,
-    columns matched by name, null tokens normalised (S4)."""
+    columns matched by name, null tokens normalised (S4). With ``split`` many
+    tasks read one file."""
     names = list(names) if names is not None else read_csv_header(spark, path)
+    if split:
+        return _read_split(spark, path, names)
     raw = spark.read.schema(csv_schema(names)).options(**csv_reader_options()).csv(_paths(path))
     return normalize_null_tokens(guard_long_rows(raw, names), names)
 
 
+def _read_split(spark: SparkSession, path: str | Sequence[str], names: Sequence[str]) -> DataFrame:
+    from convolytics.sources.csv_split import header_of, split_records
+
+    records = split_records(spark, _paths(path))
+    options = {k: v for k, v in CSV_OPTIONS.items() if k != "encoding"}
+    schema = ", ".join(f"`c{i}` string" for i in range(len(names)))
+    fields = F.from_csv(F.col("record"), F.lit(schema), options)
+    for r in header_of(records).select(_field_count(F.col("record")).alias("n"), fields.alias("r")).limit(2).collect():
+        if r["n"] != len(names) or list(r["r"]) != list(names):
+            raise SchemaError(f"CSV header does not conform to the columns {', '.join(names)}: found {', '.join(map(str, r['r']))}")
+    message = F.concat(F.lit(f"CSV row has more than {len(names)} fields: "), F.col("record"))
+    checked = F.when(_field_count(F.col("record")) > len(names), F.raise_error(message)).otherwise(F.lit(True))
+    rows = records.filter(~F.col("first")).filter(checked).select(fields.alias("r"))
+    return normalize_null_tokens(rows.select(*[F.col(f"r.c{i}").alias(n) for i, n in enumerate(names)]), names)
+
+
 def parse_records(records: DataFrame, names: Sequence[str], column: str = "record") -> DataFrame:
     """S1 + S4 for records already in a column: all-text columns ``names``,
     null tokens normalised."""
@@ -146,8 +166,10 @@ def load_sessions(
     path: str | Sequence[str],
     fmt: str | None = None,
     cols: Columns = DEFAULT_COLUMNS,
+    split: bool = False,
 ) -> DataFrame:
     """Read a session table and check its required columns.
+    ``split`` reads large CSV files by many tasks.
 
     ``fmt`` is ``csv``, ``xlsx`` or ``parquet``; by default it comes from the
     suffix of the (first) path. Missing required columns raise
@@ -158,7 +180,7 @@ def load_sessions(
     if fmt == "csv":
         names = read_csv_header(spark, path)
         validate_names(names, cols)
-        return read_csv(spark, path, names)
+        return read_csv(spark, path, names, split)
     if fmt == "xlsx":
         from convolytics.sources.excel import read_xlsx
 
