@@ -13,7 +13,9 @@ each set is first checked against one hub of the group, and linked sets are
 joined into components. In groups that still hold several components (many
 variants of one text) the sets of different components are compared by
 small parity sketches, whose differing bits never outnumber the differing
-elements; only pairs that pass leave the task, to be checked exactly. A
+elements; of the pairs that pass, a forest that would join the components
+leaves the task first, to be checked exactly, and then, in rounds, what the
+components found leave apart. A
 group of more members than one task should hold is regrouped by its sets'
 rarest elements, of which similar sets must share one, and checked against
 more and more hubs until no group holds two untested components. So no
@@ -63,23 +65,28 @@ def _powers() -> tuple[np.ndarray, np.ndarray]:
 
 def word_hashes(raw: bytes) -> np.ndarray:
     """A 64-bit hash of every word (run of bytes other than white space),
-    from running polynomial sums over the bytes."""
+    from running polynomial sums over the bytes. A word that goes on over
+    the bytes summed at a time carries its sum and length along."""
     power, inverse = _powers()
-    out, at = [], 0
-    while at < len(raw):
-        end = min(len(raw), at + _CUT)
-        if end < len(raw):  # cut at white space, so no word is split
-            back = max(raw.rfind(bytes([c]), at, end) for c in (0x20, 0x0A, 0x0D, 0x09, 0x0B, 0x0C))
-            end = back + 1 if back >= at else end
-        b = np.frombuffer(raw, np.uint8, end - at, at)
-        at = end
+    out, carry, size = [], 0, 0
+    for at in range(0, len(raw), _CUT):
+        b = np.frombuffer(raw, np.uint8, min(_CUT, len(raw) - at), at)
         gap = _SPACE[b]
         edge = np.flatnonzero(np.diff(np.concatenate([[True], gap, [True]])))
         start, stop = edge[::2], edge[1::2]
-        if not len(start):
-            continue
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((b.astype(np.uint64) + _U(1)) * power[: len(b)], dtype=np.uint64)])
-        out.append(_mix((sums[stop] - sums[start]) * inverse[start] + (stop - start).astype(np.uint64)))
+        part, n = (sums[stop] - sums[start]) * inverse[start], (stop - start).astype(np.uint64)
+        if size and len(start) and start[0] == 0:
+            part[:1] = part[:1] * _U(pow(_BASE, size, 1 << 64)) + _U(carry)
+            n[:1] += _U(size)
+        elif size:
+            part, n = np.concatenate([[_U(carry)], part]), np.concatenate([[_U(size)], n])
+        carry, size = 0, 0
+        if at + len(b) < len(raw) and len(stop) and stop[-1] == len(b):
+            carry, size = int(part[-1]), int(n[-1])
+            part, n = part[:-1], n[:-1]
+        if len(part):
+            out.append(_mix(part + n))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -281,38 +288,80 @@ def verified(pairs: DataFrame, corpus: Corpus) -> DataFrame:
     left = sets.select(F.col("node").alias("a"), F.col("members").alias("ma"))
     right = sets.select(F.col("node").alias("b"), F.col("members").alias("mb"))
     whole = pairs.join(left, "a").join(right, "b").select("a", "b", "ma", "mb")
-    return whole.mapInArrow(run, "a long, b long")
-
-
-def compared(groups: DataFrame, num: int, den: int) -> DataFrame:
-    """``a, b``: the pairs of different components inside each group that may
-    be similar. ``groups``: ``sig, node, component, n, sketch``, with no more
-    rows to a group than a task should hold."""
+    links = staged(whole.mapInArrow(run, "a long, b long"), "links")
+    drop_staged(sets)  # the bulk
+    drop_staged(pairs)
+    return links
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Positions of the links ``a - b`` that join two trees when the links
+    are taken in order."""
+    most = int(max(a.max(), b.max())) + 1
+    lo, hi = np.minimum(a, b), np.maximum(a, b)
+    _, first = np.unique(lo * most + hi, return_index=True)
+    root, out = list(range(most)), []
+    for at in np.sort(first).tolist():
+        x, y = int(a[at]), int(b[at])
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        while root[y] != y:
+            root[y] = y = root[root[y]]
+        if x != y:
+            root[x] = y
+            out.append(at)
+            if len(out) == most - 1:
+                break
+    return np.asarray(out, np.int64)
+
+
+def compared(groups: DataFrame, num: int, den: int, more: int) -> DataFrame:
+    """``a, b``: pairs of different components inside each group that may be
+    similar: of every group those that would join its components to a forest,
+    in one order for all groups, and ``more`` times as many others as it has
+    members. A row of nulls says that a group has still others. ``groups``:
+    ``sig, node, component, n, sketch``, with no more rows to a group than a
+    task should hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[tuple[int, int]] = set()
+        left_out = False
         for table in whole_groups(batches):
             sig, node, part, n = (table.column(c).to_numpy() for c in range(4))
             bits = np.frombuffer(b"".join(table.column(4).to_pylist()), "<u8").reshape(len(n), -1)
             cuts = np.append(np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])), len(sig)).tolist()
             fresh: list[tuple[int, int]] = []
             for lo, hi in zip(cuts[:-1], cuts[1:]):
-                step = max(1, (1 << 18) // (hi - lo))
+                step, found = max(1, (1 << 18) // (hi - lo)), []
                 for at in range(lo, hi, step):
                     end = min(hi, at + step)
                     rows, cols = slice(at, end), slice(at, hi)  # each pair once
                     pass_ = may_be_similar(n[rows, None], n[None, cols], bits[rows, None], bits[None, cols], num, den)
                     pass_ &= part[rows, None] != part[None, cols]
                     i, j = np.nonzero(pass_)
-                    for x, y in zip(node[at + i].tolist(), node[at + j].tolist()):
-                        pair = (min(x, y), max(x, y))
-                        if pair not in known:
-                            fresh.append(pair)
-                            known.add(pair)
+                    found.append(np.stack([at + i, at + j]))
+                i, j = np.concatenate(found, axis=1)
+                if not len(i):
+                    continue
+                x, y = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+                order = np.argsort(_mix(_mix(x.view(np.uint64)) * _U(3) + y.view(np.uint64)), kind="stable")
+                _, place = np.unique(part[lo:hi], return_inverse=True)
+                joining = order[_forest(place[i[order] - lo], place[j[order] - lo])]
+                others = np.ones(len(i), bool)
+                others[joining] = False
+                others = order[others[order]]
+                left_out |= len(others) > more * (hi - lo)
+                for at in np.concatenate([joining, others[: more * (hi - lo)]]).tolist():
+                    pair = (int(x[at]), int(y[at]))
+                    if pair not in known:
+                        fresh.append(pair)
+                        known.add(pair)
             if len(known) > 500_000:
                 known.clear()
             if fresh:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*fresh)], names=["a", "b"])
+        if left_out:
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64())] * 2, names=["a", "b"])
 
     near = groups.select("sig", "node", "component", "n", "sketch").repartition("sig").sortWithinPartitions("sig")
     return near.mapInArrow(run, "a long, b long").distinct()
@@ -393,7 +442,9 @@ def shared_signatures(table: DataFrame) -> DataFrame:
             yield batch.select([0, 1]).filter(pa.array(_hits(bits, batch.column(2).to_numpy())))
 
     near = sigs.select("sig", "node", _slot("sig", 25).alias("slot")).mapInArrow(run, "sig long, node long")
-    return near.join(shared, "sig").distinct()
+    groups = staged(near.join(shared, "sig").distinct(), "signatures")
+    drop_staged(shared)
+    return groups
 
 
 _COUNTERS = 1 << 20
@@ -447,7 +498,10 @@ def _labelled(rows: DataFrame, component: DataFrame) -> DataFrame:
 
 def _join_up(component: DataFrame, links: DataFrame) -> DataFrame:
     known = component.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-    return staged(connected_components(known.union(links)), "components")
+    found = connected_components(known.union(links))
+    out = staged(found, "components")
+    drop_staged(found)
+    return out
 
 
 def _link_up(component: DataFrame | None, pairs: DataFrame, corpus: Corpus) -> DataFrame:
@@ -464,7 +518,9 @@ def _link_up(component: DataFrame | None, pairs: DataFrame, corpus: Corpus) -> D
         .filter(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
         .select("a", "b")
     )
-    return _join_up(component, verified(rest, corpus))
+    out = _join_up(component, verified(rest, corpus))
+    drop_staged(pairs)
+    return out
 
 
 def similarity_components(corpus: Corpus, groups: DataFrame, most: int = 4096) -> DataFrame:
@@ -490,13 +546,34 @@ def similarity_components(corpus: Corpus, groups: DataFrame, most: int = 4096) -
         .select("sig", "members"),
         "mixed",
     )
-    small = members.join(mixed.filter(F.col("members") <= most), "sig").join(sketches, "node")
-    component = _link_up(component, compared(small, num, den), corpus)
+    small = staged(groups.select("sig", "node").join(mixed.filter(F.col("members") <= most).select("sig"), "sig"), "small")
+    component = _within_groups(corpus, small, sketches, component)
     large = mixed.filter(F.col("members") > most)
-    if large.isEmpty():
-        return component
-    nodes = staged(groups.join(large, "sig", "left_semi").select("node").distinct(), "crowded")
-    return _by_rare_elements(corpus, nodes, sketches, component)
+    if not large.isEmpty():
+        nodes = staged(groups.join(large, "sig", "left_semi").select("node").distinct(), "crowded")
+        component = _by_rare_elements(corpus, nodes, sketches, component)
+    for table in (small, mixed, sketches):
+        drop_staged(table)
+    return component
+
+
+def _within_groups(corpus: Corpus, small: DataFrame, sketches: DataFrame, component: DataFrame) -> DataFrame:
+    """The components after all links inside the groups ``sig, node``. The
+    first round verifies a forest of each group, which mostly makes it one
+    component; what is then still apart is verified by rounds of ever more
+    pairs until none is left out."""
+    tested, more = None, 0
+    while True:
+        now = _labelled(small, component).join(sketches, "node")
+        found = staged(compared(now, corpus.num, corpus.den, more), "near")
+        pairs = found.filter("a is not null")
+        pairs = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
+        if not pairs.isEmpty():
+            component = _join_up(component, verified(pairs, corpus))
+        if found.filter("a is null").isEmpty():
+            return component
+        tested = pairs if tested is None else staged(tested.union(pairs), "tested")
+        more = max(4, 4 * more)
 
 
 def _by_rare_elements(corpus: Corpus, nodes: DataFrame, sketches: DataFrame, component: DataFrame) -> DataFrame:
@@ -551,11 +628,12 @@ def jaccard_components(
     Repeated rows give repeated results; other columns are not read.
     """
     made = staged(document_sets(docs, Bands(num, den), words, id_col, text_col), "signed")
-    groups = staged(shared_signatures(made), "signatures")
+    groups = shared_signatures(made)
     table = staged(made.drop("sigs"), "documents-sets")
     drop_staged(made)  # the signatures are its bulk
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     component = similarity_components(Corpus(texts, table, words, num, den), groups)
+    drop_staged(groups)
     keyed = _labelled(table.select("doc_id", "n_shingles", "node"), component)
     smallest = keyed.filter(F.col("node").isNotNull()).groupBy("component").agg(F.min("doc_id").alias("smallest"))
     return keyed.join(smallest, "component", "left").select(

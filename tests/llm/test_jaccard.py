@@ -92,6 +92,34 @@ def test_words_at_the_cut_of_long_texts(monkeypatch):
     assert (jaccard.word_hashes(text) == whole).all()
 
 
+def test_words_longer_than_the_cut(monkeypatch):
+    word = "".join(chr(97 + i * i % 26) for i in range(1000))
+    one, two = f"x y {word} z".encode(), f"some more {word}".encode()
+    whole = [jaccard.word_hashes(t) for t in (one, two, word.encode())]
+    for cut in (64, 7, 1000):
+        monkeypatch.setattr(jaccard, "_CUT", cut)
+        assert [w.tolist() for w in map(jaccard.word_hashes, (one, two, word.encode()))] == [w.tolist() for w in whole]
+    assert len(whole[0]) == 4 and whole[0][2] == whole[1][2] == whole[2][0]
+    monkeypatch.undo()
+    big = "q" * ((3 << 20) + 5)
+    a, b = jaccard.word_hashes(f"x y {big} z".encode()), jaccard.word_hashes(f"{big} z".encode())
+    assert len(a) == 4 and a[2:].tolist() == b.tolist()
+
+
+def test_a_forest_of_a_group_comes_first(spark):
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 2**64, 400, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base, rng.integers(0, 2**64, 3, dtype=np.uint64)])) for _ in range(30)]
+    rows = [(s, i, i, len(e), jaccard.sketch(e)) for s in (1, 2) for i, e in enumerate(sets)]
+    groups = spark.createDataFrame(rows, "sig long, node long, component long, n long, sketch binary")
+    first = jaccard.compared(groups, 90, 100, 0).collect()
+    pairs = [(r.a, r.b) for r in first if r.a is not None]
+    assert len(pairs) == 29 and len(first) == 30  # both groups choose alike, and say that pairs are left
+    assert len({n for p in pairs for n in p}) == 30
+    every = [(r.a, r.b) for r in jaccard.compared(groups, 90, 100, 100).collect()]
+    assert len(every) == 30 * 29 // 2 and (None, None) not in every
+
+
 def test_connected_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(160)] + [(i, i + 1) for i in range(1000, 1040)] + [(7, 7)]
