@@ -56,6 +56,8 @@ class WordCachedEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        # matched on the raw text, before any lower-casing, also inside words
+        self.added = tuple(t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values())
         self.max_words = max_words
         self.words = _Ids(self._word)
         self.stems = _Ids(self._direct)
@@ -97,10 +99,11 @@ class WordCachedEncoder:
             if len(self.words) > self.max_words:
                 for cache in (self.words, self.stems, self.endings):
                     cache.clear()
-            if any(c in text for c in _ODD_SPACES):
+            lowered = text.lower()
+            if any(c in text for c in _ODD_SPACES) or any(t in lowered for t in self.added):
                 yield self._whole(text) + tail
             else:
-                split = (text.lower() if text.isascii() else text).split()
+                split = (lowered if text.isascii() else text).split()
                 yield b"".join(map(self.words.__getitem__, split)) + tail
 
 

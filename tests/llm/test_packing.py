@@ -29,6 +29,13 @@ def test_cached_encoding_equals_the_tokenizer(text):
     assert ids == PLAIN.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|ENDOFTEXT|>", "<|StartOfText|>", "<|startoftext|>", "<|", "|>", "aB", "É", " ", "."]), max_size=8))
+def test_added_tokens_in_any_letter_case(parts):
+    text = "".join(parts)
+    assert np.frombuffer(next(CACHED.encode([text])), "<u4").tolist() == PLAIN.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("text", ["a<|startoftext|>b", "<|endoftext|> x", "a" * 5000, "", "x" * 3000 + " y"])
 def test_special_tokens_and_long_words(text):
     assert np.frombuffer(next(CACHED.encode([text])), "<u4").tolist() == PLAIN.encode(text, add_special_tokens=False).ids
