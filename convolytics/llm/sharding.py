@@ -62,12 +62,11 @@ def matrix_row(part: int, upto: np.ndarray, sizes: np.ndarray, seed: int) -> np.
 
 def draw(rng: np.random.Generator, counts: np.ndarray, n: int) -> np.ndarray:
     """A multivariate hypergeometric draw of ``n`` out of ``counts``, colour
-    by colour; a total beyond numpy's bound is halved by colours first."""
+    by colour; a total beyond numpy's bound is halved by colours first, by an
+    exact draw for either half."""
     total = int(counts.sum())
     if total < _MAX_ROWS:
         return rng.multivariate_hypergeometric(counts, n, method="marginals")
-    # pairs of pseudo-groups: the share of the first half is drawn through
-    # blocks of rows small enough for the generator
     if len(counts) == 1:
         return np.asarray([n])
     half = len(counts) // 2
@@ -77,14 +76,21 @@ def draw(rng: np.random.Generator, counts: np.ndarray, n: int) -> np.ndarray:
 
 
 def _large_hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    """Hypergeometric draw beyond numpy's bound: the normal limit, rounded
-    and clipped to what is possible (its error is far below one row's share
-    at such counts; shard sizes stay exact whatever is drawn)."""
+    """A hypergeometric draw at any count, by rejection: if every row is taken
+    with the same chance, the number of good rows among those taken follows
+    this law given that ``n`` are taken in all. So both binomial counts are
+    drawn until they add up to ``n``; one pair in about 2.5 standard deviations
+    of their sum does."""
     total = good + bad
-    mean = n * good / total
-    var = mean * (bad / total) * ((total - n) / max(1, total - 1))
-    k = int(round(rng.normal(mean, var**0.5)))
-    return min(max(k, n - bad, 0), good, n)
+    if n in (0, total) or good == 0 or bad == 0:
+        return good if n == total else min(n, good)
+    share = n / total
+    tries = int(min(1 << 20, 16 + 4 * (total * share * (1 - share)) ** 0.5))
+    while True:
+        taken = rng.binomial(good, share, tries)
+        fits = np.flatnonzero(taken + rng.binomial(bad, share, tries) == n)
+        if len(fits):
+            return int(taken[fits[0]])
 
 
 def uniform_shards(rows: DataFrame, shards: int = 16, seed: int = 17, block_rows: int = 262_144) -> DataFrame:

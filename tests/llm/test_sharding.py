@@ -64,6 +64,24 @@ def test_counts_beyond_the_generators_bound_keep_their_sum():
     assert got.sum() == 1_500_000_000 and (got <= counts).all() and (got >= 0).all()
 
 
+def test_large_draws_follow_the_law(monkeypatch):
+    # the draw for large counts, at counts where numpy's own can be compared
+    rng = np.random.default_rng(4)
+    large = np.asarray([sharding._large_hypergeometric(rng, 60, 40, 30) for _ in range(4000)])
+    numpy = np.random.default_rng(5).hypergeometric(60, 40, 30, 4000)
+    values = np.arange(10, 27)
+    gap = [abs((large <= v).mean() - (numpy <= v).mean()) for v in values]
+    assert max(gap) < 0.04  # about the 99.9 % bound for two samples of 4000
+    for good, bad, n, k in ((5, 7, 0, 0), (5, 7, 12, 5), (0, 9, 4, 0), (9, 0, 4, 4)):
+        assert sharding._large_hypergeometric(rng, good, bad, n) == k
+    big = [sharding._large_hypergeometric(rng, 6 * 10**11, 4 * 10**11, 5 * 10**11) for _ in range(3)]
+    assert all(abs(k - 3 * 10**11) < 6 * 250_000 for k in big)
+    monkeypatch.setattr(sharding, "_MAX_ROWS", 10)
+    counts = np.asarray([9, 0, 30, 1, 20])
+    total = sum(sharding.draw(rng, counts, 30) for _ in range(3000)) / 3000
+    assert np.abs(total - counts / 2).max() < 0.15
+
+
 def test_shards_look_uniform(spark):
     # every shard gets its share of any stretch of the input
     out = sharding.uniform_shards(spark.range(0, 8000, 1, 8).withColumnRenamed("id", "doc_id"), shards=4).collect()
