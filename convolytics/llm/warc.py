@@ -224,8 +224,11 @@ def _unit(data: bytes, at: int) -> tuple[list[tuple[str | None, dict[str, str] |
         inner, after, why = _inflate(data, at)
         found = list(_inner(inner, not why.startswith("broken")))
         if why:
-            # a broken member of one record is a gap as a whole
-            raise BrokenMember(why, [x for x in found if x[0] is None] if len(found) > 1 else [])
+            # a lone record counts only if a digest of it was checked
+            kept = [x for x in found if x[0] is None]
+            if len(found) == 1 and not any(f in x[1] for x in kept for f in _checked(x[1])):
+                kept = []
+            raise BrokenMember(why, kept)
         if found and all(reason for reason, _, _ in found):
             raise BadRecord(found[0][0])
         return found, after

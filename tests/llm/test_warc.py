@@ -91,10 +91,24 @@ def test_salvage_recovers_after_damage(plain):
 
 def test_salvage_of_a_truncated_file_and_of_noise():
     m = members()
-    assert names(m[0] + m[1][:-9]) == [*pages(0), ("gap", None)]
+    assert names(m[0] + m[1][: len(m[1]) // 2]) == [*pages(0), ("gap", None)]
     assert names(b"\x00\xff" * 500) == [("gap", None)]
 
 
+def test_a_record_whose_digest_holds_is_kept():
+    m = members()
+    crc = bytearray(m[1])
+    crc[-6] ^= 0xFF  # of the member's check sum
+    got = list(warc.salvage(m[0] + bytes(crc) + m[2]))
+    assert [(k, f["warc-record-id"] if f else None) for k, _, _, _, f, _ in got] == [*pages(0), ("gap", None), *pages(1, 2)]
+    # without a digest to check nothing vouches for it
+    bare = gzip.decompress(m[1])
+    bare = b"\r\n".join(line for line in bare.split(b"\r\n") if b"-Digest" not in line)
+    crc = bytearray(gzip.compress(bare, mtime=0))
+    crc[-6] ^= 0xFF
+    assert names(m[0] + bytes(crc) + m[2]) == [*pages(0), ("gap", None), *pages(2)]
+
+
 def test_a_wrong_length_hides_no_later_record():
     plain = [gzip.decompress(x) for x in members()]
     head, _, rest = plain[1].partition(b"Content-Length: ")
