@@ -168,11 +168,13 @@ def _pair_tree(grad: np.ndarray, hess: np.ndarray, reg: float) -> tuple[np.ndarr
 
 def train(
     x: np.ndarray, y: np.ndarray, max_bins: int = 64, coarse_bins: int = 8, rounds: int = 120, pair_rounds: int = 40,
-    n_pairs: int = 8, leaves: int = 3, rate: float = 0.15, reg: float = 2.0,
+    n_pairs: int = 8, leaves: int = 3, rate: float = 0.15, reg: float = 2.0, weight: np.ndarray | None = None,
 ) -> AdditiveModel:
     """Cyclic boosting of the logistic loss, first the single features, then
-    the chosen pairs. With one label only, the model is its smoothed rate."""
-    rate_1 = (y.sum() + 0.5) / (len(y) + 1.0)
+    the chosen pairs. With one label only, the model is its smoothed rate.
+    ``weight`` says how many examples each row stands for, up to a factor."""
+    w = np.ones(len(y)) if weight is None or not len(y) else weight * (len(y) / weight.sum())
+    rate_1 = (float(w @ y) + 0.5) / (len(y) + 1.0)
     edges, coarse = [], []
     for f in range(x.shape[1]):
         inner = np.unique(np.quantile(x[:, f], np.arange(1, max_bins) / max_bins)) if len(x) else np.zeros(0)
@@ -186,7 +188,7 @@ def train(
 
     def residuals() -> tuple[np.ndarray, np.ndarray]:
         p = 1 / (1 + np.exp(-z))
-        return p - y, p * (1 - p)
+        return w * (p - y), w * p * (1 - p)
 
     for _ in range(rounds):
         for f, table in enumerate(model.tables):
@@ -232,13 +234,28 @@ def fit(
     docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "quality", per_label_rows: int = 6000, seed: int = 3,
 ) -> AdditiveModel:
     """Trains on at most ``per_label_rows`` documents of each label; their
-    numbers come to the driver, never their texts. Without labels every
-    score is one half."""
+    numbers come to the driver, never their texts. Where a label has more
+    documents, those drawn stand for all of them, so scores keep the labels'
+    true shares. Without labels every score is one half."""
     sample = labelled_texts(docs, labels, label, allowed, per_label_rows, seed)
     rows = feature_rows(sample, ["doc_id", "label"], "text").collect()
     rows.sort(key=lambda r: r["doc_id"])
     x = np.asarray([r["features"] for r in rows]).reshape(len(rows), len(FEATURES))
-    return train(x, np.asarray([float(r["label"]) for r in rows]))
+    y = np.asarray([float(r["label"]) for r in rows])
+    return train(x, y, weight=_stands_for(labels, label, allowed, y, per_label_rows))
+
+
+def _stands_for(labels: DataFrame, label: str, allowed: Column, y: np.ndarray, drawn: int) -> np.ndarray:
+    """How many labelled documents each row of the sample stands for."""
+    known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & allowed)
+    one = known.groupBy("doc_id").agg(F.max((F.col(label) > 0).cast("int")).alias("label"))
+    counts = {r["label"]: r["count"] for r in one.groupBy("label").count().collect()}  # two rows
+    weight = np.ones(len(y))
+    for v in (0, 1):
+        n = int((y == v).sum())
+        if n and counts.get(v, 0) > drawn:
+            weight[y == v] = counts[v] / n
+    return weight
 
 
 def score(docs: DataFrame, model: AdditiveModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

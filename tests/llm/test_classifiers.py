@@ -33,6 +33,20 @@ def accuracy(pairs):
     return sum(a == b for a, b in pairs) / len(pairs)
 
 
+def test_quality_keeps_the_labels_shares():
+    # one feature, twenty ones to a zero, of which equal numbers are drawn
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(1, 1, 3000), rng.normal(0, 1, 3000)])[:, None]
+    y = np.concatenate([np.ones(3000), np.zeros(3000)])
+    weight = np.where(y == 1, 20.0, 1.0)
+    model = quality.train(x, y, weight=weight)
+    assert np.average(model.scores(x), weights=weight) == pytest.approx(20 / 21, abs=0.01)
+    # Bayes' rule for two bells, from brute arithmetic
+    at = np.asarray([[-0.5], [0.5], [1.5]])
+    odds = 20 * np.exp(at[:, 0] - 0.5)
+    assert np.abs(model.scores(at) - odds / (1 + odds)).max() < 0.05
+
+
 def test_language_held_out_accuracy(spark):
     assert accuracy(held(spark, "op6_language_id", 3, 1, "lang")) >= 0.98
 
