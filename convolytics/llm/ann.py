@@ -292,10 +292,13 @@ class Index:
     graph: DataFrame  # node, near, sim
     links: DataFrame  # place, ids, codes: who chose the node as a neighbour
     settings: Settings
+    copies: int = 21
 
 
 def build_index(vectors: DataFrame, settings: Settings | None = None, id_col: str = "vec_id", vec_col: str = "embedding", copies: int = 21) -> Index:
-    """Indexes every usable row. Tables are stored in the shared folder."""
+    """Indexes every usable row. Tables are stored in the shared folder. Of
+    equal vectors the ``copies`` smallest ids can be found, so ``search`` takes
+    any ``k`` below it."""
     s = settings or Settings()
     rows = usable(vectors, id_col, vec_col)
     distinct = staged(distinct_vectors(rows, copies), "vectors")
@@ -322,7 +325,7 @@ def build_index(vectors: DataFrame, settings: Settings | None = None, id_col: st
 
     at = meetings(graph, nodes, s.neighbours).select("place", "node", "code").repartition("place").sortWithinPartitions("place")
     links = staged(at.mapInArrow(pack, "place long, ids binary, codes binary"), "links")
-    return Index(rows, distinct, nodes, graph, links, s)
+    return Index(rows, distinct, nodes, graph, links, s, copies)
 
 
 def _hop(beams: DataFrame, index: Index, expand: int) -> DataFrame:
@@ -368,8 +371,10 @@ def search(index: Index, queries: DataFrame, k: int = 20) -> DataFrame:
     index, and repeated ones, give nothing more). A query's own id is no
     candidate, its equals are. Fewer than ``k`` candidates are all returned;
     ties go to the smaller id. An id with several vectors asks with each of
-    them, and is found by its best.
+    them, and is found by its best. ``k`` must be below the index's ``copies``.
     """
+    if k >= index.copies:
+        raise ValueError(f"the index was built for k below {index.copies}; build it with copies={k + 1} or more")
     asked = queries.select(F.col("query_id").cast("long")).distinct()
     own = asked.join(index.rows, asked["query_id"] == index.rows["id"]).select("query_id", "vector")
     seats = staged(own.join(index.distinct.select("node", "vector"), "vector").select("query_id", "node").distinct(), "queries")

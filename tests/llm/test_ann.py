@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from convolytics.llm import ann
 from convolytics.llm.queries import QUERIES
@@ -29,6 +30,15 @@ def found(spark, rows, queries, k=20, settings=None):
     return out
 
 
+def test_more_neighbours_than_copies_are_refused(spark):
+    rows = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(5)], "vec_id long, embedding array<float>")
+    index = ann.build_index(rows, copies=3)
+    asked = rows.select(rows.vec_id.alias("query_id"))
+    with pytest.raises(ValueError, match="copies=4"):
+        ann.search(index, asked, k=3)
+    assert ann.search(index, asked, k=2).count() == 10
+
+
 def test_whole_table_is_exact_where_one_leaf_holds_it(spark):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{SF01}/embeddings.parquet").collect()]
     queries = [i for i, _ in rows if i % 20 == 0]
