@@ -44,13 +44,25 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near
-    duplicates (shingles of five words, similarity of 0.8 or more). A
-    repeated id keeps one row per distinct text."""
-    found = jaccard.jaccard_components(docs, num=80, den=100, words=5)
-    gone = found.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    return kept.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
+    """Keeps one row of each group of near duplicates (shingles of five
+    words, similarity of 0.8 or more): that with the smallest id, a row
+    without an id only if no other is in the group. Rows are known by a
+    64-bit hash of id and text, so an id with several texts keeps those that
+    stay, and of rows equal in both one is kept."""
+    key = F.xxhash64("doc_id", "text", F.col("doc_id").isNull(), F.col("text").isNull())
+    keyed = docs.select(key.alias("_key"), F.struct("*").alias("row"))
+    found = staged(jaccard.jaccard_components(keyed.select("_key", "row.text"), num=80, den=100, words=5, id_col="_key"), "near-duplicates")
+    members = found.select(F.col("doc_id").alias("_key"), "component_id")
+    ids = keyed.select("_key", "row.doc_id").distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key"))
+    stays = members.distinct().join(ids, "_key").groupBy("component_id").agg(first["_key"].alias("_key"))
+    gone = members.select("_key").distinct().join(stays, "_key", "left_anti")
+    kept = keyed.join(gone, "_key", "left_anti")
+    # rows equal in id and text are few: only they are grouped
+    repeated = members.groupBy("_key").count().filter("count > 1").select("_key")
+    once = kept.join(repeated, "_key", "left_anti")
+    several = kept.join(repeated, "_key", "left_semi").dropDuplicates(["_key"])
+    return once.unionByName(several).select("row.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
