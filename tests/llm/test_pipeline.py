@@ -55,11 +55,24 @@ def test_repeated_ids_keep_one_row_per_text(spark):
     assert [r.doc_id for r in cp.remove_near_duplicates(spark, docs, SF001).collect()] == [1]
 
 
+def test_rows_are_removed_not_ids(spark):
+    def kept(rows):
+        out = cp.remove_near_duplicates(spark, frame(spark, [(d, t, "en") for d, t in rows]), SF001).collect()
+        return sorted(((r.doc_id, r.text) for r in out), key=str)
+
+    a, b = "one two three four five six seven", "red green blue black white grey brown"
+    # an id with two texts: each group keeps its smallest id's row
+    assert kept([(5, a), (6, a), (4, b), (5, b)]) == [(4, b), (5, a)]
+    assert kept([(1, a), (None, a), (None, a)]) == [(1, a)]
+    assert kept([(None, a), (None, a), (None, b)]) == [(None, a), (None, b)]
+    assert kept([(3, None), (3, None), (3, ""), (None, "")]) == [(3, ""), (3, None), (None, "")]
+
+
 def test_stages_and_queries_are_registered():
     import __spark_entry__ as entry
 
     assert {"pipeline", *QUERIES} <= set(entry.queries())
-    assert sorted({int(q.split("_")[0][2:]) for q in QUERIES}) == list(range(1, 11))
+    assert sorted({int(q.split("_")[0][2:]) for q in QUERIES}) == list(range(1, 14))
     assert 4 <= len(cp.STAGES) <= 5 and packing
 
 
