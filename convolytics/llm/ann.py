@@ -394,8 +394,9 @@ def search(index: Index, queries: DataFrame, k: int = 20) -> DataFrame:
         turn += 1
         drop_staged(last)
     first = start.select(F.col("node").alias("query"), F.coalesce("near", empty).alias("seeds"))
-    near = F.array_distinct(F.concat(F.array(F.col("query")), F.slice("near", 1, 3 * k), F.slice("seeds", 1, k)))
-    pairs = beams.join(first, "query").select(F.col("query").alias("node"), F.explode(near).alias("other"))
+    met = F.coalesce("near", empty)  # a vector without neighbours has no beam left
+    near = F.array_distinct(F.concat(F.array(F.col("query")), F.slice(met, 1, 3 * k), F.slice("seeds", 1, k)))
+    pairs = first.join(beams.select("query", "near"), "query", "left").select(F.col("query").alias("node"), F.explode(near).alias("other"))
     mine = index.distinct.select("node", F.col("vector").alias("a"))
     yours = index.distinct.select(F.col("node").alias("other"), F.col("vector").alias("b"), "ids")
     dot = F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
