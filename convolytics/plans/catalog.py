@@ -7,19 +7,27 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from convolytics.operators import crosstab as xt
+from convolytics.operators import cube as cb
 from convolytics.operators import frequency as fq
 from convolytics.operators import grouped as gr
 from convolytics.operators import kpis
 from convolytics.operators import profile as pf
+from convolytics.operators import selection as sl
 from convolytics.operators import text as tx
 from convolytics.operators.features import add_text_features
+from convolytics.operators.topk import top_counts
+from convolytics.functions.text import keyword_tokens
 from convolytics.schema import DEFAULT_COLUMNS as C
 from convolytics.sinks.reports import csv_records, topic_summary_export
 from convolytics.sources import fixtures
-from convolytics.sources.csv import parse_records
+from convolytics.session import scratch_path
+from convolytics.sinks.reports import write_csv
+from convolytics.sources.csv import load_sessions, parse_records
+from convolytics.sources.excel import make_workbooks, parse_workbooks
+from convolytics.sources.head import first_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +42,32 @@ def csv_round_trip(sessions: DataFrame) -> DataFrame:
     return parse_records(csv_records(sessions), sessions.columns)
 
 
+def csv_file_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The full dataset with its features as CSV files in the
+    shared folder, loaded back by byte ranges."""
+    path = write_csv(featured_sessions(spark, sf_dir), scratch_path(spark, "full_dataset") + ".csv")
+    return load_sessions(spark, path, "csv", split=True)
+
+
+def xlsx_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3: the full dataset as ``.xlsx`` workbooks, read back."""
+    featured = featured_sessions(spark, sf_dir)
+    return parse_workbooks(make_workbooks(featured), featured.columns)
+
+
+def keyword_column(df: DataFrame, column: str) -> DataFrame:
+    """One row per keyword of a text column."""
+    return df.select(F.explode(keyword_tokens(column)).alias("keyword"))
+
+
+def _on_cube(name: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return cb.rollups()[name](cb.build_cube(featured_sessions(spark, sf_dir), store=False))
+
+    run.__doc__ = f"``{name}`` as a roll-up of the cube."
+    return run
+
+
 def _on_sessions(op: Callable[[DataFrame], DataFrame]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return op(featured_sessions(spark, sf_dir))
@@ -42,6 +76,12 @@ def _on_sessions(op: Callable[[DataFrame], DataFrame]) -> Query:
     return run
 
 
+#: analyses registered a second time as roll-ups of the cube
+CUBE_QUERIES = (
+    "kpi_overview", "kpi_quality", "kpi_status", "key_insights", "text_stats", "topic_summary_report", "topics_top10_pct",
+    "avg_query_words_by_topic", "hist_query_words", "xt_topic_status_top20", "xt_topic_status_margins",
+)
+
 QUERIES: dict[str, Query] = {
     # grouped summaries
     "topic_summary_report": _on_sessions(gr.topic_summary_report),
@@ -99,6 +139,23 @@ QUERIES: dict[str, Query] = {
     "preview": lambda spark, d: pf.preview(fixtures.sessions(spark, d), derive=add_text_features),
     # the full export, written as CSV records and read back
     "csv_round_trip": lambda spark, d: csv_round_trip(fixtures.sessions(spark, d)),
+    # the same with the four features, as records and as files
+    "full_dataset_export": lambda spark, d: csv_round_trip(featured_sessions(spark, d)),
+    "csv_file_round_trip": csv_file_round_trip,
+    # and as workbooks, read back
+    "xlsx_round_trip": xlsx_round_trip,
     # the featurised table itself
     "text_features": featured_sessions,
+    # the cube and roll-ups of it
+    "cube_cells": lambda spark, d: cb.build_cube(featured_sessions(spark, d), store=False).cells,
+    **{f"cube_{name}": _on_cube(name) for name in CUBE_QUERIES},
+    # top-k by a pruning pass, duplicates by a place filter
+    "top_keywords_documents_pruned": lambda spark, d: top_counts(
+        keyword_column(fixtures.documents(spark, d), "text"), "keyword", 30
+    ),
+    "profile_shape_filtered": _on_sessions(pf.profile_shape_filtered),
+    "profile_shape_filtered_documents": lambda spark, d: pf.profile_shape_filtered(fixtures.documents(spark, d).drop("doc_id")),
+    # a continuous column, and rows in file order
+    "continuous_stats_lineitem": lambda spark, d: sl.continuous_stats(fixtures.read_table(spark, d, "lineitem"), "l_extendedprice"),
+    "first_rows_documents": lambda spark, d: first_rows(spark, f"{d.rstrip('/')}/documents.parquet"),
 }

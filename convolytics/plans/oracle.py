@@ -10,6 +10,7 @@ rounding is half-to-even on the scaled double; sums are cast to BIGINT.
 from __future__ import annotations
 
 from convolytics import constants as K
+from convolytics.plans.catalog import CUBE_QUERIES
 from convolytics.sources.fixtures import SESSIONS_SQL
 
 WS = K.WHITESPACE_CLASS
@@ -342,3 +343,31 @@ FROM documents""",
     ),
     "text_features": _with("SELECT * FROM featured"),
 }
+
+_EXPORTED = _with(
+    "SELECT "
+    + ", ".join(
+        f"CASE WHEN CAST({c} AS VARCHAR) NOT IN ({_tokens()}) THEN CAST({c} AS VARCHAR) END AS {c}" for c in FEATURED_COLUMNS
+    )
+    + " FROM featured"
+)
+
+# the same results by other means
+ORACLE_SQL |= {f"cube_{name}": ORACLE_SQL[name] for name in CUBE_QUERIES} | {
+    "full_dataset_export": _EXPORTED,
+    "csv_file_round_trip": _EXPORTED,
+    "xlsx_round_trip": _EXPORTED,
+    "top_keywords_documents_pruned": ORACLE_SQL["top_keywords_documents"],
+    "profile_shape_filtered": ORACLE_SQL["profile_shape"],
+    "profile_shape_filtered_documents": ORACLE_SQL["profile_shape_documents"],
+    "cube_cells": _with(
+        """SELECT TOPIC, RESOLUTION_STATUS, USER_SENTIMENT, intent_accuracy, spam_check, count(*) AS n,
+  count(SESSION_ID) AS SESSION_ID, CAST(sum(query_word_count) AS BIGINT) AS query_word_count,
+  CAST(sum(resolution_word_count) AS BIGINT) AS resolution_word_count
+FROM featured GROUP BY 1, 2, 3, 4, 5"""
+    ),
+    "continuous_stats_lineitem": """SELECT count(x) AS n, median(x) AS median, max(x) AS max, min(x) AS min
+FROM (SELECT CAST(l_extendedprice AS DOUBLE) AS x FROM lineitem)""",
+    # one file, read in its order
+    "first_rows_documents": "SELECT * FROM documents LIMIT 10",
+}

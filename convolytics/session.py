@@ -4,6 +4,7 @@ session or set configuration; they take the caller's."""
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,6 +53,15 @@ def checkpoint_dir(spark: SparkSession, default: str | None = None) -> str:
     return spark.sparkContext.getCheckpointDir() or default
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder. A local session that names none gets
+    one of its own under the system's temporary folder, once."""
+    local = spark.sparkContext.master.startswith("local")
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    folder = checkpoint_dir(spark, tempfile.mkdtemp(prefix="convolytics-") if local and not named else None)
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def stored_rows(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read back, so that
     several readers do not compute it again; unchanged where the session names

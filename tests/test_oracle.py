@@ -8,7 +8,7 @@ import __spark_entry__ as E
 from convolytics.plans.catalog import QUERIES
 from session_rows import SF001
 
-TABLES = ("conversations", "documents", "labels")
+TABLES = ("conversations", "documents", "labels", "lineitem")
 
 
 @pytest.fixture(scope="module")

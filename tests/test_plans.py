@@ -17,7 +17,7 @@ def test_no_python_udf(spark, name):
         assert node not in plan
 
 
-@pytest.mark.parametrize("name", ["xt_status_sentiment", "xt_topic_status_top20"])
+@pytest.mark.parametrize("name", ["xt_status_sentiment", "xt_intent_spam"])
 def test_crosstabs_are_one_aggregate_without_joins_of_their_own(spark, name):
     from convolytics.plans.catalog import featured_sessions
 

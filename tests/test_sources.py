@@ -197,3 +197,47 @@ def test_long_quoted_fields_in_short_and_long_rows(spark, tmp_dir):
     assert [(len(r.a), r.b, r.c) for r in rows] == [(1_000_000, None, None)]
     with pytest.raises(Exception, match="more than 3 fields"):
         read_csv(spark, long).collect()
+
+
+def test_workbooks_round_trip(spark):
+    from convolytics.sources.excel import make_workbooks, parse_workbooks
+
+    rows = [("a", "x\r\ny\tz", "1"), ("_x000D_ <&>", "\x0b\x01 ü 日本 ", None), (None, None, "NA"), (None, None, None)] + [(str(i), "é" * i, "") for i in range(30)]
+    df = spark.createDataFrame(rows, "`A b` string, B string, C string").repartition(2)
+    books = make_workbooks(df, book_rows=10)
+    assert books.count() >= 4
+    got = parse_workbooks(books, df.columns)
+    want = [tuple(None if v in ("", "NA") else v for v in r) for r in rows if any(r)]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+
+
+def test_a_long_sheet_is_read_in_bounded_memory():
+    import tracemalloc
+
+    from convolytics.sources.excel import WorkbookWriter, workbook_rows
+
+    book = WorkbookWriter(["A", "B"])
+    for i in range(60_000):
+        book.add([f"value {i}", "some text " * 5])
+    content = book.close()
+    tracemalloc.start()
+    n = sum(1 for _ in workbook_rows(content))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 60_001 and peak < 4_000_000
+
+
+def test_shared_strings_are_held_in_one_buffer(tmp_dir):
+    import tracemalloc
+
+    from convolytics.sources.excel import workbook_rows
+
+    path = os.path.join(tmp_dir, "shared.xlsx")
+    _xlsx(path, [["A"]] + [[f"string number {i}"] for i in range(30_000)])
+    content = open(path, "rb").read()
+    tracemalloc.start()
+    rows = workbook_rows(content)
+    assert next(rows) == ["A"] and next(rows) == ["string number 0"]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < len(content) + 4_000_000 and sum(1 for _ in rows) == 29_999
