@@ -114,21 +114,6 @@ def test_windows_carry_over_segments(monkeypatch):
     assert [s for s in starts if s[0]] == one * 2
 
 
-def test_combined_tells_grams_with_one_key_apart(monkeypatch):
-    rng = np.random.default_rng(0)
-    grams = rng.integers(0, 3, size=(500, 5)).astype(np.int64)
-    ones = np.ones(500, np.int64)
-    rows, n = co._combined(grams, ones)
-    assert Counter(map(tuple, grams.tolist())) == Counter({tuple(g): c for g, c in zip(rows.tolist(), n.tolist())})
-    whole = np.unique
-    monkeypatch.setattr(np, "unique", lambda key, **kw: whole(key % np.uint64(7), **kw))
-    rows, n = co._combined(*co._combined(grams, ones))
-    total = Counter()
-    for g, c in zip(rows.tolist(), n.tolist()):
-        total[tuple(g)] += c
-    assert total == Counter(map(tuple, grams.tolist()))
-
-
 @pytest.mark.parametrize("name", ["op12_collocations", "op13_exact_dedup"])
 def test_oracle(spark, name):
     import duckdb
