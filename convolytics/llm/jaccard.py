@@ -273,23 +273,43 @@ def sieved(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFra
     return whole.mapInArrow(run, "a long, b long")
 
 
+_TOGETHER = 4096  # pairs of one set that a task verifies at most
+
+
 def verified(pairs: DataFrame, corpus: Corpus) -> DataFrame:
-    """The pairs ``a, b`` whose sets are similar. Only the sets of these
-    pairs are read and moved."""
+    """The pairs ``a, b`` whose sets are similar. Each set goes from the task
+    that makes it straight to where it is compared: once for each pair it is
+    the ``b`` of, and once for every ``_TOGETHER`` pairs it is the ``a`` of."""
     pairs = staged(pairs, "pairs")
-    sets = staged(candidate_sets(corpus, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "sets")
+    parts = F.ceil(F.col("count") / _TOGETHER).cast("int")
+    counts = pairs.groupBy("a").count().select("a", parts.alias("parts"))
+    seconds = pairs.join(counts, "a").select(
+        F.col("b").alias("node"), F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"), F.lit(1).alias("kind")
+    )
+    firsts = counts.select(
+        F.col("a").alias("node"), F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind")
+    )
+    wanted = staged(seconds.unionByName(firsts), "wanted")
     num, den = corpus.num, corpus.den
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, one = None, None
         for batch in batches:
-            keep = [similar(unpack(x.as_py()), unpack(y.as_py()), num, den) for x, y in zip(batch.column(2), batch.column(3))]
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    left = sets.select(F.col("node").alias("a"), F.col("members").alias("ma"))
-    right = sets.select(F.col("node").alias("b"), F.col("members").alias("mb"))
-    whole = pairs.join(left, "a").join(right, "b").select("a", "b", "ma", "mb")
-    links = staged(whole.mapInArrow(run, "a long, b long"), "links")
-    drop_staged(sets)  # the bulk
+            hub, part, kind, node = (batch.column(c).to_pylist() for c in range(4))
+            found = []
+            for i, key in enumerate(zip(hub, part)):
+                if kind[i] == 0:
+                    if key != now:
+                        now, one = key, unpack(batch.column(4)[i].as_py())
+                elif similar(one, unpack(batch.column(4)[i].as_py()), num, den):
+                    found.append((hub[i], node[i]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
+
+    sets = _made_sets(corpus, wanted.select("node").distinct()).join(wanted, "node")
+    near = sets.select("hub", "part", "kind", "node", "members").repartition("hub", "part").sortWithinPartitions("hub", "part", "kind")
+    links = staged(near.mapInArrow(run, "a long, b long").distinct(), "links")
+    drop_staged(wanted)
     drop_staged(pairs)
     return links
 
@@ -399,12 +419,13 @@ def candidate_sketches(table: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.join(nodes, "node", "left_semi").groupBy("node", "n").agg(F.first("sketch").alias("sketch"))
 
 
-def candidate_sets(corpus: Corpus, nodes: DataFrame) -> DataFrame:
-    """``node, n, members``: the sets of the given nodes, made again from
-    their texts. A bitmap of fixed size passes over most other texts; the
-    join after it is exact."""
-    chosen = corpus.table.filter(F.col("sketch").isNotNull()).select("node", "doc_id").join(nodes, "node", "left_semi")
-    bits = bitmap(chosen, "doc_id", 23)
+def _made_sets(corpus: Corpus, nodes: DataFrame) -> DataFrame:
+    """``node, members``: sets made again from the texts, those of the given
+    nodes and few others; rarely one twice. Of each node's documents the one
+    with the smallest id is read; a bitmap of fixed size passes over most
+    other texts."""
+    held = corpus.table.filter(F.col("sketch").isNotNull()).select("node", "doc_id")
+    bits = bitmap(held.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "doc_id", 23)
     words = corpus.words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -418,13 +439,18 @@ def candidate_sets(corpus: Corpus, nodes: DataFrame) -> DataFrame:
                     if len(seen) > 1_000_000:
                         seen.clear()
                     seen.add(digest)
-                    out.append((digest, len(s), pack(s)))
+                    out.append((digest, pack(s)))
             if out:
-                columns = [pa.array(c, kind) for c, kind in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "members"])
+                columns = [pa.array(c, kind) for c, kind in zip(zip(*out), (pa.int64(), pa.binary()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "members"])
+
+    return corpus.texts.select(_slot("doc_id", 23).alias("slot"), "text").mapInArrow(run, "node long, members binary")
 
-    made = corpus.texts.select(_slot("doc_id", 23).alias("slot"), "text").mapInArrow(run, "node long, n long, members binary")
-    return made.join(nodes, "node", "left_semi").groupBy("node", "n").agg(F.first("members").alias("members"))
+
+def candidate_sets(corpus: Corpus, nodes: DataFrame) -> DataFrame:
+    """``node, members``: the sets of the given nodes, each once."""
+    made = _made_sets(corpus, nodes).join(nodes, "node", "left_semi")
+    return made.groupBy("node").agg(F.first("members").alias("members"))
 
 
 def shared_signatures(table: DataFrame) -> DataFrame:
