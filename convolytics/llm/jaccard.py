@@ -180,6 +180,24 @@ def sketch(elements: np.ndarray) -> bytes:
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
+def wide_sketch(elements: np.ndarray) -> bytes | None:
+    """For sets that fill the small sketch: parity bits at as many places as
+    the set has elements, a power of two. It is about a fiftieth of the set."""
+    if len(elements) <= _SKETCH_BITS // 2:
+        return None
+    places = 1 << (len(elements) - 1).bit_length()
+    bits = np.bincount((elements & _U(places - 1)).astype(np.int64), minlength=places) & 1
+    return np.packbits(bits.astype(np.uint8)).tobytes()
+
+
+def differing_bits(a: bytes, b: bytes) -> int:
+    """Of two wide sketches, the longer folded to the length of the shorter."""
+    x, y = (np.frombuffer(s, np.uint8) for s in sorted((a, b), key=len))
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def pack(elements: np.ndarray) -> bytes:
     return elements.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_SET_BYTES].tobytes()
 
@@ -202,23 +220,23 @@ class Corpus:
     den: int
 
 
-_SETS = "doc_id long, n_shingles long, node long, sketch binary, sigs array<long>"
+_SETS = "doc_id long, n_shingles long, node long, sketch binary, wide binary, sigs array<long>"
 
 
 def document_sets(docs: DataFrame, bands: Bands, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its id, set size and ``node`` (a 64-bit digest of
-    the set, null if empty); the set's sketch and signatures only where the
+    the set, null if empty); the set's sketches and signatures only where the
     task meets the set for the first time, so hot copies weigh one row per
     task from here on. The sets themselves are not stored."""
     require_columns(docs, [id_col, text_col])
-    names = ["doc_id", "n_shingles", "node", "sketch", "sigs"]
+    names = ["doc_id", "n_shingles", "node", "sketch", "wide", "sigs"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             ids = batch.column(0)
             for lo in range(0, batch.num_rows, 512):
-                size, node, sketches, flat, ends = [], [], [], [], [0]
+                size, node, sketches, wide, flat, ends = [], [], [], [], [], [0]
                 for cell in batch.column(1).slice(lo, 512):
                     s = shingle_set(cell.as_py(), words)
                     size.append(len(s))
@@ -231,11 +249,12 @@ def document_sets(docs: DataFrame, bands: Bands, words: int = 3, id_col: str = "
                         flat.append(signatures(s, bands))
                     node.append(digest)
                     sketches.append(sketch(s) if new else None)
+                    wide.append(wide_sketch(s) if new else None)
                     ends.append(ends[-1] + (len(flat[-1]) if new else 0))
                 sigs = np.concatenate(flat).view(np.int64) if flat else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(lo, 512), pa.array(size, pa.int64()), pa.array(node, pa.int64()),
-                     pa.array(sketches, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(sigs))],
+                     pa.array(sketches, pa.binary()), pa.array(wide, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(sigs))],
                     names=names,
                 )
 
@@ -276,11 +295,32 @@ def sieved(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFra
 _TOGETHER = 4096  # pairs of one set that a task verifies at most
 
 
+def _by_wide_sketches(pairs: DataFrame, corpus: Corpus) -> DataFrame:
+    """The pairs that may be similar by their wide sketches too. They have no
+    more differing bits than the sets have differing elements either."""
+    num, den = corpus.num, corpus.den
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, one, two = (batch.column(c).to_pylist() for c in (2, 3, 4))
+            keep = [x is None or y is None or differing_bits(x, y) * (den + num) <= both * (den - num) for both, x, y in zip(n, one, two)]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    rows = corpus.table.filter(F.col("wide").isNotNull()).join(nodes, "node", "left_semi")
+    wide = rows.groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("wide").alias("wide"))
+    left = wide.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("wide").alias("wa"))
+    right = wide.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("wide").alias("wb"))
+    whole = pairs.select("a", "b").join(left, "a", "left").join(right, "b", "left")
+    return whole.select("a", "b", (F.col("na") + F.col("nb")).alias("n"), "wa", "wb").mapInArrow(run, "a long, b long")
+
+
 def verified(pairs: DataFrame, corpus: Corpus) -> DataFrame:
-    """The pairs ``a, b`` whose sets are similar. Each set goes from the task
+    """The pairs ``a, b`` whose sets are similar. Pairs of long sets are
+    first sieved by their wide sketches. Each set goes from the task
     that makes it straight to where it is compared: once for each pair it is
     the ``b`` of, and once for every ``_TOGETHER`` pairs it is the ``a`` of."""
-    pairs = staged(pairs, "pairs")
+    pairs = staged(_by_wide_sketches(pairs, corpus), "pairs")
     parts = F.ceil(F.col("count") / _TOGETHER).cast("int")
     counts = pairs.groupBy("a").count().select("a", parts.alias("parts"))
     seconds = pairs.join(counts, "a").select(

@@ -85,6 +85,21 @@ def test_similar_sets_share_a_signature(size, gone, new, seed, threshold):
         assert jaccard.similar(jaccard.unpack(jaccard.pack(a)), jaccard.unpack(jaccard.pack(b)), *threshold)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.integers(500, 5000), st.integers(0, 700), st.integers(0, 700), st.integers(0, 10**6), st.sampled_from([(90, 100), (80, 100)]))
+def test_wide_sketches_pass_similar_sets_and_stop_others(size, gone, new, seed, threshold):
+    rng = np.random.default_rng(seed)
+    num, den = threshold
+    a = np.unique(rng.integers(0, 2**64, size, dtype=np.uint64))
+    b = np.unique(np.concatenate([a[min(gone, len(a) - 1) :], rng.integers(0, 2**64, new, dtype=np.uint64)]))
+    x, y = jaccard.wide_sketch(a), jaccard.wide_sketch(b)
+    if x is None or y is None:
+        return
+    assert jaccard.differing_bits(x, y) <= len(np.setxor1d(a, b))
+    other = jaccard.wide_sketch(rng.integers(0, 2**64, size, dtype=np.uint64))
+    assert jaccard.differing_bits(x, other) * (den + num) > 2 * size * (den - num)
+
+
 def test_words_at_the_cut_of_long_texts(monkeypatch):
     text = ("ab cde  f\n" * 500).encode()
     whole = jaccard.word_hashes(text)
