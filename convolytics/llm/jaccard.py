@@ -223,6 +223,9 @@ class Corpus:
 _SETS = "doc_id long, n_shingles long, node long, sketch binary, wide binary, sigs array<long>"
 
 
+_DOCS = 64  # whose signatures leave a task together
+
+
 def document_sets(docs: DataFrame, bands: Bands, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its id, set size and ``node`` (a 64-bit digest of
     the set, null if empty); the set's sketches and signatures only where the
@@ -235,9 +238,9 @@ def document_sets(docs: DataFrame, bands: Bands, words: int = 3, id_col: str = "
         seen: set[int] = set()
         for batch in batches:
             ids = batch.column(0)
-            for lo in range(0, batch.num_rows, 512):
+            for lo in range(0, batch.num_rows, _DOCS):
                 size, node, sketches, wide, flat, ends = [], [], [], [], [], [0]
-                for cell in batch.column(1).slice(lo, 512):
+                for cell in batch.column(1).slice(lo, _DOCS):
                     s = shingle_set(cell.as_py(), words)
                     size.append(len(s))
                     digest = set_digest(s)
@@ -253,7 +256,7 @@ def document_sets(docs: DataFrame, bands: Bands, words: int = 3, id_col: str = "
                     ends.append(ends[-1] + (len(flat[-1]) if new else 0))
                 sigs = np.concatenate(flat).view(np.int64) if flat else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, 512), pa.array(size, pa.int64()), pa.array(node, pa.int64()),
+                    [ids.slice(lo, _DOCS), pa.array(size, pa.int64()), pa.array(node, pa.int64()),
                      pa.array(sketches, pa.binary()), pa.array(wide, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(sigs))],
                     names=names,
                 )
@@ -468,10 +471,14 @@ def _made_sets(corpus: Corpus, nodes: DataFrame) -> DataFrame:
     bits = bitmap(held.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "doc_id", 23)
     words = corpus.words
 
+    def made(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        columns = [pa.array(c, kind) for c, kind in zip(zip(*rows), (pa.int64(), pa.binary()))]
+        return pa.RecordBatch.from_arrays(columns, names=["node", "members"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            out: list[tuple] = []
+            out, size = [], 0
             for i in np.flatnonzero(_hits(bits, batch.column(0).to_numpy())).tolist():
                 s = shingle_set(batch.column(1)[i].as_py(), words)
                 digest = set_digest(s)
@@ -480,9 +487,12 @@ def _made_sets(corpus: Corpus, nodes: DataFrame) -> DataFrame:
                         seen.clear()
                     seen.add(digest)
                     out.append((digest, pack(s)))
+                    size += len(s)
+                    if size > 500_000:  # 3 MB
+                        yield made(out)
+                        out, size = [], 0
             if out:
-                columns = [pa.array(c, kind) for c, kind in zip(zip(*out), (pa.int64(), pa.binary()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["node", "members"])
+                yield made(out)
 
     return corpus.texts.select(_slot("doc_id", 23).alias("slot"), "text").mapInArrow(run, "node long, members binary")
 
