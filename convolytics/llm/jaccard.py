@@ -456,6 +456,19 @@ def _hits(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
     return ((bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1).astype(bool)
 
 
+def set_in(rows: DataFrame, column: str, bits: np.ndarray, size: int) -> DataFrame:
+    """The rows whose slot is set in a ``bitmap`` of ``size``, found without
+    leaving the JVM: the bitmap's slices are a small table of fixed size,
+    broadcast whatever the number of rows."""
+    words = bits.view("<i8").reshape(-1, _SLICE // 64)
+    lists = pa.FixedSizeListArray.from_arrays(pa.array(words.reshape(-1)), words.shape[1]).cast(pa.list_(pa.int64()))
+    slices = rows.sparkSession.createDataFrame(pa.table({"_slice": pa.array(np.arange(len(words))), "_words": lists}))
+    slot = _slot(column, size)
+    at = F.shiftright(slot, 6).bitwiseAND(F.lit(_SLICE // 64 - 1)).cast("int")
+    found = rows.join(F.broadcast(slices), F.shiftright(slot, _SLICE.bit_length() - 1) == F.col("_slice"))
+    return found.filter(F.getbit(F.get("_words", at), slot.bitwiseAND(F.lit(63)).cast("int")) == 1).drop("_slice", "_words")
+
+
 def candidate_sketches(table: DataFrame, nodes: DataFrame) -> DataFrame:
     """``node, n, sketch`` of the given nodes."""
     rows = table.filter(F.col("sketch").isNotNull()).select("node", F.col("n_shingles").alias("n"), "sketch")
@@ -507,17 +520,12 @@ def shared_signatures(table: DataFrame) -> DataFrame:
     """``sig, node, hub``: the groups of two or more sets with an equal
     signature; the hub is the smallest node. Each task's rows of a signature
     become one before the shuffle; a bitmap of fixed size then keeps most
-    unshared signatures out of the join that finds the members."""
+    unshared signatures out of the join that finds the members. All of it
+    stays in the JVM: there are half as many rows as shingles."""
     sigs = table.filter(F.col("sigs").isNotNull()).select(F.explode("sigs").alias("sig"), "node")
     ends = sigs.groupBy("sig").agg(F.min("node").alias("hub"), F.max("node").alias("last"))
     shared = staged(ends.filter("hub <> last").select("sig", "hub"), "shared")
-    bits = bitmap(shared, "sig", 25)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.select([0, 1]).filter(pa.array(_hits(bits, batch.column(2).to_numpy())))
-
-    near = sigs.select("sig", "node", _slot("sig", 25).alias("slot")).mapInArrow(run, "sig long, node long")
+    near = set_in(sigs.select("sig", "node"), "sig", bitmap(shared, "sig", 25), 25)
     groups = staged(near.join(shared, "sig").distinct(), "signatures")
     drop_staged(shared)
     return groups

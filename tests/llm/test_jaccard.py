@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 import brute
 from convolytics.llm import jaccard
@@ -149,3 +150,28 @@ def test_connected_components(spark):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: root(x) for a, b in edges for x in (a, b) if a != b}
     assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_bitmap_filter_keeps_the_rows_of_set_slots(spark):
+    rows = spark.range(-4000, 4000).select(F.xxhash64("id").alias("v"))
+    some = rows.filter(F.pmod("v", F.lit(7)) == 0)
+    for size in (15, 17):
+        bits = jaccard.bitmap(some, "v", size)
+        slots = [(r.v, r.s) for r in rows.select("v", jaccard._slot("v", size).alias("s")).collect()]
+        wanted = sorted(v for v, s in slots if bits[s >> 3] >> (s & 7) & 1)
+        found = sorted(r.v for r in jaccard.set_in(rows, "v", bits, size).collect())
+        assert found == wanted and len(wanted) >= some.count()
+    empty = jaccard.bitmap(some.limit(0), "v", 15)
+    assert jaccard.set_in(rows, "v", empty, 15).isEmpty()
+
+
+def test_shared_signatures_stay_in_the_jvm(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(jaccard, "staged", lambda df, name: made.append(df) or df)
+    monkeypatch.setattr(jaccard, "drop_staged", lambda df: None)
+    table = spark.createDataFrame([(1, [5, 6]), (2, [6, 7]), (3, None)], "node long, sigs array<long>")
+    groups = jaccard.shared_signatures(table)
+    assert sorted(map(tuple, groups.collect())) == [(6, 1, 1), (6, 2, 1)]
+    for df in made:
+        plan = df._jdf.queryExecution().toString()
+        assert "MapInArrow" not in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
