@@ -7,6 +7,10 @@ partitions of n2 cells each; some first-level partition then holds at most
 k2 = floor(k / n1) of the differences, and some n2 - k2 of its cells none.
 The signature of every such subset of cells (their elements' sum) is
 enumerated, so sufficiently similar sets share one signature for certain.
+Long sets take one level of a few more cells than can hold differences, and
+only the signatures of their fuller cells: see ``signatures``. Empty cells
+and those of one element, which sets that have nothing to do with each other
+share, thus make no groups.
 
 Sharing a signature only makes candidates. In every group of equal signatures
 each set is first checked against one hub of the group, and linked sets are
@@ -140,13 +144,25 @@ class Bands:
             k = 2 * top * (self.den - self.num) // (self.den + self.num)
             n1 = -(-(k + 1) // 3)
             k2 = k // n1
-            # short sets take subsets of two cells, which few others share
-            self.plans[level] = (n1, k2 + (2 if k < 12 else 1), k2)
+            # short sets take subsets of two cells, which few others share;
+            # longer ones single cells, a fifth more than must be
+            self.plans[level] = (n1, k2 + 2, k2) if k < 12 else ((k + 1) * 6 // 5, 1, 0)
         return self.plans[level]
 
+    def differences(self, size: int, level: int) -> int:
+        """The most elements that a set of ``size`` and one similar to it, both
+        of the level, differ in."""
+        self.plan(level)
+        top = self.lows[level + 1] - 1
+        return min(2 * top * (self.den - self.num) // (self.den + self.num), size * (self.den - self.num) // self.num)
+
 
 def signatures(elements: np.ndarray, bands: Bands) -> np.ndarray:
-    """All PartEnum signatures of a sorted set."""
+    """All PartEnum signatures of a sorted set. Of single cells only the fuller
+    are taken: with ``c`` cells and at most ``k`` differences, ``c - k`` cells
+    or more hold the same elements in both sets. Fewer than ``c - k`` of a
+    set's cells hold less than its ``least``, so one of those that are equal
+    holds the ``least`` of either set, and both sets take it."""
     if not len(elements):
         return elements
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(elements ^ _U(0xA5A5A5A5A5A5A5A5)), dtype=np.uint64)])
@@ -162,6 +178,10 @@ def signatures(elements: np.ndarray, bands: Bands) -> np.ndarray:
             total = _mix(base + _U((level << 40) + s))
             for j in chosen:
                 total = _mix(total * _U(3) + in_cell[:, j])
+            if n2 == 1:
+                held = np.diff(at)
+                spare = n1 - bands.differences(len(elements), level)
+                total = total[held >= np.partition(held, spare - 1)[spare - 1]]
             out.append(total)
     return np.unique(np.concatenate(out))
 

@@ -86,6 +86,37 @@ def test_similar_sets_share_a_signature(size, gone, new, seed, threshold):
         assert jaccard.similar(jaccard.unpack(jaccard.pack(a)), jaccard.unpack(jaccard.pack(b)), *threshold)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.integers(60, 3000), st.integers(0, 10**6), st.sampled_from([(90, 100), (80, 100)]), st.sampled_from(["gone", "new", "both"]))
+def test_sets_that_differ_in_their_fullest_cells_share_a_signature(size, seed, threshold, how):
+    rng = np.random.default_rng(seed)
+    num, den = threshold
+    bands = jaccard.Bands(num, den)
+    a = np.unique(rng.integers(0, 2**64, size, dtype=np.uint64))
+    size = len(a)
+    level = bands.levels(size)[-1]
+    n1, n2, _ = bands.plan(level)
+    cell = ((a >> np.uint64(32)) * np.uint64(n1 * n2)) >> np.uint64(32)
+    # one difference in each cell, the fullest first, as many as similarity allows
+    _, first, held = np.unique(cell, return_index=True, return_counts=True)
+    spots = first[np.argsort(-held, kind="stable")]
+    most = {"gone": size * (den - num) // den, "new": size * (den - num) // num, "both": size * (den - num) // (den + num)}[how]
+    out, more = spots[: most if how != "new" else 0], spots[most if how == "both" else 0 :][: most if how != "gone" else 0]
+    b = np.unique(np.concatenate([np.delete(a, out), a[more] ^ np.uint64(1)]))
+    common = len(np.intersect1d(a, b))
+    assert den * common >= num * (len(a) + len(b) - common)
+    assert np.intersect1d(jaccard.signatures(a, bands), jaccard.signatures(b, bands)).size
+
+
+def test_sets_without_a_common_element_share_no_signature():
+    rng = np.random.default_rng(3)
+    for threshold in ((90, 100), (80, 100)):
+        bands = jaccard.Bands(*threshold)
+        for size in (200, 1000, 3000):
+            sigs = [jaccard.signatures(np.unique(rng.integers(0, 2**64, size, dtype=np.uint64)), bands) for _ in range(60)]
+            assert len(np.unique(np.concatenate(sigs))) == sum(map(len, sigs))
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.integers(500, 5000), st.integers(0, 700), st.integers(0, 700), st.integers(0, 10**6), st.sampled_from([(90, 100), (80, 100)]))
 def test_wide_sketches_pass_similar_sets_and_stop_others(size, gone, new, seed, threshold):
