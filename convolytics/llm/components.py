@@ -11,14 +11,15 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``node, component`` (its smallest node) of every node that occurs in
     ``edges`` (``a, b``; any direction, repeats and loops allowed). Each step
     is a minimum per node, combined before the shuffle, and a join with the
-    edges; no node's neighbours are ever gathered. The table of every round
-    is stored, and the one before it deleted."""
+    edges; no node's neighbours are ever gathered. The table of every step
+    is stored, which keeps the plans that the driver holds small, and the one
+    before it deleted."""
     now = staged(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "star")
     seen = None
     for _ in range(max_rounds):
         both = now.union(now.select("b", "a"))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = staged(both.join(low, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
         # every node now points to smaller ones: link them and it to the least
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
@@ -30,6 +31,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         )
         last, now = now, staged(step, "star")
         drop_staged(last)
+        drop_staged(large)
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == seen:
             break

@@ -601,6 +601,8 @@ def _labelled(rows: DataFrame, component: DataFrame) -> DataFrame:
 
 
 def _join_up(component: DataFrame, links: DataFrame) -> DataFrame:
+    if links.isEmpty():
+        return component
     known = component.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
     found = connected_components(known.union(links))
     out = staged(found, "components")
@@ -677,7 +679,7 @@ def _within_groups(corpus: Corpus, small: DataFrame, sketches: DataFrame, compon
         if found.filter("a is null").isEmpty():
             return component
         tested = pairs if tested is None else staged(tested.union(pairs), "tested")
-        more = max(4, 4 * more)
+        more = max(16, 16 * more)
 
 
 def _by_rare_elements(corpus: Corpus, nodes: DataFrame, sketches: DataFrame, component: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 import brute
-from convolytics.llm import jaccard
+from convolytics.llm import components, jaccard
 from convolytics.llm.common import staged
 from convolytics.llm.components import connected_components
 from convolytics.llm.queries import QUERIES
@@ -183,6 +183,22 @@ def test_connected_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_without_new_links_the_components_stay(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "connected_components", None)
+    known = spark.createDataFrame([(1, 1), (2, 1)], "node long, component long")
+    assert jaccard._join_up(known, spark.createDataFrame([], "a long, b long")) is known
+
+
+def test_a_step_of_the_components_is_a_small_plan(spark, monkeypatch):
+    plans = []
+    stored = components.staged
+    monkeypatch.setattr(components, "staged", lambda df, name: plans.append(df._jdf.queryExecution().toString()) or stored(df, name))
+    got = connected_components(spark.createDataFrame([(i, i + 1) for i in range(20)], "a long, b long")).collect()
+    assert {r.component for r in got} == {0} and len(got) == 21
+    # each step reads the last one's table four times at most
+    assert max(p[p.index("== Physical Plan ==") :].count("FileScan") for p in plans) <= 4
+
+
 def test_bitmap_filter_keeps_the_rows_of_set_slots(spark):
     rows = spark.range(-4000, 4000).select(F.xxhash64("id").alias("v"))
     some = rows.filter(F.pmod("v", F.lit(7)) == 0)
