@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from convolytics.llm.common import require_columns
+from convolytics.llm.common import in_parts, require_columns, text_source, tidy
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -439,18 +439,18 @@ def scan(
     s = settings or Settings()
     items = collect_items(benchmark, s)
     bands = ItemIndex(items, s).bands  # keys and walks are chosen once
-    source = docs.select(*[F.col("`" + c.replace("`", "``") + "`") for c in keep], F.col(text_col).alias("_text"))
-    schema = StructType(source.schema.fields[:-1]).add("hits", HITS)
+    source, texts_of = text_source(docs, keep, text_col)
+    schema = StructType(source.schema.fields[: len(keep)]).add("hits", HITS)
     arrow = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = ItemIndex(items, s, bands)
         for batch in batches:
-            found = index.find(batch.column(len(keep)).to_pylist())
+            found = index.find(texts_of(batch).to_pylist())
             hits = [[dict(zip(("item_id", "edits", "start", "end"), h)) for h in hs] for hs in found]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(hits, arrow)], names=schema.names)
+            yield from in_parts(pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(hits, arrow)], names=schema.names))
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidy(run), schema)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, settings: Settings | None = None, id_col: str = "doc_id") -> DataFrame:

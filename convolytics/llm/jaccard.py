@@ -38,7 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from convolytics.llm.common import drop_staged, require_columns, staged, whole_groups
+from convolytics.llm.common import drop_staged, require_columns, staged, tidy, whole_groups
 from convolytics.llm.components import connected_components
 
 _U = np.uint64
@@ -281,7 +281,7 @@ def document_sets(docs: DataFrame, bands: Bands, words: int = 3, id_col: str = "
                     names=names,
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, _SETS)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(tidy(run), _SETS)
 
 
 def similar(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
@@ -527,7 +527,7 @@ def _made_sets(corpus: Corpus, nodes: DataFrame) -> DataFrame:
             if out:
                 yield made(out)
 
-    return corpus.texts.select(_slot("doc_id", 23).alias("slot"), "text").mapInArrow(run, "node long, members binary")
+    return corpus.texts.select(_slot("doc_id", 23).alias("slot"), "text").mapInArrow(tidy(run), "node long, members binary")
 
 
 def candidate_sets(corpus: Corpus, nodes: DataFrame) -> DataFrame:

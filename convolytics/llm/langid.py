@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from convolytics.llm.common import require_columns
+from convolytics.llm.common import in_parts, require_columns, text_source, tidy
 from convolytics.llm.sampling import per_label
 
 UNKNOWN = "und"
@@ -206,19 +206,18 @@ def predict(docs: DataFrame, model: ByteCnn | None, id_col: str = "doc_id", text
     require_columns(docs, [*keep, text_col])
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-    source = docs.select(*[F.col("`" + c.replace("`", "``") + "`") for c in keep], F.col(text_col).alias("_text"))
-    kept = source.schema.fields[:-1]
+    source, texts_of = text_source(docs, keep, text_col)
+    kept = source.schema.fields[: len(keep)]
     schema = StructType([*kept, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = model.tables() if model is not None else []
         for batch in batches:
-            langs, scores = score_texts(model, tables, batch.column(len(keep)))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: len(keep)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=schema.names
-            )
+            langs, scores = score_texts(model, tables, texts_of(batch))
+            columns = [*batch.columns[: len(keep)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
+            yield from in_parts(pa.RecordBatch.from_arrays(columns, names=schema.names))
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidy(run), schema)
 
 
 def score_texts(model: ByteCnn | None, tables, texts, flush: int = 1024) -> tuple[list[str], list[float]]:

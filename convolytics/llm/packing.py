@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from convolytics.llm.common import require_columns, staged
-from convolytics.llm.tokens import encoder
+from convolytics.llm.common import require_columns, staged, tidy
+from convolytics.llm.tokens import WordCachedEncoder
 
 ID_BYTES = 4
 
@@ -53,7 +53,7 @@ def encode_pieces(
     step = max_len * ID_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
+        enc = WordCachedEncoder(tokenizer)
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             ids_of = batch.column(0).to_pylist()
@@ -73,7 +73,7 @@ def encode_pieces(
             if rows:
                 yield _batch(rows, arrow)
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(tidy(run), schema)
 
 
 def _batch(rows: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:

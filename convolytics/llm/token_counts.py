@@ -14,8 +14,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from convolytics.llm.common import require_columns, staged
-from convolytics.llm.tokens import encoder
+from convolytics.llm.common import require_columns, staged, tidy
+from convolytics.llm.tokens import WordCachedEncoder
 
 # Lengths that share a range of this many are summed together first, so the
 # only ordering without a partition key runs over ranges of lengths.
@@ -30,7 +30,7 @@ def length_histogram(docs: DataFrame, tokenizer: str, text_col: str = "text") ->
     require_columns(docs, [text_col])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
+        enc = WordCachedEncoder(tokenizer)
         seen: Counter[int] = Counter()
         for batch in batches:
             seen.update(len(raw) // 4 for raw in enc.encode(x.as_py() or "" for x in batch.column(0)))
@@ -39,7 +39,7 @@ def length_histogram(docs: DataFrame, tokenizer: str, text_col: str = "text") ->
                 [pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["tokens", "docs"]
             )
 
-    counts = docs.select(text_col).mapInArrow(count, "tokens long, docs long")
+    counts = docs.select(text_col).mapInArrow(tidy(count), "tokens long, docs long")
     return counts.groupBy("tokens").agg(F.sum("docs").alias("docs"))
 
 

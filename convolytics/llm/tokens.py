@@ -2,7 +2,7 @@
 
 A tokenizer whose pre-tokenizer drops white space encodes every run of
 non-space characters by itself, so the ids of a text are the ids of its words
-in order. Each worker keeps a bounded cache ``word -> ids`` and asks the
+in order. Each task keeps a bounded cache ``word -> ids`` and asks the
 tokenizer only for the words it has not seen.
 """
 
@@ -33,35 +33,42 @@ _BYTE_LETTERS = _byte_letters()
 
 
 class _Ids(dict):
-    """word -> ids as bytes; unknown words are encoded when first asked for."""
+    """word -> ids as bytes; unknown words are encoded when first asked for.
+    Once ``most`` words are held, those asked for from then on stay longest."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int):
         super().__init__()
-        self.make = make
+        self.make, self.most = make, most
+        self.before: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = self[word] = self.make(word)
+        if len(self) >= self.most:
+            self.before = dict(self)
+            self.clear()
+        ids = self.before.get(word)
+        if ids is None:
+            ids = self.make(word)
+        self[word] = ids
         return ids
 
 
 class WordCachedEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids.
 
-    ``max_words`` bounds the cache: beyond it the cache starts anew, which
-    changes the speed and never the ids.
+    ``max_words`` bounds each cache: beyond it the cache starts anew with the
+    words in use, which changes the speed and never the ids.
     """
 
-    def __init__(self, path: str, max_words: int = 1_000_000):
+    def __init__(self, path: str, max_words: int = 150_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         # matched on the raw text, before any lower-casing, also inside words
         self.added = tuple(t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.max_words = max_words
-        self.words = _Ids(self._word)
-        self.stems = _Ids(self._direct)
-        self.endings = _Ids(self._whole)
+        self.words = _Ids(self._word, max_words)
+        self.stems = _Ids(self._direct, max_words)
+        self.endings = _Ids(self._whole, max_words)
         # words of letters go straight to the model where the file's steps
         # before it are the ones known here
         self.direct = self._steps_known()
@@ -96,22 +103,9 @@ class WordCachedEncoder:
     def encode(self, texts: Iterable[str], tail: bytes = b"") -> Iterator[bytes]:
         """The ids of each text as bytes, each followed by ``tail``."""
         for text in texts:
-            if len(self.words) > self.max_words:
-                for cache in (self.words, self.stems, self.endings):
-                    cache.clear()
             lowered = text.lower()
             if any(c in text for c in _ODD_SPACES) or any(t in lowered for t in self.added):
                 yield self._whole(text) + tail
             else:
                 split = (lowered if text.isascii() else text).split()
                 yield b"".join(map(self.words.__getitem__, split)) + tail
-
-
-_ENCODERS: dict[str, WordCachedEncoder] = {}
-
-
-def encoder(path: str) -> WordCachedEncoder:
-    """One encoder per worker process and vocabulary file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordCachedEncoder(path)
-    return _ENCODERS[path]

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import (ArrayType, DoubleType, FloatType, IntegerType, LongType, StructField, StructType)
 
-from convolytics.llm.common import require_columns, staged
+from convolytics.llm.common import in_parts, require_columns, staged, text_source, tidy
 from convolytics.llm.sampling import labelled_texts
 
 PREFIXES = range(3, 9)  # letters of a word beginning
@@ -180,32 +180,43 @@ def unit(term: np.ndarray, count: np.ndarray, idf: np.ndarray) -> tuple[np.ndarr
     return term, w / max(1e-12, float(np.sqrt((w * w).sum())))
 
 
-def count_terms(rows: DataFrame, vocabulary: list[str], keep: list[str], text_col: str) -> DataFrame:
-    """``keep``, ``terms`` (places in the vocabulary; the place after the last
-    is for all words) and ``counts`` of every row, from its whole text."""
-    source = rows.select(*[F.col("`" + c.replace("`", "``") + "`") for c in keep], F.col(text_col).alias("_text"))
-    schema = StructType(source.schema.fields[:-1]).add("terms", ArrayType(IntegerType())).add("counts", ArrayType(IntegerType()))
+def term_counter(vocabulary: list[str]) -> Callable[[str | None], Counter[int]]:
+    """Counts a text's terms by their places in the vocabulary; the place
+    after the last is for all words."""
     place = {t: i for i, t in enumerate(vocabulary)}
     # a text is searched for its words; only words that begin like a term are
     # looked at closer
     begins = frozenset(t[:3] for t in vocabulary)
 
+    def count(text: str | None) -> Counter[int]:
+        found: Counter[int] = Counter()
+        if text and place:
+            words = Counter(text.lower().split())
+            found[len(place)] = words.total()  # the place of all words
+            for word, n in words.items():
+                if word[:3] not in begins and word[0] not in _EDGES:
+                    continue
+                word = word.strip(_EDGES)
+                for t in term_of(word):
+                    if t in place:
+                        found[place[t]] += n
+        return found
+
+    return count
+
+
+def count_terms(rows: DataFrame, vocabulary: list[str], keep: list[str], text_col: str) -> DataFrame:
+    """``keep``, ``terms`` (places in the vocabulary; the place after the last
+    is for all words) and ``counts`` of every row, from its whole text."""
+    source, texts_of = text_source(rows, keep, text_col)
+    schema = StructType(source.schema.fields[: len(keep)]).add("terms", ArrayType(IntegerType())).add("counts", ArrayType(IntegerType()))
+    count = term_counter(vocabulary)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             terms_of, counts_of = [], []
-            for cell in batch.column(len(keep)):
-                text = cell.as_py()
-                found: Counter[int] = Counter()
-                if text and place:
-                    words = Counter(text.lower().split())
-                    found[len(place)] = words.total()  # the place of all words
-                    for word, n in words.items():
-                        if word[:3] not in begins and word[0] not in _EDGES:
-                            continue
-                        word = word.strip(_EDGES)
-                        for t in term_of(word):
-                            if t in place:
-                                found[place[t]] += n
+            for cell in texts_of(batch):
+                found = count(cell.as_py())
                 terms_of.append(sorted(found))
                 counts_of.append([found[t] for t in sorted(found)])
             yield pa.RecordBatch.from_arrays(
@@ -213,7 +224,7 @@ def count_terms(rows: DataFrame, vocabulary: list[str], keep: list[str], text_co
                 names=schema.names,
             )
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidy(run), schema)
 
 
 def score(
@@ -229,7 +240,7 @@ def score(
     label among ids that ``allowed`` selects; null labels teach nothing. The
     texts are read once for the examples and once for all term counts, which
     are stored; with ``store`` off (``keep`` holds whole rows) they are counted
-    a second time instead. A text without any vocabulary term (null, empty or plain) has
+    a second time instead, by the tasks that score them. A text without any vocabulary term (null, empty or plain) has
     no evidence and gets the rate of label 1 among such examples, or among
     all if there are none; without any label that is one half. Repeated rows each get a row.
     """
@@ -239,10 +250,8 @@ def score(
     sampled = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     vocabulary = choose_vocabulary(sample, (sampled.get(0, 0), sampled.get(1, 0)))
 
-    counted = count_terms(docs, vocabulary, keep, text_col)
-    if store:
-        counted = staged(counted, "terms")
-    narrow = counted if store else count_terms(docs, vocabulary, [id_col], text_col)
+    counted = staged(count_terms(docs, vocabulary, keep, text_col), "terms") if store else None
+    narrow = counted if counted is not None else count_terms(docs, vocabulary, [id_col], text_col)
     per_term = narrow.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     n_docs = docs.count()
     idf = np.full(len(vocabulary) + 1, math.log(n_docs + 1) + 1)
@@ -268,7 +277,7 @@ def score(
     bare = [sum(1 for p in plain if p == y) * stands[y] + 0.01 * share for y, share in ((0, 1 - rate), (1, rate))]
     prior = bare[1] / sum(bare)
     model = ToxicityModel(vocabulary, idf, index, prior, (stands[0] / mean, stands[1] / mean), k, prior_weight)
-    return _scored(counted, model, keep)
+    return _scored(counted, model, keep) if counted is not None else _scored_texts(docs, model, keep, text_col)
 
 
 def _label_counts(labels: DataFrame, label: str, allowed: Column, id_col: str) -> dict[int, int]:
@@ -282,22 +291,44 @@ def _label_counts(labels: DataFrame, label: str, allowed: Column, id_col: str) -
     return {r["y"]: r["count"] for r in rows}
 
 
+_Terms = Iterable[tuple[list[int], list[int]]]
+
+
 def _scored(counted: DataFrame, model: ToxicityModel, keep: list[str]) -> DataFrame:
+    def terms_of(batch: pa.RecordBatch) -> _Terms:
+        for t, n in zip(batch.column(len(keep)), batch.column(len(keep) + 1)):
+            yield t.as_py(), n.as_py()
+
+    return _judged(counted, terms_of, model, len(keep))
+
+
+def _scored_texts(docs: DataFrame, model: ToxicityModel, keep: list[str], text_col: str) -> DataFrame:
+    """The same from the texts: rows cross to Python and back once."""
+    source, texts_of = text_source(docs, keep, text_col)
+    count = term_counter(model.vocabulary)
+
+    def terms_of(batch: pa.RecordBatch) -> _Terms:
+        for cell in texts_of(batch):
+            found = count(cell.as_py())
+            yield (places := sorted(found)), [found[t] for t in places]
+
+    return _judged(source, terms_of, model, len(keep))
+
+
+def _judged(rows: DataFrame, terms_of: Callable[[pa.RecordBatch], _Terms], model: ToxicityModel, kept: int) -> DataFrame:
     near = ArrayType(StructType([StructField("doc_id", LongType()), StructField("label", IntegerType()), StructField("cosine", FloatType())]))
-    schema = StructType(counted.schema.fields[: len(keep)]).add("score", DoubleType()).add("evidence", near)
+    schema = StructType(rows.schema.fields[:kept]).add("score", DoubleType()).add("evidence", near)
     near_arrow = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = model.index
         for batch in batches:
             scores, evidence = [], []
-            for t, n in zip(batch.column(len(keep)), batch.column(len(keep) + 1)):
-                t = np.asarray(t.as_py(), np.int64)
-                s, found = model.score(t, np.asarray(n.as_py(), np.float64)) if len(t) > 1 else (model.prior, [])
+            for t, n in terms_of(batch):
+                s, found = model.score(np.asarray(t, np.int64), np.asarray(n, np.float64)) if len(t) > 1 else (model.prior, [])
                 scores.append(s)
                 evidence.append([{"doc_id": int(index.ids[p]), "label": int(index.labels[p]), "cosine": c} for c, p in found])
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: len(keep)], pa.array(scores, pa.float64()), pa.array(evidence, near_arrow)], names=schema.names
-            )
+            columns = [*batch.columns[:kept], pa.array(scores, pa.float64()), pa.array(evidence, near_arrow)]
+            yield from in_parts(pa.RecordBatch.from_arrays(columns, names=schema.names))
 
-    return counted.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)

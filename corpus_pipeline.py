@@ -24,22 +24,23 @@ TOXIC_SCORE = 0.3
 
 
 def _with_row(docs: DataFrame) -> DataFrame:
-    """``doc_id, text, lang`` and the whole row as ``row``."""
-    return docs.select("doc_id", "text", "lang", F.struct("*").alias("row"))
+    """``doc_id`` and the whole row as ``row``, whose ``text`` the operators
+    read there, so it goes to Python and back once."""
+    return docs.select("doc_id", F.struct("*").alias("row"))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language: no letters, or no language that is
     clearly the likeliest."""
     model = langid.fit(docs, allowed=crc_mod(F.col("doc_id"), 3) != 1)
-    found = langid.predict(_with_row(docs), model, keep=["row"])
+    found = langid.predict(_with_row(docs), model, keep=["row"], text_col="row.text")
     return found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select("row.*")
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the labelled examples nearest to them call toxic."""
     labels = read_table(spark, sf_dir, "labels")
-    scored = toxicity.score(_with_row(docs), labels, allowed=crc_mod(F.col("doc_id"), 4) != 2, keep=["row"], store=False)
+    scored = toxicity.score(_with_row(docs), labels, allowed=crc_mod(F.col("doc_id"), 4) != 2, text_col="row.text", keep=["row"], store=False)
     return scored.filter(F.col("score") < TOXIC_SCORE).select("row.*")
 
 
@@ -67,7 +68,7 @@ def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a passage of the benchmark."""
-    found = decontamination.scan(_with_row(docs), read_table(spark, sf_dir, "benchmark"), keep=["row"])
+    found = decontamination.scan(_with_row(docs), read_table(spark, sf_dir, "benchmark"), keep=["row"], text_col="row.text")
     return found.filter(F.size("hits") == 0).select("row.*")
 
 

@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
-from convolytics.llm import packing, token_counts
+from convolytics.llm import packing, token_counts, tokens
 from convolytics.llm.queries import QUERIES
 from convolytics.llm.tokens import WordCachedEncoder
 from tests_paths import SF001
@@ -47,6 +47,16 @@ def test_a_full_cache_starts_anew():
     assert [np.frombuffer(x, "<u4").tolist() for x in small.encode(texts)] == [PLAIN.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_a_task_holds_few_words_and_leaves_none():
+    enc = WordCachedEncoder(PATH, max_words=50)
+    texts = [" ".join(f"w{chr(97 + k % 26)}{chr(97 + j)}x{'.' * (k % 2)}" for j in range(26)) for k in range(52)]
+    want = [PLAIN.encode(t, add_special_tokens=False).ids for t in texts]
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == want
+        assert all(len(c) <= 50 and len(c.before) <= 50 for c in (enc.words, enc.stems))
+    assert not any(isinstance(v, (dict, WordCachedEncoder)) and v for k, v in vars(tokens).items() if not k.startswith("__") and k != "_BYTE_LETTERS")
+
+
 def check(rows, docs, limit=4096):
     want = sorted(
         (d if d is not None else -1, p, s, len(ids), zlib.crc32(np.asarray(ids, "<u4").tobytes()))

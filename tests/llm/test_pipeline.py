@@ -50,6 +50,16 @@ def test_edge_cases_pass_through(spark):
     assert not gone & {1, 2, 3}
 
 
+def test_rows_go_to_python_and_back_once(spark):
+    docs = frame(spark, [(k, f"plain words of town {k}", "en") for k in range(40)])
+    for name, stage in cp.STAGES[:-1]:
+        if name == "near_duplicates":
+            continue
+        plan = stage(spark, docs, SF001)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInArrow") == 1, name
+        assert "AS _text" not in plan, name
+
+
 def test_repeated_ids_keep_one_row_per_text(spark):
     docs = frame(spark, [(1, "a b c d e f", "en"), (1, "a b c d e f", "en"), (2, "a b c d e f", "en")])
     assert [r.doc_id for r in cp.remove_near_duplicates(spark, docs, SF001).collect()] == [1]
