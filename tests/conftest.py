@@ -29,6 +29,13 @@ def spark():
     s.stop()
 
 
+@pytest.fixture(autouse=True, scope="module")
+def nothing_stays_cached(spark):
+    """A table that one module leaves cached would be in the plans of the next."""
+    yield
+    spark.catalog.clearCache()
+
+
 @pytest.fixture()
 def tmp_dir():
     return tempfile.mkdtemp(prefix="convolytics-test-", dir="/tmp")
